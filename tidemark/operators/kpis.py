@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.reasons import reason
 from ..functions.scalars import format_number, safe_div
 from ..functions.scale import small_side, with_totals
 from .profiling import is_numeric
@@ -67,7 +68,7 @@ def kpi_values(tables: Mapping[str, DataFrame], kpis: Sequence[Mapping]) -> Data
                 _check(tables, k["table"], value)
                 fused.setdefault(k["table"], []).append(_kpi_row(name, value, mask))
         except (AnalysisException, KeyError) as error:
-            why = str(error).splitlines()[0]
+            why = reason(error)
             parts.append(
                 spark.range(1).select(
                     F.lit(name).alias("name"), F.lit(None).cast("double").alias("value"),

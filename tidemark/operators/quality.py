@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.reasons import reason
 from ..functions.scalars import to_number
 
 # The six quality dimensions and each rule's default one.
@@ -172,7 +173,7 @@ def _expression_error(df: DataFrame, expression: str) -> str | None:
     try:
         kind = df.select(F.expr(expression)).schema[0].dataType.simpleString()
     except (AnalysisException, ParseException) as error:
-        return str(error).splitlines()[0]
+        return reason(error)
     return None if kind == "boolean" else f"{kind} is not boolean"
 
 

@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.reasons import reason
 from .readers import mask_url
 
 ORDER = "_row_order"
@@ -118,7 +119,7 @@ def create_views(spark: SparkSession, views: Mapping[str, str]) -> dict[str, str
             spark.table(name).limit(1).collect()
             outcome[name] = None
         except PySparkException as error:
-            outcome[name] = str(error).splitlines()[0]
+            outcome[name] = reason(error)
     return outcome
 
 

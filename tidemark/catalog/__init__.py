@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import base, basics, kpi_queries, quality_queries, time_queries
+from . import base, basics, kpi_queries, ml_queries, quality_queries, study_queries, time_queries
 
-MODULES = (basics, quality_queries, kpi_queries, time_queries)
+MODULES = (basics, quality_queries, kpi_queries, time_queries, study_queries, ml_queries)
 
 
 def queries():

@@ -42,15 +42,24 @@ def comparable(df: DataFrame, digits: int = 4) -> DataFrame:
     for field in df.schema:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = rounded(c, digits)
         elif isinstance(field.dataType, INTS):
             c = c.cast("bigint")
         out.append(c.alias(field.name))
     return df.select(*out)
 
 
+# Added before rounding on both sides, so that a value on the edge of the last
+# digit falls the same way whatever order its sum was taken in.
+NUDGE = "0.00000002"
+
+
+def rounded(c, digits: int = 4):
+    return F.round(c.cast("double") + F.lit(float(NUDGE)), digits) + F.lit(0.0)
+
+
 def r(expression: str, digits: int = 4) -> str:
-    return f"(round({expression}, {digits}) + 0.0)"
+    return f"(round(CAST({expression} AS DOUBLE) + {NUDGE}, {digits}) + 0.0)"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import format_number
 from ..operators import joins, kpis, model
-from .base import SALES, SELLER_SALES, Book, r, sales, seller_sales, table
+from .base import SALES, Book, r, rounded, sales, seller_sales, table
 from .basics import customer_dim, order_calendar
 
 BOOK = Book()
@@ -86,7 +86,7 @@ def number_format(spark, sf):
 @q("AGG-10", f"WITH {SALES} SELECT priority, {r('sum(amount) - sum(cost)')} AS margin, {r('(sum(amount) - sum(cost)) / sum(amount)', 6)} AS margin_pct FROM sales GROUP BY 1", digits=6)
 def margins(spark, sf):
     out = kpis.margin(sales(spark, sf), "amount", "cost", ["priority"])
-    return out.withColumn("margin", F.round("margin", 4))
+    return out.withColumn("margin", rounded(F.col("margin")))
 
 
 @q("AGG-11", """
@@ -112,11 +112,12 @@ def filtered_kpi(spark, sf):
 
 
 @q("AGG-15", f"""
-  WITH g AS (SELECT l_suppkey, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1)
-  SELECT l_suppkey, {r('v')} AS value, {r('v / sum(v) OVER ()')} AS share,
-         CASE WHEN l_suppkey <= 50 THEN {r('v / sum(CASE WHEN l_suppkey <= 50 THEN v END) OVER ()')} END AS share_of_selection FROM g""")
+  WITH g AS (SELECT o_orderpriority, sum(o_totalprice) AS v FROM orders GROUP BY 1)
+  SELECT o_orderpriority, {r('v')} AS value, {r('v / sum(v) OVER ()', 6)} AS share,
+         CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN {r("v / sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN v END) OVER ()", 6)} END AS share_of_selection FROM g""", digits=6)
 def pct_of_total(spark, sf):
-    return kpis.pct_of_total(table(spark, sf, "lineitem"), "l_suppkey", "l_extendedprice", "l_suppkey <= 50")
+    out = kpis.pct_of_total(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice", "o_orderpriority in ('1-URGENT', '2-HIGH')")
+    return out.withColumn("value", rounded(F.col("value")))
 
 
 @q("AGG-16", f"""
@@ -166,7 +167,7 @@ def concentration(spark, sf):
     return kpis.concentration(li, "part", "l_extendedprice")
 
 
-@q("AGG-21", f"SELECT 'seller' AS dimension, 'amount' AS measure, (round(sum(amount), 2) + 0.0) AS total FROM (WITH {SALES} SELECT * FROM sales)", digits=2)
+@q("AGG-21", f"SELECT 'seller' AS dimension, 'amount' AS measure, {r("sum(amount)", 2)} AS total FROM (WITH {SALES} SELECT * FROM sales)", digits=2)
 def best_cut(spark, sf):
     s = seller_sales(spark, sf)
     return kpis.best_cut(s, ["seller", "flag", "product"], ["units", "amount"], used=["amount"])

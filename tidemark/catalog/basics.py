@@ -163,18 +163,19 @@ def cast_columns(spark, sf):
          {r('l_quantity * 1000')} AS thousands, {r('l_discount')} AS discount FROM lineitem""")
 def parse_numbers(spark, sf):
     li = table(spark, sf, "lineitem")
-    english = F.format_number("l_extendedprice", 2)
+    li = li.withColumn("english", F.format_number("l_extendedprice", 2))
+    english = F.col("english")
     european = F.concat(F.lit("$ "), F.translate(english, ",.", ".,"))
     price = (
         F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), "s/d")
         .when(F.col("l_returnflag") == "A", european).otherwise(english)
     )
-    return li.select(
-        "l_orderkey", "l_linenumber",
-        scalars.parse_number(price).alias("price"),
-        scalars.parse_number(F.format_number(F.col("l_quantity") * 1000, 0)).alias("thousands"),
-        scalars.parse_number(F.translate(F.col("l_discount").cast("decimal(6,2)").cast("string"), ".", ",")).alias("discount"),
+    raw = li.select(
+        "l_orderkey", "l_linenumber", price.alias("price"),
+        F.format_number(F.col("l_quantity") * 1000, 0).alias("thousands"),
+        F.translate(F.col("l_discount").cast("decimal(6,2)").cast("string"), ".", ",").alias("discount"),
     )
+    return silver.cast(raw, {"price": "decimal", "thousands": "decimal", "discount": "decimal"})
 
 
 @q("SIL-04", f"SELECT {r('o_totalprice')} AS price, o_orderdate AS day, o_orderstatus AS status FROM orders")

@@ -34,17 +34,37 @@ def parse_number(c: str | Column) -> Column:
     With both marks present the last one is decimal.  A lone comma is decimal
     only when it is single and not followed by exactly three characters.
     """
-    t = F.regexp_replace(F.trim(as_col(c).cast("string")), r"[$\s]", "")
-    comma, dot = t.contains(","), t.contains(".")
-    decimal_comma = F.regexp_replace(F.regexp_replace(t, r"\.", ""), ",", ".")
-    no_commas = F.regexp_replace(t, ",", "")
-    single = t.rlike(r"^[^,]*,[^,]*$") & ~t.rlike(r",[^,]{3}$")
+    return number_of(number_text(c))
+
+
+def number_text(c: str | Column) -> Column:
+    """The text without currency marks and blanks.
+
+    `replace` scans bytes and returns the same string when nothing matches,
+    which beats `translate` and patterns on a hot column.
+    """
+    t = as_col(c).cast("string")
+    for mark in ("$", " ", "\u00a0", "\t", "\n", "\r"):
+        t = F.replace(t, F.lit(mark), F.lit(""))
+    return t
+
+
+def number_of(t: Column) -> Column:
+    """The double in a text already stripped by `number_text`."""
+    comma, dot, nothing = F.lit(","), F.lit("."), F.lit("")
+    tail = F.substring_index(t, ",", -1)
+    no_commas = F.replace(t, comma, nothing)
+    commas = F.length(t) - F.length(no_commas)
     plain = (
-        F.when(comma & dot, F.when(t.rlike(r",[^.]*$"), decimal_comma).otherwise(no_commas))
-        .when(comma, F.when(single, F.regexp_replace(t, ",", ".")).otherwise(no_commas))
-        .otherwise(t)
+        F.when(~t.contains(","), t)
+        .when(
+            t.contains("."),
+            F.when(tail.contains("."), no_commas).otherwise(F.replace(F.replace(t, dot, nothing), comma, dot)),
+        )
+        .when((commas == 1) & (F.length(tail) != 3), F.replace(t, comma, dot))
+        .otherwise(no_commas)
     )
-    return F.when(plain.rlike(PLAIN_NUMBER), plain.try_cast("double"))
+    return F.regexp_extract(plain, PLAIN_NUMBER, 0).try_cast("double")
 
 
 def to_number(c: str | Column, dtype: str) -> Column:

@@ -16,12 +16,25 @@ def shuffle_width(df: DataFrame) -> int:
     return max(8, min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def pinned(df: DataFrame, max_rows: int = BOUNDED_ROWS) -> DataFrame:
+    """A small declared table (calendar, scope) read once and kept in the plan.
+
+    At most ``max_rows + 1`` rows are fetched; a larger table comes back as it
+    is, so nothing depends on it being small but the work saved.
+    """
+    head = df.limit(max_rows + 1).toArrow()
+    return df if head.num_rows > max_rows else df.sparkSession.createDataFrame(head, df.schema)
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a join side for broadcast only after its row count was checked.
 
     The check reads at most ``max_rows + 1`` rows; a larger side is returned
     unmarked and joins by shuffle.
     """
+    few = pinned(df)
+    if few is not df:
+        return F.broadcast(few)
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 

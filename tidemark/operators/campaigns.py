@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import date_from_key, pct_change, safe_div
-from ..functions.scale import cut_points, quintile, small_side
+from ..functions.scale import cut_points, pinned, quintile, small_side
 from .joins import explode_days, first_matching_interval, interval_join, mark_scope
 
 EDITION = ["campaign", "edition"]
@@ -72,7 +72,7 @@ def campaign_calendar(df: DataFrame, campaign: str = "campaign", edition: str =
         if bad:
             raise CampaignError(f"editions with invalid dates: {[(r.campaign, r.edition) for r in bad]}")
     out = out.where(good).withColumn("days", (F.datediff("to_day", "from_day") + 1).cast("bigint"))
-    return number_editions(out)
+    return pinned(number_editions(out))
 
 
 def prior_editions(calendar: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def campaign_windows(calendar: DataFrame, baseline: int = BASELINE_DAYS, carry:
 
 
 def campaign_scope(scope: DataFrame) -> DataFrame:
-    return scope.select(*EDITION, "product").distinct()
+    return pinned(scope.select(*EDITION, "product").distinct())
 
 
 def _in_windows(sales: DataFrame, windows: DataFrame, scope: DataFrame | None) -> DataFrame:
@@ -171,9 +171,7 @@ def campaign_panel(sales: DataFrame, windows: DataFrame, scope: DataFrame | None
     level = F.grouping_id(*every)
     sums = rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in every]).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.sum("units").alias("units"),
-        F.sum("amount").alias("amount"),
-        F.sum("cost").alias("cost"),
+        *[F.sum(c).alias(c) for c in ("units", "amount", "cost")],
         F.countDistinct("client").alias("clients"),
         level.alias("__level"),
     )

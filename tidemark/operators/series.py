@@ -155,11 +155,10 @@ def method_metrics(trials: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("origins"),
         *[F.avg(c).alias(c) for c in ("mae", "rmse", "smape", "mape")],
     )
-    reference = means.where(F.col("method") == REFERENCE).select("segment", F.col("mae").alias("__ref"))
-    return (
-        means.join(reference, "segment", "left")
-        .withColumn("gain_vs_reference_pct", F.when(F.col("__ref") > 0, (1 - safe_div("mae", "__ref")) * 100))
-        .drop("__ref")
+    rivals = Window.partitionBy("segment")  # one row per method
+    reference = F.max(F.when(F.col("method") == REFERENCE, F.col("mae"))).over(rivals)
+    return means.withColumn(
+        "gain_vs_reference_pct", F.when(reference > 0, (1 - safe_div(F.col("mae"), reference)) * 100)
     )
 
 
@@ -176,16 +175,19 @@ def inverse_error_weights(metrics: DataFrame, keys: Sequence[str] = ("segment",)
 def ensemble_trials(trials: DataFrame) -> DataFrame:
     """The weighted blend judged without looking: the weights of a cut come
     from EARLIER cuts only, so the first cut cannot be scored."""
-    past = Window.partitionBy("segment", "method").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    known = trial_metrics(trials).withColumn("past_mae", F.avg("mae").over(past))
-    weights = inverse_error_weights(known, ["segment", "cut"], "past_mae").select("segment", "method", "cut", "weight")
+    past = Window.partitionBy("segment", "method").orderBy("cut").rangeBetween(Window.unboundedPreceding, -1)
+    rivals = Window.partitionBy("segment", "cut", "step")
+    missed = F.abs(F.col("predicted") - F.col("actual"))
+    inverse = 1 / F.greatest(F.col("__past"), F.lit(1e-9))
     return (
-        trials.join(weights, ["segment", "method", "cut"])
+        trials.withColumn("__past", F.avg(missed).over(past))
+        .where("__past is not null")
+        .withColumn("__weight", inverse / F.sum(inverse).over(rivals))
         .groupBy("segment", "cut", "step", "position")
         .agg(
             F.first("period").alias("period"),
             F.first("actual").alias("actual"),
-            F.sum(F.col("weight") * F.col("predicted")).alias("predicted"),
+            F.sum(F.col("__weight") * F.col("predicted")).alias("predicted"),
         )
         .withColumn("method", F.lit(ENSEMBLE))
     )
@@ -289,7 +291,8 @@ class Projection:
         cycle = cycle or CYCLE[frequency]
         # Trial rows are read by every table below and are small beside the
         # facts; kept in memory with spill, recomputed if an executor is lost.
-        self.raw = run_methods(s, horizon, cycle, origins, methods, minimum).persist()
+        # Hashed by segment, they feed all later groupings without a shuffle.
+        self.raw = run_methods(s, horizon, cycle, origins, methods, minimum).repartition("segment").persist()
         good = self.raw.where("error is null")
         base = good.where("kind = 'backtest'").select(*COMMON)
         self.trials = base.unionByName(ensemble_trials(base).select(*COMMON))

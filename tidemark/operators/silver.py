@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import NUMBER_TEXT, is_true, parse_number
+from ..functions.scalars import NUMBER_TEXT, is_true, number_of, number_text
 
 # Above this many codes a decode becomes a join instead of an inline map.
 INLINE_CODES = 1_000
@@ -24,16 +24,18 @@ def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 def cast(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Lossy casts by declared kind; columns that are absent are ignored."""
     kinds = dict(df.dtypes)
+    numbers = [n for n, k in types.items() if k == "decimal" and kinds.get(n) == "string"]
+    df = numbers_from_text(df, numbers)
     out = {}
     for name, kind in types.items():
-        if name not in kinds:
+        if name not in kinds or name in numbers:
             continue
         c, text = F.col(name), kinds[name] == "string"
         if kind == "integer":
             number = c.try_cast("double")
             out[name] = F.when(number == F.floor(number), number).try_cast("long") if text else c.try_cast("long")
         elif kind == "decimal":
-            out[name] = parse_number(c) if text else c.try_cast("double")
+            out[name] = c.try_cast("double")
         elif kind == "date":
             out[name] = c.try_cast("timestamp_ntz")
         elif kind == "boolean":
@@ -45,6 +47,14 @@ def cast(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
+def numbers_from_text(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Text columns to doubles in two projections, so each text is cleaned once."""
+    if not names:
+        return df
+    cleaned = df.withColumns({n: number_text(n) for n in names})
+    return cleaned.withColumns({n: number_of(F.col(n)) for n in names})
+
+
 def text_votes(df: DataFrame) -> dict[str, dict]:
     """Per text column: share of number-like and date-like values, in one pass."""
     texts = [n for n, t in df.dtypes if t == "string"]
@@ -78,14 +88,15 @@ def infer_types(df: DataFrame) -> DataFrame:
     The vote reads the whole column in one aggregation rather than a head
     sample, so a late run of text cannot be lost in a numeric column.
     """
-    out = {}
+    out, numbers = {}, []
     for name, vote in text_votes(df).items():
         if not vote["values"]:
             continue
         if vote["number_share"] > 0.95:
-            out[name] = parse_number(F.col(name))
+            numbers.append(name)
         elif vote["date_share"] > 0.95 and vote["median_length"] >= 8:
             out[name] = F.trim(F.col(name)).try_cast("timestamp_ntz")
+    df = numbers_from_text(df, numbers)
     return df.withColumns(out) if out else df
 
 

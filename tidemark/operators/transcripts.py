@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -212,16 +214,14 @@ def _fold(text: str) -> str:
 
 def topic_mentions(lines: DataFrame) -> DataFrame:
     """Each sentence once per topic any of whose words it contains."""
-    folded = fold_accents("text")
+    def mentions(keys):
+        found = [F.col("__folded").contains(w) for w in sorted({_fold(w) for w in keys})]
+        return reduce(lambda a, b: a | b, found)
+
     hits = F.array_compact(
-        F.array(
-            *[
-                F.when(folded.rlike("|".join(sorted({_fold(w) for w in keys}))), F.lit(topic))
-                for topic, keys in TOPICS.items()
-            ]
-        )
+        F.array(*[F.when(mentions(keys), F.lit(topic)) for topic, keys in TOPICS.items()])
     )
-    return lines.select("*", F.explode(hits).alias("topic"))
+    return lines.withColumn("__folded", fold_accents("text")).select(*lines.columns, F.explode(hits).alias("topic"))
 
 
 def _tokens(c: Column) -> Column:

@@ -44,6 +44,13 @@ def read_folder(spark, sf):
     return readers.read_folder(spark, sf, "*ion.parquet")
 
 
+@q("SRC-08", f"SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, {r('s_acctbal')} AS s_acctbal FROM supplier")
+def object_store_path(spark, sf):
+    """URIs and absolute paths pass through; relative ones meet the project folder."""
+    folder, _, last = sf.rstrip("/").rpartition("/")
+    return readers.read_parquet(spark, readers.resolve(readers.resolve(f"{last}/supplier.parquet", folder or "."), "/elsewhere"))
+
+
 @q("SRC-09", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 500")
 def limit_rows(spark, sf):
     return readers.limit_rows(table(spark, sf, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey"), 500)

@@ -67,7 +67,11 @@ def monthly_series(spark, sf):
     return kpis.monthly_series(o, order_calendar(spark, sf), "o_totalprice")
 
 
-@q("AGG-07")
+@q("AGG-07", f"""
+  SELECT 'orders rows' AS name, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'orders.o_totalprice total', {r('sum(o_totalprice)', 2)} FROM orders
+  UNION ALL SELECT 'lineitem rows', count(*)::DOUBLE FROM lineitem UNION ALL SELECT 'lineitem.l_linenumber total', sum(l_linenumber)::DOUBLE FROM lineitem
+  UNION ALL SELECT 'lineitem.l_quantity total', {r('sum(l_quantity)', 2)} FROM lineitem UNION ALL SELECT 'lineitem.l_extendedprice total', {r('sum(l_extendedprice)', 2)} FROM lineitem
+  UNION ALL SELECT 'lineitem.l_discount total', {r('sum(l_discount)', 2)} FROM lineitem UNION ALL SELECT 'lineitem.l_tax total', {r('sum(l_tax)', 2)} FROM lineitem""", digits=2)
 def automatic_kpis(spark, sf):
     return kpis.auto_kpis({"orders": table(spark, sf, "orders"), "lineitem": table(spark, sf, "lineitem"), "dim_part": table(spark, sf, "part")})
 

@@ -369,7 +369,12 @@ def table_freshness(spark, sf):
     )
 
 
-@q("FRS-03")
+def _run(day):
+    return (f"SELECT 'events' AS table_name, count(*) AS rows, max(ts) AS data_date, 'up_to_date' AS state, '2024-01-{day}T06-00-00' AS run "
+            f"FROM events WHERE ts < TIMESTAMP '2024-01-{day} 06:00:00'")
+
+
+@q("FRS-03", f"{_run(30)} UNION ALL {_run(31)}")
 def run_history(spark, sf):
     from .base import scratch
 

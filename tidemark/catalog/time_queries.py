@@ -401,6 +401,100 @@ def future_periods(spark, sf):
     return ts.future_periods(priority_series(spark, sf), 4)
 
 
+# --- one step ahead of each chained method, written as SQL -------------------
+
+STEP = f"""{PRIORITY_SERIES},
+  p AS (SELECT segment, value AS v, row_number() OVER (PARTITION BY segment ORDER BY period) - 1 AS i, count(*) OVER (PARTITION BY segment) AS n FROM ser),
+  b AS (SELECT segment, max(n) AS n, avg(v) AS av, avg(v) FILTER (WHERE i >= n - 6) AS rec, sum(v) FILTER (WHERE i >= n - 12) AS s1, sum(v) FILTER (WHERE i >= n - 24 AND i < n - 12) AS s2,
+               avg(v) FILTER (WHERE i >= n - 18) AS a18, avg(v) FILTER (WHERE i >= n - 24) AS a24, max_by(v, i) AS lastv FROM p GROUP BY 1),
+  pos AS (SELECT segment, v, row_number() OVER (PARTITION BY segment ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY segment) AS c, v / lag(v) OVER (PARTITION BY segment ORDER BY i) AS g FROM p WHERE i % 12 = n % 12),
+  l AS (SELECT segment, max_by(v, k) AS lp, max(c) AS c, regr_slope(v, k) AS sl, regr_intercept(v, k) AS ic,
+               sum(v * exp(-1.0 + k / (c - 1.0))) / sum(exp(-1.0 + k / (c - 1.0))) AS w10, sum(v * exp(-0.8 + 0.8 * k / (c - 1.0))) / sum(exp(-0.8 + 0.8 * k / (c - 1.0))) AS w08,
+               sum(v * exp(-0.5 + 0.5 * k / (c - 1.0))) / sum(exp(-0.5 + 0.5 * k / (c - 1.0))) AS w05,
+               sum(g * exp(-1.5 + 1.5 * (k - 1) / (c - 2.0))) FILTER (WHERE k > 0) / sum(exp(-1.5 + 1.5 * (k - 1) / (c - 2.0))) FILTER (WHERE k > 0) AS own FROM pos GROUP BY 1),
+  gr AS (SELECT a.segment, sum(a.v / o.v * exp(-1.5 + 1.5 * (a.i - a.n + 6) / 5.0)) / sum(exp(-1.5 + 1.5 * (a.i - a.n + 6) / 5.0)) AS growth FROM p a JOIN p o ON o.segment = a.segment AND o.i = a.i - 12 WHERE a.i >= a.n - 6 GROUP BY 1),
+  jm AS (SELECT a.segment, a.v / o.v AS g, row_number() OVER (PARTITION BY a.segment ORDER BY a.i) - 1 AS k, count(*) OVER (PARTITION BY a.segment) AS c FROM p a JOIN p o ON o.segment = a.segment AND o.i = a.i - 1 WHERE a.i % 12 = a.n % 12),
+  jw AS (SELECT segment, sum(g * exp(-1.5 + 1.5 * k / (c - 1.0))) / sum(exp(-1.5 + 1.5 * k / (c - 1.0))) AS jump FROM jm GROUP BY 1),
+  tq AS (SELECT segment, quantile_cont(g, 0.05) AS q05, quantile_cont(g, 0.95) AS q95 FROM pos WHERE k > 0 GROUP BY 1),
+  tf AS (SELECT pos.segment, g, row_number() OVER (PARTITION BY pos.segment ORDER BY k) - 1 AS j, count(*) OVER (PARTITION BY pos.segment) AS m FROM pos JOIN tq ON tq.segment = pos.segment
+         WHERE k > 0 AND g >= greatest(0.5, q05) AND g <= least(2.0, q95)),
+  tw AS (SELECT segment, sum(g * exp(-1.5 + 1.5 * j / (m - 1.0))) / sum(exp(-1.5 + 1.5 * j / (m - 1.0))) AS trimmed FROM tf GROUP BY 1),
+  sm AS (SELECT * FROM smooth),
+  al AS (SELECT b.*, lp, c, sl, ic, w10, w08, w05, own, growth, jump, trimmed, tl, tt, dl, dt FROM b JOIN l USING (segment) JOIN gr USING (segment) JOIN jw USING (segment) JOIN tw USING (segment) JOIN sm USING (segment))"""
+
+SMOOTH = f"""WITH RECURSIVE {PRIORITY_SERIES},
+  q AS (SELECT segment, value AS v, row_number() OVER (PARTITION BY segment ORDER BY period) - 1 AS i, count(*) OVER (PARTITION BY segment) AS n, lead(value) OVER (PARTITION BY segment ORDER BY period) AS nx FROM ser),
+  rec(segment, i, tl, tt, dl, dt) AS (
+    SELECT segment, i, v, 0.0::DOUBLE, v, nx - v FROM q WHERE i = 0
+    UNION ALL SELECT q.segment, q.i, 0.15 * v + 0.85 * (tl + tt), 0.10 * (0.15 * v + 0.85 * (tl + tt) - tl) + 0.90 * tt,
+                     0.20 * v + 0.80 * (dl + 0.85 * dt), 0.10 * (0.20 * v + 0.80 * (dl + 0.85 * dt) - dl) + 0.90 * 0.85 * dt FROM rec JOIN q ON q.segment = rec.segment AND q.i = rec.i + 1),
+  smooth AS (SELECT rec.segment, tl, tt, dl, dt FROM rec JOIN q ON q.segment = rec.segment AND q.i = rec.i WHERE q.i = n - 1),
+  """
+
+
+def clip(x, low, high):
+    return f"least(greatest({x}, {low}), {high})"
+
+
+def railed(x):
+    return f"CASE WHEN rec > 0 THEN {clip(x, '0.5 * rec', '1.5 * rec')} ELSE {x} END"
+
+
+_theta = f"((tl + 0.80 * tt) * {clip('w10 / a18', 0.85, 1.15)})"
+ONE_STEP = {
+    "yoy": ("TS-09", f"lp * {clip('0.45 * own + 0.55 * growth', 0.75, 1.30)}"),
+    "mom": ("TS-10", f"lastv * {clip('jump', 0.65, 1.35)}"),
+    "theta": ("TS-11", railed(f"CASE WHEN rec > 0 AND ({_theta} > 1.3 * rec OR {_theta} < 0.7 * rec) THEN 0.6 * {_theta} + 0.4 * rec ELSE {_theta} END")),
+    "mean_reversion": ("TS-12", railed(f"(0.6 * av + 0.4 * rec) * {clip('w08 / av', 0.80, 1.20)}")),
+    "damped_trend": ("TS-13", railed(f"(dl + 0.85 * dt) * {clip('w05 / a24', 0.85, 1.15)}")),
+    "cycle_decay": ("TS-14", railed("lp * trimmed")),
+    "cycle_slope": ("TS-15", railed("0.6 * (ic + sl * c) + 0.4 * w05")),
+    "annual_factor": ("TS-16", railed(f"lp * {clip('s1 / s2', 0.80, 1.25)}")),
+}
+
+
+def _one_step(name, id, formula):
+    def run(spark, sf):
+        rows = ts.run_methods(priority_series(spark, sf), methods={name: forecasters.METHODS[name]})
+        return rows.where("kind = 'future' and step = 1").select("segment", "predicted")
+
+    run.__name__ = f"next_period_{name}"
+    q(id, f"{SMOOTH}{STEP[len(PRIORITY_SERIES) + 2:].lstrip()} SELECT segment, {r(formula, 3)} AS predicted FROM al", digits=3)(run)
+
+
+for _n, (_i, _f) in ONE_STEP.items():
+    _one_step(_n, _i, _f)
+
+
+def mean_of_three(path, cycle):
+    return float(path[-3:].mean())
+
+
+@q("TS-17", f"""
+  WITH {RECENT}, t AS (SELECT segment, max(value) FILTER (WHERE rn = 1) AS c, max(value) FILTER (WHERE rn = 2) AS b, max(value) FILTER (WHERE rn = 3) AS a FROM k GROUP BY 1),
+  x AS (SELECT segment, (a + b + c) / 3 AS p1, (b + c + (a + b + c) / 3) / 3 AS p2, c FROM t)
+  SELECT segment, CAST(s AS BIGINT) AS step, {r('CASE s WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE (c + p1 + p2) / 3 END')} AS predicted FROM x, (VALUES (1), (2), (3)) v(s)""")
+def chained_forecast(spark, sf):
+    """A caller's own one-step rule, chained over the horizon."""
+    rows = ts.run_methods(priority_series(spark, sf), methods={"own": forecasters.chained(mean_of_three)})
+    return rows.where("kind = 'future'").select("segment", "step", "predicted")
+
+
+@q("TS-25", f"""
+  WITH {PRIORITY_SERIES}, e AS (SELECT segment, max_by(value, period) AS b, min_by(value, period) AS a, count(*) AS n FROM ser GROUP BY 1)
+  SELECT segment, n AS cut, CAST(h AS BIGINT) AS step, n + h - 1 AS position, {r('b + (b - a) / (n - 1) * h')} AS predicted FROM e, (VALUES (1), (2), (3)) v(h)""")
+def full_history_forecast(spark, sf):
+    rows = ts.run_methods(priority_series(spark, sf), methods={"drift": forecasters.drift})
+    return rows.where("kind = 'future'").select("segment", "cut", "step", "position", "predicted")
+
+
+@q("TS-28", f"""
+  WITH {TRIALS} SELECT segment, method, cut, step::BIGINT AS step, period, {r('actual')} AS actual, {r('predicted')} AS predicted, {r('predicted - actual')} AS deviation,
+    {r('(predicted - actual) / actual * 100')} AS deviation_pct FROM tr WHERE method = 'seasonal_naive'""")
+def deviations_of_reference(spark, sf):
+    return ts.deviations(elementary_trials(spark, sf).where("method = 'seasonal_naive'"))
+
+
 def projection(spark, sf):
     s = ts.long_enough(ts.segment_series(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", ["o_orderpriority"]))
     return ts.Projection(s)

@@ -200,7 +200,7 @@ def cross_facts(spark, sf):
 
 @q("AGG-23", f"""
   WITH {CROSS}, s AS (
-    SELECT max(orders_each) / min(orders_each) AS so, max(events_each) / min(events_each) AS se,
+    SELECT max(orders_each) FILTER (WHERE orders_each > 0) / min(orders_each) FILTER (WHERE orders_each > 0) AS so, max(events_each) FILTER (WHERE events_each > 0) / min(events_each) FILTER (WHERE events_each > 0) AS se,
            max_by(member_group, orders_each) AS bo, min_by(member_group, orders_each) AS wo, max_by(member_group, events_each) AS be, min_by(member_group, events_each) AS we,
            max_by(events_each, orders_each) AS e_bo, min_by(events_each, orders_each) AS e_wo, max_by(orders_each, events_each) AS o_be, min_by(orders_each, events_each) AS o_we FROM crossed)
   SELECT CASE WHEN so > se THEN 'orders' ELSE 'events' END AS result, {r('greatest(so, se)')} AS spread,

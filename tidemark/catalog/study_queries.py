@@ -324,7 +324,7 @@ GROWTH = f"""{SELLER_SALES}, mo AS (SELECT DISTINCT year(day) AS y, month(day) A
   mb AS (SELECT dimension, member, coalesce(sum(amount) FILTER (WHERE own AND NOT now), 0) AS own0, coalesce(sum(amount) FILTER (WHERE own AND now), 0) AS own1,
                 coalesce(sum(amount) FILTER (WHERE NOT now), 0) AS market0, coalesce(sum(amount) FILTER (WHERE now), 0) AS market1 FROM lg GROUP BY 1, 2),
   tt AS (SELECT dimension, sum(own0) AS o0, sum(own1) AS o1, sum(market0) AS m0, sum(market1) AS m1 FROM mb GROUP BY 1),
-  dc AS (SELECT mb.*, own0 / o0 AS weight, market0 / m0 AS market_weight, coalesce(own1 / nullif(own0, 0) - 1, 0) AS own_growth, market1 / market0 - 1 AS market_growth, o1 / o0 - m1 / m0 AS gap FROM mb JOIN tt ON tt.dimension = mb.dimension WHERE market0 <> 0),
+  dc AS (SELECT mb.*, own0 / o0 AS weight, market0 / m0 AS market_weight, coalesce(own1 / nullif(own0, 0) - 1, 0) AS own_growth, market1 / market0 - 1 AS market_growth, o1 / o0 - m1 / m0 AS gap FROM mb JOIN tt ON tt.dimension = mb.dimension WHERE market0 <> 0 AND o0 <> 0 AND m0 <> 0 AND m1 <> 0),
   de AS (SELECT *, weight * (own_growth - market_growth) AS performance, (weight - market_weight) * market_growth AS mix, weight * (own_growth - market_growth) + (weight - market_weight) * market_growth AS total,
                 own0 / market0 AS prior_share, coalesce(own1 / nullif(market1, 0), 0) AS share FROM dc),
   sm AS (SELECT dimension, count(*) AS members, max(gap) AS gap, sum(performance) AS performance, sum(mix) AS mix, max(gap) - sum(performance) - sum(mix) AS residual, sum(abs(total)) AS weight,
@@ -352,9 +352,9 @@ def growth_summary(spark, sf):
     return growth.decomposition_summary(decomposed(spark, sf))
 
 
-PRICES = f"""{GROWTH}, v AS (SELECT sum(amount) FILTER (WHERE own AND NOT now) AS v0, sum(amount) FILTER (WHERE own AND now) AS v1, sum(units) FILTER (WHERE own AND NOT now) AS u0, sum(units) FILTER (WHERE own AND now) AS u1 FROM gs),
-  pv AS (SELECT v0 / u0 AS price0, v1 / u1 AS price1, (v1 / u1) / (v0 / u0) - 1 AS price_change, u0 AS units0, u1 AS units1, u1 / u0 - 1 AS units_change, (u1 - u0) * (v0 / u0) AS volume_effect,
-                (v1 / u1 - v0 / u0) * u1 AS price_effect, v1 - v0 AS value_change, v1 - v0 - (u1 - u0) * (v0 / u0) - (v1 / u1 - v0 / u0) * u1 AS residual FROM v)"""
+PRICES = f"""{GROWTH}, v AS (SELECT coalesce(sum(amount) FILTER (WHERE own AND NOT now), 0) AS v0, coalesce(sum(amount) FILTER (WHERE own AND now), 0) AS v1, coalesce(sum(units) FILTER (WHERE own AND NOT now), 0) AS u0, coalesce(sum(units) FILTER (WHERE own AND now), 0) AS u1 FROM gs),
+  pv AS (SELECT v0 / nullif(u0, 0) AS price0, v1 / nullif(u1, 0) AS price1, (v1 / nullif(u1, 0)) / nullif(v0 / nullif(u0, 0), 0) - 1 AS price_change, u0 AS units0, u1 AS units1, u1 / nullif(u0, 0) - 1 AS units_change, (u1 - u0) * (v0 / nullif(u0, 0)) AS volume_effect,
+                (v1 / nullif(u1, 0) - v0 / nullif(u0, 0)) * u1 AS price_effect, v1 - v0 AS value_change, v1 - v0 - (u1 - u0) * (v0 / nullif(u0, 0)) - (v1 / nullif(u1, 0) - v0 / nullif(u0, 0)) * u1 AS residual FROM v)"""
 
 
 def own_prices(spark, sf):

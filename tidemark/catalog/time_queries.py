@@ -248,8 +248,10 @@ def short_segments(spark, sf):
     return ts.omitted_segments(segment_rows(spark, sf), minimum=80)
 
 
-PRIORITY_SERIES = """ser AS (
-  SELECT o_orderpriority AS segment, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2)"""
+PRIORITY_SERIES = """seen AS (
+  SELECT o_orderpriority AS segment, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2),
+  spine AS (SELECT segment, CAST(unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH)) AS DATE) AS period FROM seen GROUP BY 1),
+  ser AS (SELECT spine.segment, spine.period, coalesce(value, 0.0::DOUBLE) AS value FROM spine LEFT JOIN seen ON seen.segment = spine.segment AND seen.period = spine.period)"""
 
 
 def priority_series(spark, sf):
@@ -318,7 +320,7 @@ TRIALS = f"""{PRIORITY_SERIES},
 CUT_METRICS = """cm AS (
   SELECT segment, method, cut, avg(abs(predicted - actual)) AS mae, sqrt(avg((predicted - actual) * (predicted - actual))) AS rmse,
          avg(CASE WHEN abs(actual) + abs(predicted) = 0 THEN 0 ELSE abs(predicted - actual) / ((abs(actual) + abs(predicted)) / 2) END) * 100 AS smape,
-         avg(abs((predicted - actual) / actual)) * 100 AS mape FROM {src} GROUP BY 1, 2, 3)"""
+         CASE WHEN count(*) FILTER (WHERE actual = 0) = 0 THEN avg(abs((predicted - actual) / nullif(actual, 0))) * 100 END AS mape FROM {src} GROUP BY 1, 2, 3)"""
 
 METRICS = """mm AS (SELECT segment, method, count(*) AS origins, avg(mae) AS mae, avg(rmse) AS rmse, avg(smape) AS smape, avg(mape) AS mape FROM cm GROUP BY 1, 2)"""
 
@@ -490,7 +492,7 @@ def full_history_forecast(spark, sf):
 
 @q("TS-28", f"""
   WITH {TRIALS} SELECT segment, method, cut, step::BIGINT AS step, period, {r('actual')} AS actual, {r('predicted')} AS predicted, {r('predicted - actual')} AS deviation,
-    {r('(predicted - actual) / actual * 100')} AS deviation_pct FROM tr WHERE method = 'seasonal_naive'""")
+    {r('(predicted - actual) / nullif(actual, 0) * 100')} AS deviation_pct FROM tr WHERE method = 'seasonal_naive'""")
 def deviations_of_reference(spark, sf):
     return ts.deviations(elementary_trials(spark, sf).where("method = 'seasonal_naive'"))
 
@@ -511,7 +513,7 @@ def forecast_table(spark, sf):
 
 
 @q("TS-27", f"""
-  WITH {PRIORITY_SERIES}, a AS (SELECT * FROM ser UNION ALL SELECT 'TOTAL', period, sum(value) FROM ser GROUP BY 2)
+  WITH {PRIORITY_SERIES}, a AS (SELECT * FROM ser UNION ALL SELECT 'TOTAL', period, sum(value) FROM ser GROUP BY 2 ORDER BY 1)
   SELECT segment, period, {r('value')} AS value, CAST(strftime(period, '%Y%m%d') AS BIGINT) AS date_key FROM a""")
 def forecast_table_history(spark, sf):
     return projection(spark, sf).table().where("kind = 'history'").select("segment", "period", "value", "date_key")
@@ -522,7 +524,7 @@ def actual_vs_projected(spark, sf):
     return projection(spark, sf).actual_vs_projected()
 
 
-DEV = f"""{TRIALS}, dv AS (SELECT segment, cut, step, actual, predicted, (predicted - actual) / actual * 100 AS dp FROM tr WHERE method = 'drift')"""
+DEV = f"""{TRIALS}, dv AS (SELECT segment, cut, step, actual, predicted, (predicted - actual) / nullif(actual, 0) * 100 AS dp FROM tr WHERE method = 'drift')"""
 
 
 @q("TS-29", f"""

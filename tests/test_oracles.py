@@ -1,4 +1,4 @@
-"""Every registered query against its SQL twin on the smallest tables."""
+"""Every registered query against its SQL twin, at the scale of the gate."""
 
 import os
 
@@ -7,7 +7,7 @@ from check_oracles import compare, database
 
 from tidemark import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 

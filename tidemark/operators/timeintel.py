@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div
-from ..functions.scale import with_totals
+from ..functions.scale import ordered_rank, with_totals
 
 # Integer order of each grain and the jump that is one year.
 GRAINS = {
@@ -165,14 +165,14 @@ def comparable_share(df: DataFrame, day: str, value: str, seller: str, keys: Seq
 def ranked(grouped: DataFrame, value: str = "value", keys: Sequence[str] = (), dense: bool = False) -> DataFrame:
     """Position by value, descending; with gaps unless `dense`.
 
-    The order is built from counted distinct values, so sellers are never
-    sorted together in one task when there are many.
+    Rows (or, for `dense`, distinct values) are numbered by `ordered_rank`;
+    equal values then share their first number.
     """
-    counts = grouped.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    span = Window.partitionBy(*keys).orderBy(F.desc(value))
-    before = F.sum("__n").over(span.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
-    position = F.row_number().over(span) if dense else before + 1
-    places = counts.withColumn("rank", position.cast("bigint")).drop("__n")
+    keys = list(keys)
+    rows = grouped.select(*keys, value).distinct() if dense else grouped
+    tied = rows.withColumn("__tie", F.xxhash64(*rows.columns))
+    numbered = ordered_rank(tied, value, "__tie", keys, descending=True, out="__at", total="__of")
+    places = numbered.groupBy(*keys, value).agg(F.min("__at").alias("rank"))
     return grouped.join(places, [*keys, value])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ACCENTED, PLAIN, fold_accents, safe_div
-from ..functions.scale import ordered_rank
+from ..functions.scale import ordered_rank, small_side
 
 MERGE_BELOW = 700
 SHORTEST_SENTENCE = 12
@@ -233,12 +233,12 @@ def best_passage(questions: DataFrame, lines: DataFrame) -> DataFrame:
     """Per question the sentence sharing most words, two at least, first wins.
 
     Sentences are numbered by (doc, turn, sentence).  Words meet by equi-join;
-    the best of each question is a maximum per key, so a common word never
-    gathers its sentences in one place beyond the join itself.
+    a short list of questions is broadcast, so a common word never gathers its
+    sentences, and the best of each question is a minimum per key.
     """
     asked = questions.select("question_id", F.explode(_tokens(F.col("question"))).alias("w"))
     said = lines.select("doc", "turn", "sentence", F.explode(_tokens(F.col("text"))).alias("w"))
-    shared = said.join(asked, "w").groupBy("question_id", "doc", "turn", "sentence").agg(F.count(F.lit(1)).alias("shared"))
+    shared = said.join(small_side(asked), "w").groupBy("question_id", "doc", "turn", "sentence").agg(F.count(F.lit(1)).alias("shared"))
     best = (
         shared.where(F.col("shared") >= SHARED_WORDS)
         .groupBy("question_id")

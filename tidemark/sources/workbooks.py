@@ -85,7 +85,7 @@ def _as_table(cells: DataFrame) -> DataFrame:
 
 def _with_first_row(cells: DataFrame) -> DataFrame:
     first = cells.groupBy("file", "sheet_number").agg(F.min("row").alias("first_row"), F.countDistinct("row").alias("n_rows"))
-    return cells.join(F.broadcast(first), ["file", "sheet_number"])
+    return cells.join(first, ["file", "sheet_number"])
 
 
 def read_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:

@@ -135,9 +135,16 @@ def price_volume(df: DataFrame, day: str, value: str, units: str, own: Column) -
 
 
 def explain_growth(df: DataFrame, day: str, value: str, own: Column, dimensions: Sequence[str]) -> DataFrame:
+    """The breakdowns that explain most, straight from the facts."""
+    return explain_members(decompose(df, day, value, own, dimensions))
+
+
+def explain_members(members: DataFrame) -> DataFrame:
     """The breakdowns that explain most: 2..40 members, duplicates removed,
-    contested dimensions first, four at most."""
-    members = decompose(df, day, value, own, dimensions)
+    contested dimensions first, four at most.
+
+    `members` is read three times; pin it when it is already decomposed.
+    """
     sizes = members.groupBy("dimension").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, MAX_MEMBERS))
     members = members.join(sizes.select("dimension"), "dimension", "left_semi")
     prints = members.groupBy("dimension").agg(

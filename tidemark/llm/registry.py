@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ngram_join
+from tidemark.llm import decontam, ngram_join, packing
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_benchmark_decontamination(spark, sf_dir):
+    """Words of documents inside shared ten-word windows of benchmark items."""
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_packing(spark, sf_dir):
+    """Documents as token pieces in windows of 1024."""
+    return packing.pack_digest(table(spark, sf_dir, "documents"), byte_tokenizer())
+
+
 def op9_ngram_jaccard(spark, sf_dir):
     """Components of documents linked by 3-word shingle Jaccard of 0.9 or more."""
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (op6_benchmark_decontamination, op8_packing, op9_ngram_jaccard)
+
+
 def queries():
-    return {"op9_ngram_jaccard": op9_ngram_jaccard}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql():

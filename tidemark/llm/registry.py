@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam, ngram_join, packing
+from tidemark.llm import decontam, ngram_join, packing, store, warc
 
 
 def table(spark, sf_dir, name):
@@ -20,6 +20,13 @@ def op6_benchmark_decontamination(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark, sf_dir):
+    """Pages written as WARC records and read back."""
+    path = store.shared_folder(spark)
+    warc.archive(spark, table(spark, sf_dir, "pages"), path)
+    return warc.page_report(spark, path)
+
+
 def op8_packing(spark, sf_dir):
     """Documents as token pieces in windows of 1024."""
     return packing.pack_digest(table(spark, sf_dir, "documents"), byte_tokenizer())
@@ -30,7 +37,7 @@ def op9_ngram_jaccard(spark, sf_dir):
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op6_benchmark_decontamination, op8_packing, op9_ngram_jaccard)
+QUERIES = (op6_benchmark_decontamination, op7_warc, op8_packing, op9_ngram_jaccard)
 
 
 def queries():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam, language_id, ngram_join, packing, store, substring_dedup, warc
+from tidemark.llm import decontam, html_text, language_id, ngram_join, packing, store, substring_dedup, warc
 
 
 def table(spark, sf_dir, name):
@@ -20,6 +20,11 @@ def op1_language_id(spark, sf_dir):
     return language_id.report(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_substring_dedup(spark, sf_dir):
     """Documents without the words of 20-word windows that start earlier elsewhere."""
     return substring_dedup.report(table(spark, sf_dir, "documents"))
@@ -47,7 +52,7 @@ def op9_ngram_jaccard(spark, sf_dir):
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_language_id, op5_substring_dedup, op6_benchmark_decontamination, op7_warc, op8_packing, op9_ngram_jaccard)
+QUERIES = (op1_language_id, op3_html_extraction, op5_substring_dedup, op6_benchmark_decontamination, op7_warc, op8_packing, op9_ngram_jaccard)
 
 
 def queries():

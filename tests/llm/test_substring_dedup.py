@@ -27,6 +27,7 @@ def corpus(seed, docs=60):
         if i % 11 == 0:
             body += ["x", "y"] * rng.randint(5, 60)
         rows.append((i, rng.choice([" ", "  ", "\n"]).join(body)))
+    rows += [(300 + i, " ".join(x for w in rng.sample(words, 9) for x in [w] * rng.randint(1, 40))) for i in range(8)]
     rows += [(100 + i, rows[i][1]) for i in range(5)] + [(200, None), (201, ""), (202, "z " * 300), (203, "z " * 25), (204, "q" * 50_000)]
     rng.shuffle(rows)
     return rows

@@ -4,9 +4,10 @@ A word goes if a window of `size` words that covers it, as a sequence, also
 starts earlier: in a smaller doc_id, or earlier in the same document.
 
 1. *Segments.*  Every window has a minimizer, the least hash of its `GRAM`-word
-   grams.  Consecutive windows with one minimizer form a segment.  Equal windows
-   have equal minimizers, so a minimizer seen once in the corpus has nothing to
-   compare; only segments of repeated ones stay.
+   grams (the first of equal ones).  Consecutive windows whose minimizer is the same
+   place form a segment.  Equal windows have equal minimizers in the same relative
+   place, so a minimizer with one segment in the corpus has nothing to compare; only
+   segments of repeated ones stay.
 2. *Classes.*  Segments with equal words collapse to one class with its earliest
    occurrence, so a passage that a third of all documents share is one row.
 3. *FM-index per shard.*  Classes are dealt to shards by minimizer, and shards
@@ -42,6 +43,7 @@ from tidemark.llm.fm_index import earlier_copies
 U64 = tk.U64
 GRAM = 5
 LONGEST = 48  # windows in a segment; marks of a segment are the bits of one long
+PLACES = 1 << 28  # words that one slice may have
 SHARD_CLASSES = 30_000
 
 
@@ -52,7 +54,9 @@ def segments(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarr
     none = np.zeros(0, np.int64)
     if not len(starts):
         return none, none, none, none
-    least = tk.sliding_min(tk.grams(hashes, GRAM), size - GRAM + 1)[starts]
+    g = tk.grams(hashes, GRAM)
+    placed = (g & ~U64(PLACES - 1)) | np.arange(len(g), dtype=U64)  # of equal values the first is least
+    least = tk.sliding_min(placed, size - GRAM + 1)[starts] & U64(PLACES - 1)
     owner = np.repeat(np.arange(len(counts)), counts)
     fresh = np.ones(len(least), bool)
     fresh[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
@@ -61,7 +65,7 @@ def segments(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarr
     pieces = -(-length // LONGEST)
     at = np.repeat(begin, pieces) + tk.ranges(np.zeros(len(begin), np.int64), pieces) * LONGEST
     n = np.diff(np.append(at, len(least)))
-    return owner[at], starts[at], n, least[at].view(np.int64)
+    return owner[at], starts[at], n, g[least[at].astype(np.int64)].view(np.int64)
 
 
 def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam, html_text, language_id, ngram_join, packing, store, substring_dedup, warc
+from pyspark.sql import functions as F
+
+from tidemark.llm import chat_format, decontam, html_text, language_id, license_scan, mtree, ngram_join, packing, store, substring_dedup, warc
 
 
 def table(spark, sf_dir, name):
@@ -20,11 +22,21 @@ def op1_language_id(spark, sf_dir):
     return language_id.report(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark, sf_dir):
+    """License notices in every document."""
+    return license_scan.notices(table(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark, sf_dir):
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_chat_rotation(spark, sf_dir):
+    """Every conversation from the perspective of each participant."""
+    return chat_format.rotated(table(spark, sf_dir, "conversations"))
+
+
 def op5_substring_dedup(spark, sf_dir):
     """Documents without the words of 20-word windows that start earlier elsewhere."""
     return substring_dedup.report(table(spark, sf_dir, "documents"))
@@ -52,7 +64,15 @@ def op9_ngram_jaccard(spark, sf_dir):
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_language_id, op3_html_extraction, op5_substring_dedup, op6_benchmark_decontamination, op7_warc, op8_packing, op9_ngram_jaccard)
+def op10_exact_top_k(spark, sf_dir):
+    """Five best inner products for every fiftieth vector."""
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = (
+    op1_language_id, op2_license_scan, op3_html_extraction, op4_chat_rotation, op5_substring_dedup,
+    op6_benchmark_decontamination, op7_warc, op8_packing, op9_ngram_jaccard, op10_exact_top_k,
+)
 
 
 def queries():
@@ -60,4 +80,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op4_chat_rotation": chat_format.ROTATED_SQL}

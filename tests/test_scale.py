@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scale
+from tidemark.operators import model
 
 
 @pytest.fixture
@@ -23,8 +24,7 @@ def skewed(spark):
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("keys", [[], ["k"]])
 @pytest.mark.parametrize("order", ["v", "s"])
-def test_ranks_built_in_pieces(monkeypatch, skewed, keys, order, descending):
-    monkeypatch.setattr(scale, "BOUNDED_ROWS", 200)
+def test_ranks_built_in_pieces(skewed, keys, order, descending):
     direction = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
     span = Window.partitionBy(*keys)
     plain = skewed.select(
@@ -35,16 +35,28 @@ def test_ranks_built_in_pieces(monkeypatch, skewed, keys, order, descending):
     assert sorted(ours.collect()) == sorted(plain.collect())
 
 
-def test_no_piece_holds_a_hot_value(monkeypatch, skewed):
-    """40 % of the rows share one value; pieces must still stay small."""
-    monkeypatch.setattr(scale, "BOUNDED_ROWS", 1000)
-    plan = scale.ordered_rank(skewed, "v", "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "__slice" in plan and "__piece" in plan
+def test_no_piece_holds_a_hot_value(spark, skewed):
+    """40 % of the rows share one value and half of them one key; pieces must still stay small."""
+    for order in ([F.col("v"), F.col("id")], [F.col("k"), F.col("v"), F.col("id")]):
+        with_pieces = scale.sorted_pieces(skewed, order)
+        sizes = [r["count"] for r in with_pieces.groupBy("__piece").count().collect()]
+        assert len(sizes) == 1 or max(sizes) < 1000
 
 
-@pytest.mark.parametrize("bound", [50, 20_000])
-def test_quantiles(monkeypatch, spark, bound):
-    monkeypatch.setattr(scale, "BOUNDED_ROWS", bound)
+def test_versions_of_many_keys(spark):
+    """History of 30,000 keys, half of which change: surrogates stay dense in (key, version) order."""
+    import datetime as dt
+
+    keys = spark.range(30_000).select(F.concat(F.lit("k"), F.col("id")).alias("key"), F.lit("a").alias("x"))
+    first = model.dimension_scd2(keys, "key", dt.date(2024, 1, 1))
+    changed = keys.withColumn("x", F.when(F.crc32("key") % 2 == 0, "b").otherwise("a"))
+    second = model.dimension_scd2(changed, "key", dt.date(2024, 2, 1), previous=first)
+    rows = second.select("dim_key", "key", "version").collect()
+    assert 44_000 < len(rows) < 46_000
+    assert [r.dim_key for r in sorted(rows, key=lambda r: (r.key, r.version))] == list(range(1, len(rows) + 1))
+
+
+def test_quantiles(spark):
     values = np.round(np.random.default_rng(1).normal(size=501), 2)
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
     got = scale.exact_quantiles(df, "v", (0.2, 0.37, 0.8))
@@ -65,11 +77,14 @@ def test_quintile_rules(spark):
     assert [tuple(r) for r in got] == [(1, 2), (1, 2), (2, 1), (1, 1)]
 
 
-def test_pinned_and_small_side(spark):
-    df = spark.range(30).repartition(3)
-    assert scale.pinned(df, 10) is df
-    assert sorted(r.id for r in scale.pinned(df, 30).collect()) == list(range(30))
-    assert "Broadcast" in spark.range(5).join(scale.small_side(df), "id")._jdf.queryExecution().executedPlan().toString()
+def test_cluster_without_a_shared_folder_is_refused(spark):
+    assert scale.shared_folder(spark) != scale.shared_folder(spark)
+
+    class Elsewhere:
+        conf, sparkContext = type("C", (), {"get": staticmethod(lambda *a: None)}), type("S", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError):
+        scale.shared_folder(Elsewhere())
 
 
 def test_totals_need_no_window(spark):

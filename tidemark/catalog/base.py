@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scale import shared_folder as scratch  # noqa: F401  (families import it from here)
+
 INTS = (T.ByteType, T.ShortType, T.IntegerType)
 
 
@@ -66,17 +65,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder every executor can reach.
-
-    On a cluster it lies in the shared folder the session names; only where
-    none is set, as in tests, is it local.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-
-
 def sales(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as dated sales of a product to a client."""
     lines = table(spark, sf, "lineitem").select(

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions.scalars import date_key
-from ..functions.scale import pinned
+from ..functions.scale import landed
 from ..operators import campaigns as camp
 from ..operators import growth, paths
 from ..operators import transcripts as tx
@@ -383,7 +383,7 @@ def growth_explained(spark, sf):
   UNION ALL SELECT 'strength', dimension, member, {r('abs(total) * 100')}, {r('own_growth')}, {r('market_growth')} FROM hi WHERE rn <= 2
   UNION ALL SELECT 'price', '—', '—', {r('abs(price_effect)')}, {r('units_change')}, NULL FROM pv WHERE abs(price_change) > 0.005""")
 def growth_opportunities(spark, sf):
-    members = pinned(decomposed(spark, sf))
+    members = landed(decomposed(spark, sf))
     return growth.opportunities(members, growth.explain_members(members), own_prices(spark, sf))
 
 

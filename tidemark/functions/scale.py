@@ -1,41 +1,52 @@
-"""Helpers that keep ranks, quantiles and small sides safe at any size."""
+"""Helpers that keep ranks and quantiles safe at any size."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Rows that one task may sort or one driver call may hold.
-BOUNDED_ROWS = 20_000
-BROADCAST_ROWS = 200_000
+ROOT = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}  # application -> its folder, where none is declared
 
 
-def shuffle_width(df: DataFrame) -> int:
-    return max(8, min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder every executor can reach: under the folder the session declares in spark.checkpoint.dir.
 
+    A session of one machine (tests, bench) may leave that unset and gets a local
+    one; on a cluster a missing setting is an error, not a machine-local write.
+    """
+    root = spark.conf.get(ROOT, None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {ROOT} to a folder that all executors share")
+        root = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tidemark-")
+        _LOCAL[spark.sparkContext.applicationId] = root
+    return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
-def pinned(df: DataFrame, max_rows: int = BOUNDED_ROWS) -> DataFrame:
-    """A small declared table (calendar, scope) read once and kept in the plan.
 
-    At most ``max_rows + 1`` rows are fetched; a larger table comes back as it
-    is, so nothing depends on it being small but the work saved.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    return df if head.num_rows > max_rows else df.sparkSession.createDataFrame(head, df.schema)
+def landed(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder and read back, so that later uses do not recompute them."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a join side for broadcast only after its row count was checked.
+def sorted_pieces(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The rows with __piece and __at: range-partitioned and sorted by `order`, then landed.
 
-    The check reads at most ``max_rows + 1`` rows; a larger side is returned
-    unmarked and joins by shuffle.
+    Pieces follow each other in the order, and so do the rows of a piece by __at,
+    which counts from 0.  Spark cuts the ranges from its own sample; any cut gives
+    the same order.  Landing fixes the pieces, as two runs may cut differently.
     """
-    few = pinned(df)
-    if few is not df:
-        return F.broadcast(few)
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = landed(ranged.withColumn("__id", F.monotonically_increasing_id()))
+    return numbered.select(
+        *df.columns, F.shiftright("__id", 33).alias("__piece"), F.col("__id").bitwiseAND((1 << 33) - 1).alias("__at")
+    )
 
 
 def ordered_rank(
@@ -47,119 +58,58 @@ def ordered_rank(
     out: str = "position",
     total: str = "group_rows",
 ) -> DataFrame:
-    """1..n by (order, tie) inside `keys`, plus the group's row count.
-
-    A plain window would sort one group in one task.  Here the order axis is
-    cut at sampled split values, so a hot group is numbered piece by piece and
-    each piece gets an offset from a small table of piece counts.  A value that
-    is itself hot is cut again along `tie`.  The splits steer balance only:
-    any splits give the same numbers.  Data small enough to be held by the
-    sample takes the plain window.  Nulls come last.
+    """1..n by (order, tie) inside `keys`, plus the group's row count; nulls come last.
+
+    One path for every size: rows are sorted in range pieces, so a group of any
+    size is spread over them, and each piece's share of a group is offset by the
+    shares before it.  Only those shares, counts, are ever summed in a window.
     """
-    sample = (
-        df.select(F.col(order).alias("o"), F.col(tie).alias("t"))
-        .orderBy(F.rand(11))
-        .limit(BOUNDED_ROWS)
-        .collect()
-    )
     keys = list(keys)
     direction = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
-    if len(sample) < BOUNDED_ROWS:
-        span = Window.partitionBy(*keys)
-        return df.withColumns(
-            {
-                out: F.row_number().over(span.orderBy(direction, F.col(tie))).cast("long"),
-                total: F.count(F.lit(1)).over(span),
-            }
-        )
-
-    pieces = shuffle_width(df)
-    kinds = dict(df.dtypes)
-
-    def splits(values, kind):
-        values = sorted(v for v in values if v is not None)
-        step = max(1, len(values) // pieces)
-        return F.array(*[F.lit(v) for v in sorted(set(values[step::step]))]).cast(f"array<{kind}>")
-
-    cuts = splits([r.o for r in sample], kinds[order])
-    tie_cuts = splits([r.t for r in sample], kinds[tie])
-    below = F.size(F.filter(cuts, lambda s: s < F.col(order))) * 2
-    on_cut = F.array_contains(cuts, F.col(order))
-    last = F.lit(-1) if descending else 2 * F.size(cuts) + 2
-    marked = df.withColumn(
-        "__piece", F.when(F.col(order).isNull(), last).otherwise(below + on_cut.cast("int"))
-    ).withColumn(
-        "__slice",
-        F.when(
-            F.col(order).isNull() | (F.col("__piece") % 2 == 1),
-            F.size(F.filter(tie_cuts, lambda s: s < F.col(tie))),
-        ).otherwise(F.lit(0)),
-    )
-    chunk = [*keys, "__piece", "__slice"]
-    piece_order = [F.col("__piece").desc() if descending else F.col("__piece"), F.col("__slice")]
+    placed = sorted_pieces(df, [*[F.col(k) for k in keys], direction, F.col(tie)])
     span = Window.partitionBy(*keys)
-    offsets = (
-        marked.groupBy(*chunk)
-        .agg(F.count(F.lit(1)).alias("__rows"))
+    shares = (
+        placed.groupBy(*keys, "__piece")
+        .agg(F.count(F.lit(1)).alias("__rows"), F.min("__at").alias("__first"))
         .withColumns(
             {
-                "__before": F.sum("__rows").over(
-                    span.orderBy(*piece_order).rowsBetween(Window.unboundedPreceding, 0)
-                )
-                - F.col("__rows"),
+                "__before": F.sum("__rows").over(span.orderBy("__piece").rowsBetween(Window.unboundedPreceding, 0))
+                - F.col("__rows") - F.col("__first") + 1,
                 total: F.sum("__rows").over(span),
             }
         )
-        .select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(chunk)], "__before", total)
+        .select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__piece").alias("__p"), "__before", total)
     )
-    local = F.row_number().over(Window.partitionBy(*chunk).orderBy(direction, F.col(tie)))
-    joined = marked.withColumn("__local", local).join(
-        offsets,
-        [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(chunk)],
-    )
-    return joined.withColumn(out, F.col("__local") + F.col("__before")).select(*df.columns, out, total)
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    joined = placed.join(shares, [F.col("__piece") == F.col("__p"), *same])
+    return joined.withColumn(out, F.col("__at") + F.col("__before")).select(*df.columns, out, total)
 
 
 def exact_quantiles(df: DataFrame, column: str, levels: Sequence[float]) -> list[float]:
     """Linear-interpolation quantiles of one column, exact at any size.
 
-    Values are counted first, so repeated values cost one row.  When the
-    distinct values fit a bounded sort they are accumulated directly, else the
-    two neighbours of each level are picked from a distributed rank.
+    Values are counted first, so repeated values cost one row; the two
+    neighbours of each level are the first values whose running count passes them.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    head = counted.limit(BOUNDED_ROWS).collect()
-    if len(head) < BOUNDED_ROWS:
-        pairs = sorted((r.v, r.n) for r in head)
-        rows = sum(n for _, n in pairs)
-        if not rows:
-            return []
-
-        def at(position):
-            seen = 0
-            for v, n in pairs:
-                seen += n
-                if position < seen:
-                    return v
-            return pairs[-1][0]
-
-    else:
-        rows = values.count()
-        wanted = sorted({int((rows - 1) * q) + d for q in levels for d in (1, 2)})
-        ranked = ordered_rank(
-            values.withColumn("t", F.xxhash64("v")), "v", "t", out="position"
-        )
-        found = {r.position: r.v for r in ranked.where(F.col("position").isin(wanted)).collect()}
-
-        def at(position):
-            return found[min(position + 1, rows)]
-
+    placed = sorted_pieces(values.groupBy("v").agg(F.count(F.lit(1)).alias("n")), [F.col("v")])
+    pieces = placed.groupBy("__piece").agg(F.sum("n").alias("of"))
+    before = pieces.select(
+        F.col("__piece").alias("__p"), (F.sum("of").over(Window.orderBy("__piece")) - F.col("of")).alias("before")
+    )
+    rows = pieces.agg(F.sum("of").alias("n")).first().n
+    if not rows:
+        return []
+    running = placed.join(before, F.col("__piece") == F.col("__p")).select(
+        "v", (F.sum("n").over(Window.partitionBy("__piece").orderBy("__at")) + F.col("before")).alias("until")
+    )
+    wanted = sorted({min(int((rows - 1) * q) + d, rows - 1) for q in levels for d in (0, 1)})
+    found = running.agg(*[F.min(F.when(F.col("until") > w, F.col("v"))).alias(str(w)) for w in wanted]).first()
     out = []
     for q in levels:
         place = (rows - 1) * q
         low = int(place)
-        a, b = at(low), at(min(low + 1, rows - 1))
+        a, b = found[str(low)], found[str(min(low + 1, rows - 1))]
         out.append(a + (b - a) * (place - low))
     return out
 

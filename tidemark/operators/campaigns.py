@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import date_from_key, pct_change, safe_div
-from ..functions.scale import cut_points, pinned, quintile, small_side
+from ..functions.scale import cut_points, landed, quintile
 from .joins import explode_days, first_matching_interval, interval_join, mark_scope
 
 EDITION = ["campaign", "edition"]
@@ -72,7 +72,7 @@ def campaign_calendar(df: DataFrame, campaign: str = "campaign", edition: str =
         if bad:
             raise CampaignError(f"editions with invalid dates: {[(r.campaign, r.edition) for r in bad]}")
     out = out.where(good).withColumn("days", (F.datediff("to_day", "from_day") + 1).cast("bigint"))
-    return pinned(number_editions(out))
+    return landed(number_editions(out))
 
 
 def prior_editions(calendar: DataFrame) -> DataFrame:
@@ -125,18 +125,18 @@ def campaign_windows(calendar: DataFrame, baseline: int = BASELINE_DAYS, carry:
 
 
 def campaign_scope(scope: DataFrame) -> DataFrame:
-    return pinned(scope.select(*EDITION, "product").distinct())
+    return landed(scope.select(*EDITION, "product").distinct())
 
 
 def _in_windows(sales: DataFrame, windows: DataFrame, scope: DataFrame | None) -> DataFrame:
     """Sales repeated per window that holds their day, flagged by group."""
     days = explode_days(windows.select(*EDITION, "time_window", "from_day", "to_day")).drop("from_day", "to_day")
-    rows = sales.join(small_side(days), "day")
+    rows = sales.join(days, "day")
     if scope is None:
         return rows.withColumn("arm", F.lit("campaign"))
     flagged = scope.select(*EDITION, "product", F.lit(True).alias("__in"))
     has_scope = scope.select(*EDITION, F.lit(True).alias("__has")).distinct()
-    marked = rows.join(small_side(flagged), [*EDITION, "product"], "left").join(small_side(has_scope), EDITION, "left")
+    marked = rows.join(flagged, [*EDITION, "product"], "left").join(has_scope, EDITION, "left")
     inside = F.coalesce("__in", F.lit(False)) | F.col("__has").isNull()
     return marked.withColumn("arm", F.when(inside, F.lit("campaign")).otherwise(F.lit("control"))).drop("__in", "__has")
 
@@ -196,7 +196,7 @@ def campaign_panel(sales: DataFrame, windows: DataFrame, scope: DataFrame | None
     arms = F.array(F.lit("campaign"), F.lit("control")) if scope is not None else F.array(F.lit("campaign"))
     if scope is not None:
         has_scope = scope.select(*EDITION, F.lit(True).alias("__has")).distinct()
-        grid = grid.join(small_side(has_scope), EDITION, "left")
+        grid = grid.join(has_scope, EDITION, "left")
         arms = F.when(F.col("__has"), arms).otherwise(F.array(F.lit("campaign")))
         grid = grid.withColumn("arm", F.explode(arms)).drop("__has")
     else:
@@ -307,7 +307,7 @@ def campaign_price(sales: DataFrame, windows: DataFrame, scope: DataFrame | None
     rows = _in_windows(sales, windows, scope)
     if scope is not None:
         inside = scope.select(*EDITION, "product")
-        rows = rows.join(small_side(inside), [*EDITION, "product"], "left_semi")
+        rows = rows.join(inside, [*EDITION, "product"], "left_semi")
     sums = rows.groupBy(*EDITION, "product").agg(
         *[
             F.sum(F.when(F.col("time_window") == w, F.col(m))).alias(f"{w}_{m}")

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scale import small_side
 
 
 class NotUnique(ValueError):
@@ -71,7 +70,7 @@ def explode_days(windows: DataFrame, start: str = "from_day", end: str = "to_day
 
 def interval_join(sales: DataFrame, windows: DataFrame, day: str = "day") -> DataFrame:
     """Every sale with every window holding its day; overlaps repeat the sale."""
-    return sales.join(small_side(explode_days(windows, day=day)), day)
+    return sales.join(explode_days(windows, day=day), day)
 
 
 def first_matching_interval(df: DataFrame, day: str, ranges: DataFrame, label: str,
@@ -83,7 +82,7 @@ def first_matching_interval(df: DataFrame, day: str, ranges: DataFrame, label: s
         .agg(F.min_by(label, F.struct(*order)).alias("__label"))
     )
     return (
-        df.join(small_side(first), F.col(day) == F.col("__day"), "left")
+        df.join(first, F.col(day) == F.col("__day"), "left")
         .withColumn(out, F.coalesce("__label", F.lit(otherwise)))
         .drop("__day", "__label")
     )

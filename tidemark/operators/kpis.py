@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reasons import reason
 from ..functions.scalars import format_number, safe_div
-from ..functions.scale import small_side, with_totals
+from ..functions.scale import with_totals
 from .profiling import is_numeric
 
 PLAIN = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
@@ -116,7 +116,7 @@ def kpi_by_attribute(fact: DataFrame, dim: DataFrame, key: str, attribute: str,
 def monthly_series(fact: DataFrame, calendar: DataFrame, column: str, key: str = "date_key") -> DataFrame:
     per_day = fact.groupBy(key).agg(F.sum(column).alias("__v"))
     return (
-        per_day.join(small_side(calendar.select(key, "year_month")), key)
+        per_day.join(calendar.select(key, "year_month"), key)
         .groupBy("year_month")
         .agg(F.sum("__v").alias("value"))
     )

@@ -92,8 +92,7 @@ def dimension_scd2(df: DataFrame, key: str, as_of: date, previous: DataFrame | N
         )
         closed = previous.where(~F.col("is_current"))
         rows = closed.unionByName(both.select(F.inline(actions)))
-    slot = F.struct(F.col(key), F.col("version"))
-    ranked = ordered_rank(rows.withColumn("__slot", slot), "__slot", "version", out=surrogate, total="__n")
+    ranked = ordered_rank(rows, key, "version", out=surrogate, total="__n")
     return ranked.select(surrogate, key, *attributes, *HISTORY)
 
 

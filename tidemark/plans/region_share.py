@@ -36,7 +36,7 @@ def region_share(spark: SparkSession, orders: DataFrame, customer: DataFrame, na
     calendar = model.calendar(spark, *span)
     # Facts shrink to one row per client and day before they meet a dimension.
     daily = fact.groupBy("dim_customer_key", "date_key").agg(F.sum("o_totalprice").alias("revenue"))
-    dated = joins.calendar_join(daily, joins.small_side(calendar.select("date_key", "year_month_order")))
+    dated = joins.calendar_join(daily, calendar.select("date_key", "year_month_order"))
     placed = joins.star_join(dated, dim.select("dim_customer_key", "r_name"), "dim_customer_key")
     grouped = placed.groupBy(F.col("r_name").alias("region"), F.col("year_month_order").alias("period")).agg(
         F.sum("revenue").alias("value")

@@ -129,7 +129,9 @@ def marked(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 4) -> Dat
     near = near.join(known.select("item", "words"), "item").groupBy("row").agg(
         F.collect_list(F.struct("item_id", "words")).alias("__near"))
     near = store.written(near, "near")
-    named = docs.withColumn("__row", row_hash()).join(near.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
+    # hits grow with the corpus, so they are never sent whole to every task
+    near = near.withColumnRenamed("row", "__row").hint("merge")
+    named = docs.withColumn("__row", row_hash()).join(near, "__row", "left").drop("__row")
 
     def run(batches):
         for batch in batches:

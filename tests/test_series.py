@@ -93,24 +93,29 @@ def slow_annual(y, m):
     return rail(same(y, m)[-1] * min(max(k, 0.8), 1.25), y)
 
 
+def ahead(spark, method, y, horizon, m):
+    row = spark.createDataFrame([([float(v) for v in y],)], "y array<double>")
+    return np.array(row.select(method(F.col("y"), horizon, m).alias("p")).first().p, float)
+
+
 SLOW = {"yoy": slow_yoy, "mom": slow_mom, "theta": slow_theta, "mean_reversion": slow_reversion, "damped_trend": slow_damped,
         "cycle_decay": slow_decay, "cycle_slope": slow_slope, "annual_factor": slow_annual}
 
 
 @pytest.mark.parametrize("name", SLOW)
 @pytest.mark.parametrize("n, m", [(26, 12), (40, 12), (61, 12), (23, 4), (50, 7)])
-def test_chained_methods(name, n, m):
+def test_chained_methods(spark, name, n, m):
     path = list(history(n, m, n))
     want = []
     for _ in range(4):
         p = float(SLOW[name](path, m))
         want.append(p)
         path.append(p)
-    assert np.allclose(f.METHODS[name](history(n, m, n), 4, m), want)
+    assert np.allclose(ahead(spark, f.METHODS[name], history(n, m, n), 4, m), want)
 
 
 @pytest.mark.parametrize("n, m", [(30, 12), (61, 12), (23, 4)])
-def test_holt_winters_grid(n, m):
+def test_holt_winters_grid(spark, n, m):
     y, best = history(n, m, 3), None
     for a in f.ALPHAS:
         for b in f.BETAS:
@@ -123,23 +128,30 @@ def test_holt_winters_grid(n, m):
                     s.append(g * (y[i] - level) + (1 - g) * s[i - m])
                 if best is None or sse < best[0]:
                     best = (sse, [level + trend * (h + 1) + s[len(s) - m + h % m] for h in range(5)])
-    assert np.allclose(f.holt_winters(y, 5, m), best[1])
+    assert np.allclose(ahead(spark, f.holt_winters, y, 5, m), best[1])
 
 
-def test_seasonal_trend_recovers_its_own_model():
+def test_seasonal_trend_recovers_its_own_model(spark):
     t = np.arange(60)
     y = 5 + 0.7 * t + np.tile([1.0, -2.0, 3.0, 0.5], 15)
-    ahead = np.arange(60, 66)
-    assert np.allclose(f.seasonal_trend(y, 6, 4), 5 + 0.7 * ahead + np.array([1.0, -2.0, 3.0, 0.5])[ahead % 4])
-    assert np.allclose(f.seasonal_trend(y[:7], 3, 4), f.drift(y[:7], 3, 4))
-
-
-def test_short_histories_fall_back():
+    next_t = np.arange(60, 66)
+    assert np.allclose(ahead(spark, f.seasonal_trend, y, 6, 4), 5 + 0.7 * next_t + np.array([1.0, -2.0, 3.0, 0.5])[next_t % 4])
+    assert np.allclose(ahead(spark, f.seasonal_trend, y[:7], 3, 4), ahead(spark, f.drift, y[:7], 3, 4))
+    noisy, m = history(70, 4, 5), 4
+    first = max(0, 70 - 8 * m)
+    t = np.arange(first, 75)
+    design = np.hstack([t[:, None] - first, np.eye(m)[t % m]])
+    fit, *_ = np.linalg.lstsq(design[: 70 - first], noisy[first:], rcond=None)
+    assert np.allclose(ahead(spark, f.seasonal_trend, noisy, 5, m), design[70 - first :] @ fit)
+
+
+def test_short_histories_fall_back(spark):
     y = np.array([3.0, 4.0, 5.0])
     for name, fn in f.METHODS.items():
-        out = fn(y.copy(), 3, 12)
-        assert out.shape == (3,) and np.isfinite(out).all(), name
-    assert list(f.seasonal_naive(y, 2, 12)) == [5.0, 5.0]
+        for m in (1, 12):
+            out = ahead(spark, fn, y, 3, m)
+            assert out.shape == (3,) and np.isfinite(out).all(), name
+    assert list(ahead(spark, f.seasonal_naive, y, 2, 12)) == [5.0, 5.0]
 
 
 def test_cuts():
@@ -166,7 +178,7 @@ def test_no_method_sees_the_future(spark):
         seen.append(len(y))
         return np.full(horizon, float(len(y)))
 
-    rows = ts.run_methods(frame(spark, history(48)), methods={"spy": spy}, origins=4).collect()
+    rows = ts.run_methods(frame(spark, history(48)), custom={"spy": spy}, origins=4).collect()
     assert all(r.predicted == r.cut for r in rows)
     assert {r.cut for r in rows if r.kind == "backtest"} == {42, 43, 44, 45}
 
@@ -175,7 +187,7 @@ def test_a_broken_method_is_recorded(spark):
     def broken(y, horizon, m):
         raise RuntimeError("no")
 
-    p = ts.Projection(frame(spark, history(60)), methods={"broken": broken, "naive": f.naive, "seasonal_naive": f.seasonal_naive})
+    p = ts.Projection(frame(spark, history(60)), methods={"naive": f.naive, "seasonal_naive": f.seasonal_naive}, custom={"broken": broken})
     assert {r.method for r in p.errors().collect()} == {"broken"}
     assert p.forecast().count() == 3
 

@@ -469,7 +469,7 @@ for _n, (_i, _f) in ONE_STEP.items():
 
 
 def mean_of_three(path, cycle):
-    return float(path[-3:].mean())
+    return forecasters.mean(forecasters.tail(path, 3))
 
 
 @q("TS-17", f"""

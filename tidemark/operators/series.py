@@ -1,23 +1,26 @@
 """Series, rolling backtest, model choice, measured bands and projection.
 
-Spark regularises and groups the series; one grouped Arrow call per series runs
-the numeric forecasters and returns long rows.  Every judgement on those rows
-(errors, weights, choice, bands) is a DataFrame expression.
+Methods are expressions over the values of a (series, cut) row, and every
+judgement on their rows (errors, weights, choice, bands) is one too; only a
+caller's own functions run in a grouped Python call.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.forecasters import ENSEMBLE, METHODS, REFERENCE, Forecaster
+from ..functions.forecasters import ENSEMBLE, METHODS, REFERENCE, Method, finite
 from ..functions.scalars import date_key, safe_div
+from ..functions.scale import landed
 from .joins import period_spine
 
+Custom = Callable[[np.ndarray, int, int], np.ndarray]
+
 # Cycle length, calendar step and nominal days of each frequency.
 CYCLE = {"daily": 7, "weekly": 52, "monthly": 12, "quarterly": 4, "yearly": 1}
 STEP = {"daily": "1 day", "weekly": "7 days", "monthly": "1 month", "quarterly": "3 months", "yearly": "1 year"}
@@ -100,14 +103,52 @@ TRIAL = (
 
 
 def run_methods(s: DataFrame, horizon: int = 3, cycle: int = 12, origins: int = 6,
-                methods: Mapping[str, Forecaster] | None = None, minimum: int | None = None) -> DataFrame:
+                methods: Mapping[str, Method] | None = None, minimum: int | None = None,
+                custom: Mapping[str, Custom] | None = None) -> DataFrame:
     """Rolling-origin trials and full-history forecasts of every method.
 
-    A trial trains on the periods before its cut only.  A method that fails or
-    returns unusable numbers leaves an error row and costs nobody else.
-    Segments too short for one cut yield no rows.
+    A trial trains on the periods before its cut only.  Methods are expressions
+    over the values up to a cut; a caller's own numpy functions (`custom`) run in
+    one grouped call per series.  A method that fails or returns unusable numbers
+    leaves an error row and costs nobody else.  Segments too short for one cut
+    yield no rows.
     """
-    table = dict(methods or METHODS)
+    table = dict(METHODS if methods is None and not custom else methods or {})
+    least = minimum if minimum is not None else max(2 * cycle, horizon + 2)
+    rows = s.select("segment", "period", F.col("value").cast("double").alias("value")).groupBy("segment").agg(
+        F.array_sort(F.collect_list(F.struct("period", "value"))).alias("__h"))
+    n = F.size("__h")
+    usable = F.least(F.lit(origins), n - horizon - least + 1)
+    cuts = F.concat(F.transform(F.sequence(F.lit(1), usable), lambda k: n - horizon - usable + k), F.array(n))
+    rows = rows.where(usable > 0).select("segment", "__h", F.explode(cuts).alias("__cut"))
+    rows = rows.withColumn("__y", F.transform(F.slice("__h", F.lit(1), F.col("__cut")), lambda x: x["value"]))
+    outcomes = F.array(*[F.struct(F.lit(name).alias("method"), fn(F.col("__y"), horizon, cycle).alias("out"))
+                         for name, fn in table.items()])
+    pieces = []
+    if table:
+        pieces.append(rows.select("segment", "__h", "__cut", F.inline(outcomes)).select(*_trial_rows(horizon)))
+    if custom:
+        pieces.append(_custom_trials(s, horizon, cycle, origins, custom, minimum))
+    return pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
+
+
+def _trial_rows(horizon: int) -> list[Column]:
+    """Columns of TRIAL from (segment, __h, __cut, method, out)."""
+    n, cut = F.size("__h"), F.col("__cut")
+    good = F.coalesce((F.size("out") == horizon) & F.forall("out", finite), F.lit(False))
+    at = lambda h, name: F.get("__h", cut + h - 1)[name]
+    told = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.struct(
+        h.cast("long").alias("step"), (cut + h - 1).cast("long").alias("position"), at(h, "period").alias("period"),
+        at(h, "value").alias("actual"), F.get("out", h - 1).alias("predicted"), F.lit(None).cast("string").alias("error")))
+    nothing = F.array(F.struct(
+        *[F.lit(None).cast(t).alias(c) for c, t in (("step", "long"), ("position", "long"), ("period", "date"), ("actual", "double"), ("predicted", "double"))],
+        F.lit("ValueError: unusable forecast").alias("error")))
+    kind = F.when(cut == n, "future").otherwise("backtest").alias("kind")
+    return [F.col("segment"), F.col("method"), kind, cut.cast("long").alias("cut"), F.inline(F.when(good, told).otherwise(nothing))]
+
+
+def _custom_trials(s: DataFrame, horizon: int, cycle: int, origins: int, custom: Mapping[str, Custom], minimum: int | None) -> DataFrame:
+    table = dict(custom)
 
     def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("period")
@@ -286,13 +327,12 @@ class Projection:
 
     def __init__(self, s: DataFrame, frequency: str = "monthly", horizon: int = 3, origins: int = 6,
                  cycle: int | None = None, level: float = 0.8, metric: str = "mae",
-                 methods: Mapping[str, Forecaster] | None = None, minimum: int | None = None):
+                 methods: Mapping[str, Method] | None = None, minimum: int | None = None,
+                 custom: Mapping[str, Custom] | None = None):
         self.series, self.frequency, self.horizon = s, frequency, horizon
         cycle = cycle or CYCLE[frequency]
-        # Trial rows are read by every table below and are small beside the
-        # facts; kept in memory with spill, recomputed if an executor is lost.
-        # Hashed by segment, they feed all later groupings without a shuffle.
-        self.raw = run_methods(s, horizon, cycle, origins, methods, minimum).repartition("segment").persist()
+        # Trial rows are read by every table below and are small beside the facts: written once.
+        self.raw = landed(run_methods(s, horizon, cycle, origins, methods, minimum, custom))
         good = self.raw.where("error is null")
         base = good.where("kind = 'backtest'").select(*COMMON)
         self.trials = base.unionByName(ensemble_trials(base).select(*COMMON))

@@ -49,8 +49,7 @@ def test_unpivoted_labels_become_dates(spark):
     assert dict(out.dtypes)["month"] == "timestamp_ntz" and out.count() == 2
 
 
-def test_wide_decode_joins(spark, monkeypatch):
-    monkeypatch.setattr(silver, "INLINE_CODES", 1)
+def test_decode_joins(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (None,)], "c double")
     assert [r.c for r in silver.decode(df, "c", {1: "a", 2: "b"}).orderBy("c").collect()] == ["Unknown", "a", "b"]
 

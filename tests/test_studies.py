@@ -3,7 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import freshness, growth, kpis, paths, timeintel
+from tidemark.operators import freshness, growth, kpis, model, paths, timeintel
 from tidemark.operators import transcripts as tx
 
 
@@ -57,10 +57,39 @@ def test_ranks_with_ties(spark):
     assert {r.k: r["rank"] for r in timeintel.ranked(g, dense=True).collect()} == {"d": 1, "a": 2, "b": 2, "c": 3}
 
 
-def test_winner_ties_are_joined(spark):
+def test_every_tied_winner_is_a_row(spark):
     df = spark.createDataFrame([("a", 2.0), ("b", 1.0), ("b", 1.0), ("c", 1.0)], "k string, v double")
-    r = kpis.which(df, "k", "v").first()
-    assert (r.winner, r.value) == ("a, b", 2.0)
+    assert sorted(tuple(r) for r in kpis.which(df, "k", "v").collect()) == [("a", 2.0), ("b", 2.0)]
+
+
+def test_misalignment_sees_groups_beyond_the_display_cut(spark):
+    """Twenty groups; the worst one is the smallest, which a display of twelve would hide."""
+    ids = spark.range(20).select(F.col("id").cast("int").alias("id"), F.format_string("g%02d", "id").alias("g"))
+    sold = ids.select("id", (F.lit(100.0) - 5 * F.col("id")).alias("v"))
+    visits = ids.select("id", F.lit(1.0).alias("n"))
+    facts = {"sold": (sold, "id", ["v"]), "visits": (visits, "id", ["n"])}
+    assert kpis.cross_facts(ids, "id", "g", facts).count() == 12
+    r = kpis.misalignment(kpis.cross_facts(ids, "id", "g", facts, top=None), ["sold", "visits"]).first()
+    assert (r.best, r.worst) == ("g00", "g19")
+
+
+def test_no_measure_or_sample_is_cut(spark):
+    df = spark.createDataFrame([("x" * 18 + "a", 1, 2, 3, 4, 5), ("x" * 18 + "b", 1, 2, 3, 4, 5)], "k string, a int, b int, c int, d int, e int")
+    assert model.summary_table(df, "k", list("abcde")).columns == ["k", "rows", "sum_a", "sum_b", "sum_c", "sum_d", "sum_e"]
+    r = kpis.column_stats(df.select("k"), "t").first()
+    assert r.samples == "x" * 18 + "a | " + "x" * 18 + "b"
+
+
+def test_ties_at_the_nth_member_are_kept(spark):
+    df = spark.createDataFrame([(i, 1.0) for i in range(1500)] + [(9999, 5.0)], "m int, v double")
+    r = timeintel.top_n_total(df, "m", "v", 1200).first()
+    assert (r.value, r.members) == (1505.0, 1501)
+
+
+def test_dropped_breakdowns_say_why(spark):
+    rows = [("wide", f"m{i}", 0.1) for i in range(50)] + [("one", "m", 0.1)] + [("fine", m, 0.1) for m in "ab"]
+    got = growth.left_out(spark.createDataFrame(rows, "dimension string, member string, total double")).collect()
+    assert sorted(tuple(r) for r in got) == [("one", 1, "fewer than 2 members"), ("wide", 50, "more than 40 members")]
 
 
 def test_misaligned_effort_is_named(spark):

@@ -134,7 +134,7 @@ def ratio_vs_total(spark, sf):
 
 @q("AGG-17", """
   WITH g AS (SELECT l_partkey, sum(l_quantity) AS v FROM lineitem GROUP BY 1)
-  SELECT string_agg(CAST(l_partkey AS VARCHAR), ', ' ORDER BY CAST(l_partkey AS VARCHAR)) AS winner, max(v) AS value FROM g WHERE v = (SELECT max(v) FROM g)""")
+  SELECT CAST(l_partkey AS VARCHAR) AS winner, v AS value FROM g WHERE v = (SELECT max(v) FROM g)""")
 def which_member(spark, sf):
     return kpis.which(table(spark, sf, "lineitem"), "l_partkey", "l_quantity")
 
@@ -208,14 +208,14 @@ def cross_facts(spark, sf):
          {r('CASE WHEN so > se THEN e_bo ELSE o_be END')} AS in_best, {r('CASE WHEN so > se THEN e_wo ELSE o_we END')} AS in_worst,
          CASE WHEN so > se THEN e_wo >= e_bo ELSE o_we >= o_be END AS misaligned FROM s WHERE greatest(so, se) >= 1.05""")
 def misalignment(spark, sf):
-    crossed = kpis.cross_facts(table(spark, sf, "customer"), "c_custkey", "c_mktsegment", contact_facts(spark, sf))
+    crossed = kpis.cross_facts(table(spark, sf, "customer"), "c_custkey", "c_mktsegment", contact_facts(spark, sf), top=None)
     return kpis.misalignment(crossed, ["orders", "events"], minimum_spread=1.05)
 
 
 @q("AGG-25", """
   WITH u AS (SELECT 'o_orderstatus' AS column_name, o_orderstatus AS v FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders
              UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders),
-  s AS (SELECT column_name, string_agg(v, ' | ' ORDER BY v) AS samples FROM (SELECT column_name, v, row_number() OVER (PARTITION BY column_name ORDER BY v) AS rn FROM (SELECT DISTINCT column_name, substring(v, 1, 18) AS v FROM u)) WHERE rn <= 3 GROUP BY 1),
+  s AS (SELECT column_name, string_agg(v, ' | ' ORDER BY v) AS samples FROM (SELECT column_name, v, row_number() OVER (PARTITION BY column_name ORDER BY v) AS rn FROM (SELECT DISTINCT column_name, v FROM u WHERE trim(v) <> '')) WHERE rn <= 3 GROUP BY 1),
   c AS (SELECT column_name, count(*) AS rows, count(DISTINCT v) AS distinct_values, count(*) FILTER (WHERE v IS NULL OR trim(v) = '') AS blanks FROM u GROUP BY 1)
   SELECT 'orders' AS table_name, c.column_name, rows, distinct_values, blanks, samples, row_number() OVER (ORDER BY distinct_values DESC, c.column_name) AS cardinality_rank FROM c JOIN s ON c.column_name = s.column_name""")
 def column_stats(spark, sf):

@@ -72,8 +72,7 @@ def split_by_date(spark, sf):
 
 
 def classifier(spark, sf):
-    """A small forest and few boosting rounds keep the registered run short."""
-    return ml.select_and_report(labelled(spark, sf), "quality", id="doc_id", exclude=["toxic"], trees=20, rounds=5)
+    return ml.select_and_report(labelled(spark, sf), "quality", id="doc_id", exclude=["toxic"])
 
 
 @q("ML-04 ML-08")
@@ -88,7 +87,7 @@ def regression_report(spark, sf):
         table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("units"), F.count(F.lit(1)).alias("lines")),
         F.col("o_orderkey") == F.col("l_orderkey"),
     ).drop("l_orderkey")
-    m = ml.select_and_report(o, "o_totalprice", id="o_orderkey", date="o_orderdate", exclude=["o_custkey"], trees=10, rounds=5)
+    m = ml.select_and_report(o, "o_totalprice", id="o_orderkey", date="o_orderdate", exclude=["o_custkey"])
     return m.table.unionByName(m.metrics.withColumn("model", F.concat("model", F.lit(" (holdout)"))))
 
 

@@ -27,7 +27,6 @@ SUBSTITUTION = -5.0
 CARRY_FALL = -15.0
 SMALL_COHORT = 15
 WINDOWS = ["baseline", "blackout", "during", "carry"]
-SEGMENT_VALUES = 10_000
 
 
 class CampaignError(ValueError):
@@ -184,15 +183,10 @@ def campaign_panel(sales: DataFrame, windows: DataFrame, scope: DataFrame | None
     sums = sums.select(*base, dimension.alias("dimension"), member.alias("member"),
                        "rows", "units", "amount", "cost", "clients")
 
-    grid = windows
-    members = [("TOTAL", "TOTAL")]
-    for s in segments:
-        values = sales.select(F.col(s).cast("string").alias("v")).where("v is not null").distinct().limit(SEGMENT_VALUES + 1).collect()
-        if len(values) > SEGMENT_VALUES:
-            raise CampaignError(f"segment {s} has more than {SEGMENT_VALUES} members: not a category")
-        members += sorted((s, r.v) for r in values)
-    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(m).alias("member")) for d, m in members])
-    grid = grid.select("*", F.inline(pairs))
+    # every window of an edition for each member that any of its windows saw, and for the total
+    whole = windows.select(*EDITION, F.lit("TOTAL").alias("dimension"), F.lit("TOTAL").alias("member"))
+    seen = sums.where("member is not null").select(*EDITION, "dimension", "member")
+    grid = windows.join(whole.union(seen).distinct(), EDITION)
     arms = F.array(F.lit("campaign"), F.lit("control")) if scope is not None else F.array(F.lit("campaign"))
     if scope is not None:
         has_scope = scope.select(*EDITION, F.lit(True).alias("__has")).distinct()

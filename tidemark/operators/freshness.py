@@ -108,9 +108,11 @@ def record_history(rows: DataFrame, run: datetime, path: str) -> None:
     rows.withColumn("run", F.lit(label)).write.mode("append").partitionBy("run").parquet(path)
 
 
-def read_history(spark, path: str, runs: int = KEPT_RUNS) -> DataFrame:
-    """The last runs; run labels sort by time, so this prunes partitions."""
+def read_history(spark, path: str, runs: int | None = None) -> DataFrame:
+    """All runs, or the last ones; run labels sort by time, so this prunes partitions."""
     rows = spark.read.parquet(path).withColumn("run", F.col("run").cast("string"))
+    if runs is None:
+        return rows
     last = rows.select("run").distinct().orderBy(F.desc("run")).limit(runs)
     return rows.join(F.broadcast(last), "run", "left_semi")
 

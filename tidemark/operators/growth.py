@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div
 
-MAX_MEMBERS = 40
+MAX_MEMBERS = 40  # of a breakdown that can be read; see `left_out`
 TOP_DIMENSIONS = 4
 PRICE_MOVE = 0.005
 
@@ -139,21 +139,30 @@ def explain_growth(df: DataFrame, day: str, value: str, own: Column, dimensions:
     return explain_members(decompose(df, day, value, own, dimensions))
 
 
-def explain_members(members: DataFrame) -> DataFrame:
-    """The breakdowns that explain most: 2..40 members, duplicates removed,
-    contested dimensions first, four at most.
+def left_out(members: DataFrame, max_members: int = MAX_MEMBERS) -> DataFrame:
+    """The dimensions that `explain_members` does not rank, with their sizes and why."""
+    sizes = members.groupBy("dimension").agg(F.count(F.lit(1)).alias("members"))
+    why = F.when(F.col("members") < 2, "fewer than 2 members").when(
+        F.col("members") > max_members, F.lit(f"more than {max_members} members"))
+    return sizes.withColumn("reason", why).where("reason is not null")
 
-    `members` is read three times; pin it when it is already decomposed.
+
+def explain_members(members: DataFrame, max_members: int = MAX_MEMBERS, top: int = TOP_DIMENSIONS) -> DataFrame:
+    """The breakdowns that explain most: 2..`max_members` members, duplicates
+    removed, contested dimensions first, the `top` of them.
+
+    `left_out` names the rest.  `members` is read three times; land it when it
+    is already decomposed.
     """
-    sizes = members.groupBy("dimension").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, MAX_MEMBERS))
+    sizes = members.groupBy("dimension").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, max_members))
     members = members.join(sizes.select("dimension"), "dimension", "left_semi")
     prints = members.groupBy("dimension").agg(
-        F.sort_array(F.collect_list(F.round("total", 9))).alias("print")  # at most 40 values
+        F.sort_array(F.collect_list(F.round("total", 9))).alias("print")  # at most max_members values
     )
     kept = prints.groupBy("print").agg(F.min("dimension").alias("dimension")).select("dimension")
     summary = decomposition_summary(members).join(kept, "dimension", "left_semi")
     order = Window.orderBy(F.desc("competes"), F.desc("weight"), "dimension")  # one row per dimension
-    best = summary.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= TOP_DIMENSIONS)
+    best = summary.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
     return best.select("rank", "dimension", "members", "gap", "performance", "mix", "residual", "competes")
 
 

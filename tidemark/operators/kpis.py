@@ -122,10 +122,11 @@ def monthly_series(fact: DataFrame, calendar: DataFrame, column: str, key: str =
     )
 
 
-def auto_kpis(tables: Mapping[str, DataFrame], limit: int = 8) -> DataFrame:
+def auto_kpis(tables: Mapping[str, DataFrame], limit: int | None = None) -> DataFrame:
     """Default dashboard: rows per non-dimension table, sums of its measures.
 
-    Numeric non-key columns with more than two distinct values are measures.
+    Numeric non-key columns with more than two distinct values are measures
+    (the sketch is exact for so few); `limit` cuts for display.
     """
     parts = []
     for name, df in tables.items():
@@ -145,7 +146,8 @@ def auto_kpis(tables: Mapping[str, DataFrame], limit: int = 8) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.where("spread > 2").orderBy("table_at", "at").limit(limit).select("name", "value")
+    kept = out.where("spread > 2").orderBy("table_at", "at")
+    return (kept if limit is None else kept.limit(limit)).select("name", "value")
 
 
 def margin(df: DataFrame, amount: str, cost: str, by: Sequence[str] = ()) -> DataFrame:
@@ -210,13 +212,10 @@ def ratio_vs_total_pp(df: DataFrame, by: str, numerator: Column, denominator: Co
 
 
 def which(df: DataFrame, label: str, column: str) -> DataFrame:
-    """Label of the top member, ties joined in order."""
+    """The top member; one row for each that ties for it."""
     grouped = df.groupBy(F.col(label).cast("string").alias("l")).agg(F.sum(column).alias("v"))
     best = grouped.agg(F.max("v").alias("b"))
-    return (
-        grouped.join(F.broadcast(best), F.col("v") == F.col("b"))
-        .agg(F.array_join(F.sort_array(F.collect_list("l")), ", ").alias("winner"), F.max("v").alias("value"))
-    )
+    return grouped.join(F.broadcast(best), F.col("v") == F.col("b")).select(F.col("l").alias("winner"), F.col("v").alias("value"))
 
 
 def control_totals(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
@@ -299,9 +298,11 @@ def best_cut(df: DataFrame, dimensions: Sequence[str], measures: Sequence[str],
 
 
 def cross_facts(dim: DataFrame, key: str, label: str,
-                facts: Mapping[str, tuple[DataFrame, str, Sequence[str]]], top: int = 12) -> DataFrame:
+                facts: Mapping[str, tuple[DataFrame, str, Sequence[str]]], top: int | None = 12) -> DataFrame:
     """Per group of a dimension: members, and each fact's total and mean each.
 
+    `top` is for display; `misalignment` judges the table of all groups (None).
+
     A fact is (table, foreign key, candidate measures); its measure is the
     candidate with the largest sum.  Facts are summed to the key, then to the
     group, and only those aggregates meet: facts never join facts.
@@ -321,7 +322,7 @@ def cross_facts(dim: DataFrame, key: str, label: str,
         ).withColumn(f"{name}_each", safe_div(f"{name}_total", "members"))
         names.append(name)
     weight = sum((F.col(f"{n}_total") for n in names), F.lit(0.0))
-    return out.orderBy(weight.desc(), "member_group").limit(top)
+    return out if top is None else out.orderBy(weight.desc(), "member_group").limit(top)
 
 
 def misalignment(cross: DataFrame, facts: Sequence[str], minimum_spread: float = 1.5) -> DataFrame:
@@ -372,20 +373,21 @@ def strategy_summary(scores: DataFrame, by: str, probability: str, expected: str
     )
 
 
-def column_stats(df: DataFrame, name: str, samples: int = 3) -> DataFrame:
-    """Per column: distinct, blanks and a few sample values (the smallest).
+def column_stats(df: DataFrame, name: str, samples: int = 3, display: int | None = None) -> DataFrame:
+    """Per column: distinct, blanks and a few sample values (the smallest), whole unless `display` cuts what is shown.
 
     Columns are profiled one narrow job branch each: values are counted first,
     so exact distinct counts never gather whole columns in one task.
     """
+    shown = lambda v: v if display is None else F.substring(v, 1, display)
     parts = []
     for column in df.columns:
         text = F.col(column).cast("string")
         values = df.groupBy(text.alias("v")).agg(F.count(F.lit(1)).alias("n"))
         blank = F.col("v").isNull() | (F.trim(F.col("v")) == "")
         firsts = (
-            values.where(~blank).select(F.substring("v", 1, 18).alias("v")).distinct().orderBy("v").limit(samples)
-            .agg(F.array_join(F.sort_array(F.collect_list("v")), " | ").alias("samples"), F.lit(1).alias("one"))
+            values.where(~blank).select("v").orderBy("v").limit(samples)
+            .agg(F.array_join(F.transform(F.sort_array(F.collect_list("v")), shown), " | ").alias("samples"), F.lit(1).alias("one"))
         )
         counts = values.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),

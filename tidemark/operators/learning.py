@@ -145,18 +145,25 @@ def split_60_20_20(df: DataFrame, id: str | None = None, date: str | None = None
     return ranked.withColumn(out, part).select(*df.columns, out)
 
 
-def candidates(task: str, trees: int = 200, rounds: int = 150) -> dict[str, list]:
-    """Linear models scaled, tree models as they are."""
+def candidates(task: str, rows: int, spread: float = 1.0, trees: int = 200, rounds: int = 150) -> dict[str, list]:
+    """Linear models scaled, tree models as they are.
+
+    The linear penalties are those of a loss SUMMED over rows (one half of the
+    squared weights for the logistic, alpha 1 for the ridge).  Spark averages
+    the loss, so they shrink with the `rows` fitted; its linear regression also
+    divides the penalty by the label's standard deviation (`spread`).
+    """
+    rows = max(rows, 1)
     tree = {"labelCol": "label", "featuresCol": "features", "seed": SEED}
     scaled = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     if task == "classification":
         return {
-            "logistic": [scaled, LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=200, regParam=0.0)],
+            "logistic": [scaled, LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=200, elasticNetParam=0.0, regParam=1.0 / rows)],
             "random_forest": [RandomForestClassifier(numTrees=trees, minInstancesPerNode=5, maxDepth=10, **tree)],
             "gradient_boosting": [GBTClassifier(maxIter=rounds, maxDepth=3, **tree)],
         }
     return {
-        "ridge": [scaled, LinearRegression(featuresCol="scaled", labelCol="label", elasticNetParam=0.0, regParam=0.01)],
+        "ridge": [scaled, LinearRegression(featuresCol="scaled", labelCol="label", elasticNetParam=0.0, regParam=spread / rows)],
         "random_forest": [RandomForestRegressor(numTrees=trees, minInstancesPerNode=5, maxDepth=10, **tree)],
         "gradient_boosting": [GBTRegressor(maxIter=rounds, maxDepth=3, **tree)],
     }
@@ -282,7 +289,8 @@ def select_and_report(df: DataFrame, target: str, id: str | None = None, date: s
 
     headline = "auc" if task == "classification" else "r2"
     fitted, lines = {}, []
-    for name, stages in candidates(task, trees, rounds).items():
+    size = train.agg(F.count(F.lit(1)).alias("n"), F.stddev("label").alias("spread")).first()
+    for name, stages in candidates(task, size.n, size.spread or 1.0, trees, rounds).items():
         fitted[name] = Pipeline(stages=[*encoder(numeric, text), *stages]).fit(train)
         lines.append((name, measured(fitted[name], "select")))
     best, chosen = max(lines, key=lambda x: x[1][headline] if x[1][headline] is not None else -1e9)

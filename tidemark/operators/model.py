@@ -203,17 +203,17 @@ GENERALITY = (
 TIME_LEVELS = ("year", "semester", "quarter", "month")
 
 
-def drill_levels(columns: Sequence[str]) -> list[str]:
-    """Up to three columns of strictly increasing detail (four for time)."""
+def drill_levels(columns: Sequence[str], levels: int = 3) -> list[str]:
+    """Up to `levels` columns of strictly increasing detail (one more for time)."""
     times = [t for t in TIME_LEVELS if t in columns]
     if len(times) > 1:
-        return times[:4]
+        return times[: levels + 1]
     picked = []
     for names in GENERALITY:
         hit = next((c for c in columns if any(n in c.lower() for n in names)), None)
         if hit and hit not in picked:
             picked.append(hit)
-    return picked[:3]
+    return picked[:levels]
 
 
 def drilldown(df: DataFrame, levels: Sequence[str], value: str) -> DataFrame:
@@ -223,6 +223,6 @@ def drilldown(df: DataFrame, levels: Sequence[str], value: str) -> DataFrame:
 
 
 def summary_table(df: DataFrame, column: str, measures: Sequence[str]) -> DataFrame:
-    """One row per value of a column with up to four summed measures."""
-    sums = [F.sum(m).alias(f"sum_{m}") for m in list(measures)[:4]]
+    """One row per value of a column with every measure summed."""
+    sums = [F.sum(m).alias(f"sum_{m}") for m in measures]
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("rows"), *sums)

@@ -36,7 +36,12 @@ def pick_channel(df: DataFrame, state: str | None = None) -> str | None:
     if not texts:
         return None
     row = df.agg(*[F.approx_count_distinct(n).alias(str(i)) for i, n in enumerate(texts)]).first()
-    fits = [(row[i], n) for i, n in enumerate(texts) if 1 < row[i] <= MAX_CHANNELS]
+    # the sketch only rules out what is far beyond; the few that are left are counted exactly
+    near = [n for i, n in enumerate(texts) if row[i] <= 2 * MAX_CHANNELS]
+    if not near:
+        return None
+    exact = df.agg(*[F.count_distinct(n).alias(n) for n in near]).first()
+    fits = [(exact[n], n) for n in near if 1 < exact[n] <= MAX_CHANNELS]
     return min(fits)[1] if fits else None
 
 

@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import NUMBER_TEXT, is_true, number_of, number_text
 
-# Above this many codes a decode becomes a join instead of an inline map.
-INLINE_CODES = 1_000
-
 
 def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(names))
@@ -171,10 +168,6 @@ def decode(df: DataFrame, column: str, codes: Mapping, otherwise: str = "Unknown
     else:
         text = c.cast("string")
     labels = {str(k): v for k, v in codes.items()}
-    if len(labels) <= INLINE_CODES:
-        pairs = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]) if labels else None
-        found = pairs[text] if labels else F.lit(None).cast("string")
-        return df.withColumn(column, F.coalesce(found, F.lit(otherwise)))
     lookup = df.sparkSession.createDataFrame(list(labels.items()), "__code string, __label string")
     return (
         df.withColumn("__code", text)

@@ -177,10 +177,10 @@ def ranked(grouped: DataFrame, value: str = "value", keys: Sequence[str] = (), d
 
 
 def top_n_total(df: DataFrame, member: str, value: str, n: int) -> DataFrame:
-    """The measure over its n best members, ties kept."""
+    """The measure over its n best members, ties kept: all that reach the n-th value."""
     grouped = df.groupBy(member).agg(F.sum(value).alias("value"))
-    place = Window.orderBy(F.desc("value"))  # rank filter prunes map-side
-    best = grouped.withColumn("rank", F.rank().over(place)).where(F.col("rank") <= n)
+    least = grouped.orderBy(F.desc("value")).limit(n).agg(F.min("value").alias("least"))
+    best = grouped.join(F.broadcast(least), F.col("value") >= F.col("least"))  # one row
     return best.agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("members"))
 
 

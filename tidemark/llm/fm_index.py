@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 U64 = np.uint64
+BELOW = (U64(1) << np.arange(64, dtype=U64)) - U64(1)  # masks of the bits below each place
 
 
 class WaveletMatrix:
@@ -14,7 +15,7 @@ class WaveletMatrix:
         self.levels = max(1, int(sigma - 1).bit_length())
         self.words, self.before, self.zeros = [], [], []
         n = len(symbols)
-        current = symbols
+        current = symbols.astype(np.int32)
         for level in range(self.levels - 1, -1, -1):
             bits = ((current >> level) & 1).astype(bool)
             padded = np.zeros((n // 64 + 1) * 64, bool)
@@ -24,24 +25,26 @@ class WaveletMatrix:
             np.cumsum(np.bitwise_count(packed), out=counts[1:])
             self.words.append(packed)
             self.before.append(counts[:-1])
-            self.zeros.append(n - int(counts[-1]))
+            self.zeros.append(np.int32(n - int(counts[-1])))
             current = np.concatenate([current[~bits], current[bits]])
 
-    def rank(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each symbol stands before `lo` and before `hi`.
+        # where the run of each symbol starts at the bottom: its rank path from position 0
+        every = np.arange(sigma, dtype=np.int32)
+        self.start = self._descend(every, np.zeros(sigma, np.int32))
 
-        Descends with (start of the symbol's run, lo, hi): the run start is needed
-        once per query and taken away at the end.
-        """
-        k = len(symbols)
-        at = np.concatenate([np.zeros(k, np.int64), lo, hi])
-        thrice = np.concatenate([symbols, symbols, symbols])
+    def _descend(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         for step, (words, before, zeros) in enumerate(zip(self.words, self.before, self.zeros)):
             block = at >> 6
-            ones = before[block] + np.bitwise_count(words[block] & ((U64(1) << (at & 63).astype(U64)) - U64(1)))
-            bit = (thrice >> (self.levels - 1 - step)) & 1
-            at = np.where(bit == 1, zeros + ones, at - ones)
-        return at[k : 2 * k] - at[:k], at[2 * k :] - at[:k]
+            ones = before[block] + np.bitwise_count(words[block] & BELOW[at & 63])
+            bit = (symbols >> (self.levels - 1 - step)) & 1
+            at = np.where(bit, ones + zeros, at - ones)
+        return at
+
+    def rank(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each symbol stands before `lo` and before `hi`."""
+        k = len(symbols)
+        at = self._descend(np.concatenate([symbols, symbols]), np.concatenate([lo, hi])) - np.tile(self.start[symbols], 2)
+        return at[:k], at[k:]
 
 
 def suffix_order(text: np.ndarray, context: int) -> np.ndarray:
@@ -57,7 +60,7 @@ def suffix_order(text: np.ndarray, context: int) -> np.ndarray:
         if have < n:
             second[: n - have] = rank[have:n]
         key = rank[:n] * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         fresh = np.zeros(n + 1, np.int64)
         fresh[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
@@ -76,10 +79,10 @@ class FMIndex:
     """
 
     def __init__(self, text: np.ndarray, sigma: int, context: int):
-        self.text = text
+        self.text = text.astype(np.int32)
         self.order = suffix_order(text, context)
         counts = np.bincount(text, minlength=sigma)
-        self.first = np.concatenate([[0], np.cumsum(counts)])
+        self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         self.bwt = WaveletMatrix(text[self.order - 1], sigma)  # position 0 is preceded by the last separator
 
     def matches(self, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -183,10 +183,12 @@ def campaign_panel(sales: DataFrame, windows: DataFrame, scope: DataFrame | None
     sums = sums.select(*base, dimension.alias("dimension"), member.alias("member"),
                        "rows", "units", "amount", "cost", "clients")
 
-    # every window of an edition for each member that any of its windows saw, and for the total
-    whole = windows.select(*EDITION, F.lit("TOTAL").alias("dimension"), F.lit("TOTAL").alias("member"))
-    seen = sums.where("member is not null").select(*EDITION, "dimension", "member")
-    grid = windows.join(whole.union(seen).distinct(), EDITION)
+    # every window for each member that any window saw, and for the total; members are never collected
+    dimensions = F.array(*[F.lit(d) for d in ("TOTAL", *segments)])
+    seen = sums.where("member is not null and dimension <> 'TOTAL'").select("dimension", "member").distinct()
+    whole = windows.withColumn("dimension", F.lit("TOTAL")).withColumn("member", F.lit("TOTAL"))
+    of_each = windows.withColumn("dimension", F.explode(dimensions)).join(seen, "dimension")
+    grid = whole.unionByName(of_each)
     arms = F.array(F.lit("campaign"), F.lit("control")) if scope is not None else F.array(F.lit("campaign"))
     if scope is not None:
         has_scope = scope.select(*EDITION, F.lit(True).alias("__has")).distinct()

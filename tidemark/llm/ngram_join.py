@@ -7,10 +7,15 @@ A document's set is its distinct word n-grams.  Two documents link when
    copies is one aggregated row), so copies never multiply work.
 2. *Candidate blocks.*  Sets that link differ in few elements.  Each set is cut
    by hash into one part more than that difference allows, so linked sets agree
-   on at least one whole part (pigeonhole).  Classes that share a part meet in
-   one candidate block, a connected component of the "shares a part" graph.
-   Part size stays near ten n-grams whatever the document, so a passage or
-   line that many documents share rarely fills a part on its own.
+   on at least one whole part (pigeonhole).  Of each part only the first class of
+   a slice of documents travels, packed with others of its bucket; the rest of the
+   slice is tied to that first one on the spot, so a part that a third of all
+   documents share costs its bucket one entry per slice.
+   Sets that share a part are then held apart by an exact bound: a parity sketch
+   changes at most one bit per differing element, so more differing bits than the
+   threshold allows elements rule a pair out.  What is left forms candidate
+   blocks, connected components; a group of classes hands on a spanning forest
+   of its pairs, never the pairs.
 3. *T-occurrence.*  Inside a block each set queries the inverted lists of the
    smaller ones: the rarest lists are heap-merged, the T-1 longest (DivideSkip)
    are only probed by binary search for the candidates that the merge found, and
@@ -43,6 +48,8 @@ from tidemark.llm import store
 from tidemark.llm import tokens as tk
 
 U64 = tk.U64
+LARGEST_SKETCH = 4096
+UNSKETCHED = 2048
 
 
 def step(percent: int) -> float:
@@ -128,43 +135,140 @@ def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np
     return np.concatenate(docs), np.concatenate(keys).view(np.int64)
 
 
+def sketch(values: np.ndarray, size: int) -> bytes:
+    """Parity of the number of elements in each of a power-of-two number of bins; folding halves gives the smaller sketch."""
+    bins = min(LARGEST_SKETCH, max(64, 1 << (size + size // 2).bit_length()))
+    odd = np.bincount((values & U64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2) of every row."""
+    """(doc_id, n_shingles, s1, s2, sketch) of every row."""
 
     def run(batches):
         for batch in batches:
             for piece in tk.slices(batch):
                 values, offsets = document_sets(piece.column("text"), n)
                 a, b = set_keys(values, offsets)
+                mixed = tk.mix(values)
+                parity = [sketch(mixed[i:j], j - i) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(np.diff(offsets)), pa.array(a), pa.array(b)],
-                    names=["doc_id", "n_shingles", "s1", "s2"],
+                    [piece.column("doc_id"), pa.array(np.diff(offsets)), pa.array(a), pa.array(b), pa.array(parity, pa.binary())],
+                    names=["doc_id", "n_shingles", "s1", "s2", "sketch"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, s1 long, s2 long"
+        run, "doc_id long, n_shingles long, s1 long, s2 long, sketch binary"
     )
 
 
-def parts(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(key, cls, n_shingles): the parts of every document with an id, once for each class and slice."""
+PAIR = np.dtype([("key", "<i8"), ("cls", "<i8")])
+
+
+def grouped(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, cls) pairs in order, and where each key begins."""
+    pairs = pairs[np.lexsort((pairs["cls"], pairs["key"]))]
+    new_key = np.ones(len(pairs), bool)
+    new_key[1:] = pairs["key"][1:] != pairs["key"][:-1]
+    fresh = new_key.copy()
+    fresh[1:] |= pairs["cls"][1:] != pairs["cls"][:-1]
+    return pairs[fresh], np.flatnonzero(new_key[fresh])
+
+
+def parts(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """(bucket, pairs, tied): per slice and bucket the packed (key, first class) pairs, and the pairs of further classes."""
 
     def run(batches):
         for batch in batches:
             for piece in tk.slices(batch):
                 values, offsets = document_sets(piece.column("text"), n)
                 cls, _ = set_keys(values, offsets)
-                size = np.diff(offsets)
-                _, one = np.unique(cls, return_index=True)
-                lone = np.zeros(len(cls), bool)
-                lone[one] = True
                 doc, key = part_keys(values, offsets, percent)
-                doc, key = doc[lone[doc]], key[lone[doc]]
+                pairs = np.empty(len(key), PAIR)
+                pairs["key"], pairs["cls"] = key, cls[doc]
+                pairs, begin = grouped(pairs)
+                first = np.zeros(len(pairs), bool)
+                first[begin] = True
+                more = pairs[~first]
+                pairs = pairs[first]
+                bucket = (pairs["key"].view(U64) % U64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                pairs, bucket = pairs[order], bucket[order]
+                edge = np.searchsorted(bucket, np.arange(buckets + 1))
+                extra = (more["key"].view(U64) % U64(buckets)).astype(np.int64)
+                order = np.argsort(extra, kind="stable")
+                more = more[order]
+                extra_edge = np.searchsorted(extra[order], np.arange(buckets + 1))
+                held = np.flatnonzero((np.diff(edge) > 0) | (np.diff(extra_edge) > 0))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(cls[doc]), pa.array(size[doc])], names=["key", "cls", "n_shingles"]
-                )
+                    [pa.array(held), pa.array([pairs[edge[i] : edge[i + 1]].tobytes() for i in held], pa.binary()),
+                     pa.array([more[extra_edge[i] : extra_edge[i + 1]].tobytes() for i in held], pa.binary())],
+                    names=["bucket", "pairs", "tied"],
+                )
+
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "bucket long, pairs binary, tied binary")
 
-    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "key long, cls long, n_shingles long")
+
+def shared_parts(packed: DataFrame) -> DataFrame:
+    """(key, cls) of every part that more than one class has."""
+
+    def run(_, table):
+        pairs, begin = grouped(np.frombuffer(b"".join(table.column("pairs").to_pylist() + table.column("tied").to_pylist()), PAIR))
+        size = np.diff(np.append(begin, len(pairs)))
+        kept = pairs[np.repeat(size > 1, size)]
+        return pa.table({"key": kept["key"].copy(), "cls": kept["cls"].copy()})
+
+    return packed.groupBy("bucket").applyInArrow(run, "key long, cls long")
+
+
+def fold(parity: bytes, words: int) -> np.ndarray:
+    bits = np.frombuffer(parity, U64)
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def near_in_group(size: np.ndarray, parity: list[bytes], percent: int) -> np.ndarray:
+    """For each member the first member of its group that a chain of not-excluded pairs leads to."""
+    words = min(map(len, parity)) // 8
+    bits = np.stack([fold(p, words) for p in parity])
+    root = np.arange(len(size))
+    for i in range(len(size) - 1):
+        both = size[i] + size[i + 1 :]
+        apart = np.bitwise_count(bits[i] ^ bits[i + 1 :]).sum(1, dtype=np.int64)
+        fits = apart * (100 + percent) <= both * (100 - percent)
+        if fits.any():
+            joined = np.append(root[i + 1 :][fits], root[i])
+            least = joined.min()
+            root[np.isin(root, joined)] = least
+        if not root.any():
+            break
+    return root
+
+
+def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest over each group of (key, cls, n_shingles, sketch) rows, of pairs the sketches do not exclude.
+
+    Groups beyond `UNSKETCHED` classes are tied as they are: a superset, settled by the search itself.
+    """
+
+    def run(_, table):
+        key = table.column("key").to_numpy()
+        order = np.argsort(key, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        cls, size = table.column("cls").to_numpy(), table.column("n_shingles").to_numpy()
+        parity = table.column("sketch").to_pylist()
+        a, b = [], []
+        for i, j in zip(begin.tolist(), np.append(begin[1:], len(key)).tolist()):
+            who = order[i:j]
+            root = near_in_group(size[who], [parity[w] for w in who], percent) if j - i <= UNSKETCHED else np.zeros(j - i, np.int64)
+            tied = np.flatnonzero(root != np.arange(j - i))
+            a.append(cls[who[tied]])
+            b.append(cls[who[root[tied]]])
+        edges = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
+
+    return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -265,13 +369,12 @@ def similar_components(
     signed = store.written(signatures(docs, n), "signatures")
     classes = store.written(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        .groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("least")), "classes")
-
-    keyed = parts(docs, n, percent)
-    shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
-    near = store.written(keyed.join(shared.select("key", "low"), "key").select("cls", "low").distinct(), "near")
-    # every class that shares a part, in its block; the lowest class of a part is a member itself
-    blocks = store.components(near.select(F.col("cls").alias("a"), F.col("low").alias("b")))
+        .groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "classes")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = store.written(shared_parts(parts(docs, n, percent, buckets)), "shared")
+    groups = shared.join(classes.select(F.col("s1").alias("cls"), "n_shingles", "sketch"), "cls").withColumn(
+        "bucket", F.pmod("key", F.lit(buckets)))
+    blocks = store.components(candidate_edges(groups, percent))
     members = blocks.join(classes, F.col("node") == F.col("s1")).select(
         F.col("least").alias("doc_id"), F.col("s1").alias("cls"), F.col("root").alias("block"), "n_shingles"
     )

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PAGE = 64
-FANOUT = 16
+PAGE = 512
+FANOUT = 8
 SHARD_ROWS = 4096
 BLOCK_QUERIES = 2048
 
@@ -53,6 +53,8 @@ class MTree:
         self.ids, self.vectors = ids, vectors
         self.exact = vectors.astype(np.float64)
         self.square = (self.exact**2).sum(1)
+        # sums of products below 2**53 are exact in doubles, whose products are faster
+        self.safe = float(np.abs(self.exact).max(initial=0)) ** 2 * max(1, vectors.shape[1]) < 2.0**52
         self.top = float(self.square.max())
         self.lift = np.sqrt(np.maximum(self.top - self.square, 0))
         self.slack = 1e-6 * (1 + np.sqrt(self.top))
@@ -69,22 +71,22 @@ class MTree:
         """A page for the members, given their distances to the pivot above."""
         if len(members) <= PAGE:
             return Page(members, to_parent)
-        pivots = [int(members[0])]
-        near = self._between(pivots[0], members)
-        owner = np.zeros(len(members), np.int64)
-        while len(pivots) < FANOUT and near.max() > 0:  # the farthest so far is the next pivot
-            pivots.append(int(members[near.argmax()]))
-            d = self._between(pivots[-1], members)
-            owner[d < near] = len(pivots) - 1
-            near = np.minimum(near, d)
-        groups = [np.flatnonzero(owner == i) for i in range(len(pivots))]
-        if len(pivots) == 1:  # equal vectors: cut evenly
-            groups = np.array_split(np.arange(len(members)), FANOUT)
-            pivots *= FANOUT
-        children = [self._page(members[g], near[g]) for g in groups]
-        at = np.array(pivots)
-        place = {int(m): i for i, m in enumerate(members)}
-        return Page(at, to_parent[[place[p] for p in pivots]], np.array([near[g].max() for g in groups]), children)
+        # pivots spread evenly over the members, which come in no order; each member joins the nearest
+        picked = np.linspace(0, len(members) - 1, FANOUT).astype(np.int64)
+        apart = np.stack([self._between(int(members[i]), members) for i in picked])
+        owner = apart.argmin(0)
+        if (owner == owner[0]).all():  # equal vectors: cut evenly
+            owner = np.arange(len(members)) * FANOUT // len(members)
+        groups = [(i, np.flatnonzero(owner == i)) for i in range(FANOUT)]
+        groups = [(i, g) for i, g in groups if len(g)]
+        children = [self._page(members[g], apart[i, g]) for i, g in groups]
+        at = picked[[i for i, _ in groups]]
+        return Page(members[at], to_parent[at], np.array([apart[i, g].max() for i, g in groups]), children)
+
+    def _scores(self, members: np.ndarray, query: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if self.safe and float(np.abs(q).max(initial=0)) ** 2 * max(1, len(q)) < 2.0**52:
+            return (self.exact[members] @ q).astype(np.int64)
+        return self.vectors[members] @ query
 
     def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """The k best (-score, id) of all vectors whose id is not `own`."""
@@ -102,8 +104,10 @@ class MTree:
             gap = np.abs(above - page.to_parent)
             if page.children is None:
                 rest = page.entries[gap <= slackened]
-                scores = self.vectors[rest] @ query
-                ids = self.ids[rest]
+                scores, ids = self._scores(rest, query, q), self.ids[rest]
+                if len(best) == k:  # equal scores still compete by id
+                    some = scores >= best[0][0]
+                    scores, ids = scores[some], ids[some]
                 for s, i in zip(scores.tolist(), ids.tolist()):
                     if i == own:
                         continue

@@ -24,7 +24,8 @@ def test_held_out_accuracy_and_calibration(spark):
 
 
 def test_awkward_rows(spark):
-    rows = [(i, f"the and of with {i % 7}", "en", "x") for i in range(60)] + [(100 + i, "der die das ü und ein", "de", "x") for i in range(60)]
+    word = lambda i: "abcdefghij"[i % 10] + "klmnopq"[i % 7]
+    rows = [(i, f"the and of with {word(i)}", "en", "x") for i in range(60)] + [(100 + i, f"der die das ü und ein {word(i)}", "de", "x") for i in range(60)]
     odd = [(500, None, "en", ""), (501, "", "en", ""), (502, "123 !!", "en", ""), (503, "und ein das", None, ""), (None, "the and with", "en", ""),
            (504, "the and " * 100_000, None, ""), (504, "the and", None, "")]
     got = language_id.report(spark.createDataFrame(rows + odd, ROWS)).collect()

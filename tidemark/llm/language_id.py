@@ -30,12 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import store
 from tidemark.llm import tokens as tk
 
 UNKNOWN = "und"
 LONGEST = 4
 DIMENSIONS = 1 << 15
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 4_000
 
 _LETTERS: list[np.ndarray] = []
 
@@ -121,7 +122,7 @@ class Ftrl:
         return -shrunk / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2)
 
     def learn(self, slots: np.ndarray, x: np.ndarray, label: int) -> None:
-        at, x = np.append(slots, len(self.z) - 1), np.append(x, 1.0)
+        at, x = np.append(slots.astype(np.int64), len(self.z) - 1), np.append(x, 1.0)
         w = self.weights(at)
         slope = softmax(x @ w)
         slope[label] -= 1
@@ -156,8 +157,10 @@ def fit_sample(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray,
     languages = sorted({r[0] for r in rows})
     number = {x: i for i, x in enumerate(languages)}
     inputs = [(number[lang], slots, weighted(slots, counts, idf)) for lang, slots, counts in rows]
-    kept = [r for i, r in enumerate(inputs) if i % 5] or inputs
-    unseen = [r for i, r in enumerate(inputs) if not i % 5]
+    kept, unseen, seen = [], [], [0] * len(languages)
+    for r in inputs:  # every fifth row of a language is for the temperature
+        seen[r[0]] += 1
+        (unseen if seen[r[0]] % 5 == 0 else kept).append(r)
     learner = Ftrl(len(idf), len(languages), alpha=0.5, beta=1.0, l1=0.05, l2=0.5)
     for _ in range(epochs):
         for label, slots, x in kept:
@@ -203,12 +206,16 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, sample_rows: int =
     if not total:
         return Model([], np.ones(dimensions), np.zeros((dimensions, 0), np.float32), np.zeros(0), 1.0)
     idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
-    order = F.xxhash64("text", "lang")
-    share = rows.groupBy("lang").agg(F.count("*").alias("of"))
-    languages = F.broadcast(share.agg(F.count("*").alias("kinds")))
-    # each language keeps about its even share of the bound, by hash; the limit makes the bound hard
+    order = F.xxhash64("text", "lang").alias("order")
+    # hashes alone choose the sample, so no text moves: each language keeps about its even share of the
+    # bound, and the limit makes the bound hard
+    names = rows.select("lang", order).distinct()
+    share = names.groupBy("lang").agg(F.count("*").alias("of"))
+    languages = F.broadcast(share.agg(F.count("*").alias("kinds")))  # one row
     odds = F.lit(1.25 * sample_rows) / F.col("kinds") / F.col("of")
-    chosen = rows.join(share, "lang").join(languages, F.lit(True)).where(F.pmod(order, F.lit(1 << 20)) < odds * (1 << 20))
+    chosen = names.join(share, "lang").join(languages, F.lit(True)).where(F.pmod("order", F.lit(1 << 20)) < odds * (1 << 20))
+    chosen = store.written(chosen.orderBy("order", "lang").limit(sample_rows).select("lang", "order"), "sample")
+    picked = rows.withColumn("order", order).join(F.broadcast(chosen), ["lang", "order"], "left_semi")  # at most sample_rows rows
 
     def run(batches):
         for batch in batches:
@@ -221,13 +228,13 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, sample_rows: int =
                     names=["lang", "order", "slots", "counts"],
                 )
 
-    sample = chosen.select("text", "lang", order.alias("order")).mapInArrow(
-        run, "lang string, order long, slots binary, counts binary"
+    sample = picked.mapInArrow(run, "lang string, order long, slots binary, counts binary").groupBy("lang", "order").agg(
+        F.first("slots").alias("slots"), F.first("counts").alias("counts")
     ).orderBy("order", "lang").limit(sample_rows)
 
     def fit(batches):
         got = [
-            (lang, np.frombuffer(s, "<u4").astype(np.int64), np.frombuffer(c, "<u4").astype(np.int64))
+            (lang, np.frombuffer(s, "<u4"), np.frombuffer(c, "<u4"))
             for b in batches
             for lang, s, c in zip(*(b.column(k).to_pylist() for k in ("lang", "slots", "counts")))
         ]

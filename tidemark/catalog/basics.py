@@ -23,18 +23,18 @@ def read_parquet(spark, sf):
     return readers.read_parquet(spark, f"{sf}/customer.parquet")
 
 
-@q("SRC-01", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer")
+@q("SRC-01", f"SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, {r('c_acctbal')} AS c_acctbal, c_mktsegment FROM customer")
 def read_csv(spark, sf):
     path = scratch(spark)
-    table(spark, sf, "customer").drop("c_acctbal").write.option("header", True).option("sep", ";").csv(path)
-    return readers.read_csv(spark, path)
+    table(spark, sf, "customer").write.option("header", True).option("sep", ";").csv(path)
+    return readers.read_csv(spark, path).withColumn("c_acctbal", F.col("c_acctbal").cast("double"))
 
 
-@q("SRC-04", f"SELECT o_orderkey, o_custkey, o_orderstatus, {r('o_totalprice')} AS o_totalprice, o_orderpriority FROM orders")
+@q("SRC-04", f"SELECT o_orderkey, o_custkey, o_orderstatus, {r('o_totalprice')} AS o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders")
 def read_json(spark, sf):
     path = scratch(spark)
-    table(spark, sf, "orders").drop("o_orderdate").write.json(path)
-    return readers.read_json(spark, path, lines=True)
+    table(spark, sf, "orders").write.json(path)
+    return readers.read_json(spark, path, lines=True).withColumn("o_orderdate", F.to_date("o_orderdate"))
 
 
 @q("SRC-05 SET-01", """
@@ -90,7 +90,8 @@ def bronze_round_trip(spark, sf):
 
 @q("SNK-03", "SELECT 'parquet:supplier' AS source, '2024-01-31T06:00:00+00:00' AS loaded_at, 'abc' AS source_hash FROM supplier LIMIT 1")
 def bronze_metadata(spark, sf):
-    return layers.bronze_metadata(layers.stamp(table(spark, sf, "supplier"), "parquet:supplier", LOADED, "abc"))
+    path = layers.write_bronze(table(spark, sf, "supplier"), scratch(spark), "supplier", "parquet:supplier", LOADED, "abc")
+    return layers.bronze_metadata(spark.read.parquet(path))
 
 
 @q("SNK-04", f"SELECT s_suppkey, {r('s_acctbal + 1')} AS s_acctbal FROM supplier")
@@ -108,6 +109,14 @@ def warehouse_counts(spark, sf):
     return layers.register_views({f"tm_{n}": table(spark, sf, n) for n in ("orders", "customer", "lineitem")})
 
 
+@q("SNK-05", """SELECT 'orders' AS table_name, count(*) AS rows FROM orders
+  UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier""")
+def warehouse_loaded(spark, sf):
+    folder = scratch(spark)  # a schema of its own, so that nothing of an earlier session is in the way
+    loaded = {n: table(spark, sf, n) for n in ("orders", "customer", "supplier")}
+    return layers.load_warehouse(spark, loaded, f"tm_{folder[-12:]}", folder)
+
+
 @q("SNK-06", f"SELECT o_orderpriority AS priority, {r('sum(o_totalprice)')} AS revenue FROM orders GROUP BY 1")
 def declared_view(spark, sf):
     layers.register_views({"tm_view_orders": table(spark, sf, "orders")})
@@ -131,10 +140,11 @@ def free_query(spark, sf):
     )
 
 
-@q("SNK-09", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type FROM part")
+@q("SNK-09", f"SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type, {r('p_retailprice')} AS p_retailprice FROM part")
 def export_csv(spark, sf):
-    out = layers.export_csv({"part": table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")}, scratch(spark))
-    return readers.read_csv(spark, out["part"])
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
+    out = layers.export_csv({"part": part}, scratch(spark))
+    return readers.read_csv(spark, out["part"]).withColumn("p_retailprice", F.col("p_retailprice").cast("double"))
 
 
 # --- conformance -------------------------------------------------------------

@@ -81,9 +81,9 @@ def write_layer(df: DataFrame, root: str, layer: str, name: str, partition_by: l
     return path
 
 
-def load_warehouse(spark: SparkSession, tables: Mapping[str, DataFrame], schema: str = "gold") -> DataFrame:
-    """Create or replace each table and count it as the warehouse sees it."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
+def load_warehouse(spark: SparkSession, tables: Mapping[str, DataFrame], schema: str = "gold", location: str | None = None) -> DataFrame:
+    """Create or replace each table and count it as the warehouse sees it; a new schema may lie at `location`."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}" + (f" LOCATION '{location}'" if location else ""))
     parts = []
     for name, df in tables.items():
         df.write.mode("overwrite").format("parquet").saveAsTable(f"{schema}.{name}")

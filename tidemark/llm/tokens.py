@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _BYTES = np.arange(256)
 SPACE = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
@@ -109,6 +109,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         stop = max(at + 1, int(np.searchsorted(total, before + limit, "right")))
         yield batch.slice(at, stop - at)
         at = stop
+    pa.default_memory_pool().release_unused()  # workers live on between stages
 
 
 def words(column: pa.Array, delimiter: np.ndarray = SPACE, fold: bool = False, hashed: bool = True) -> Words:

@@ -171,7 +171,8 @@ def indexed(rows: DataFrame, size: int) -> DataFrame:
 def repeats(docs: DataFrame, size: int, crowded: int = 20_000) -> DataFrame:
     """(doc, marks): list of struct(at, cls, bits) of segments with windows that start earlier elsewhere."""
     every = all_segments(docs, size)
-    twice = every.groupBy("mini").agg(F.count("*").alias("n")).where("n > 1").select("mini")
+    # written, so that both sides of the join are plain exchanges, whose hot keys Spark can split
+    twice = store.written(every.groupBy("mini").agg(F.count("*").alias("n")).where("n > 1").select("mini"), "twice")
     found = store.written(every.join(twice, "mini"), "segments")
     classes = found.groupBy("mini", "cls").agg(F.min(F.struct("doc", "at")).alias("low"), F.count("*").alias("n"))
     contexts = classes.groupBy("mini").agg(F.count("*").alias("contexts")).where(F.col("contexts") > crowded)
@@ -192,7 +193,7 @@ def repeats(docs: DataFrame, size: int, crowded: int = 20_000) -> DataFrame:
     bits = bits.union(spread)
 
     told = classes.select("mini", "cls", "n", F.struct("doc", "at").alias("low")).join(bits, ["mini", "cls"], "left")
-    told = told.where("n > 1 OR bits IS NOT NULL").drop("n")
+    told = store.written(told.where("n > 1 OR bits IS NOT NULL").drop("n"), "told")
     everything = F.expr("shiftleft(1L, cast(at & 63 AS int)) - 1")
     marks = found.join(told, ["mini", "cls"]).select(
         "doc", "at", "cls", F.when(F.struct("doc", "at") == F.col("low"), F.coalesce("bits", F.lit(0).cast("long"))).otherwise(everything).alias("bits")

@@ -17,7 +17,9 @@ empty result.
 
 from __future__ import annotations
 
+import json
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +27,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm import tokens as tk
 
-CACHED_CHUNKS = 400_000
-CACHED_BYTES = 64
+# Fixed value: how byte-level tokenizers of this family split a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # A byte-level tokenizer that splits like GPT-2 always starts a new piece at a
 # space before a visible character.  Bytes after which that is certain: visible
@@ -40,54 +41,119 @@ VISIBLE = ((_BYTES > 0x20) & (_BYTES < 0x7F)) | ((_BYTES >= 0xC3) & ~np.isin(_BY
 
 
 class Encoder:
-    """Ids of many texts, with each distinct space-led chunk tokenized once while it stays cached."""
+    """Ids of many texts, with each distinct space-led chunk of a slice tokenized once.
+
+    The distinct chunks are encoded as one text: a cut always falls before each
+    of them, and the byte length of every token tells which chunk it belongs to.
+    A tokenizer file whose ids follow its merge order is run by tiktoken, which
+    gives the same ids faster; any other, and any slice that spells out a
+    special token, by tokenizers.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.special = [t["content"].encode() for t in told.get("added_tokens", [])]
+        self.ranked, self.sizes = ranked_encoder(told)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of each text in them)."""
         data, offsets = tk.raw(column)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        cut = np.zeros(len(data) + 1, bool)
-        cut[:-2] = (data[:-1] == 0x20) & VISIBLE[data[1:]]
-        last = offsets[1:][offsets[1:] > 0] - 1
-        cut[last] = False  # the byte after a text's last belongs to the next text
-        cut[offsets] = True
-        cut[-1] = False
-        starts = np.flatnonzero(cut)
-        ends = np.append(starts[1:], len(data))
-        _, one, which = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         blob = data.tobytes()
-        chunks = [blob[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())]
-        found = self._lookup(chunks)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids = np.frombuffer(b"".join(found), np.uint32)
-        begin = np.cumsum(sizes) - sizes
-        out = ids[tk.ranges(begin[which], sizes[which])]
-        ends_at = np.concatenate([[0], np.cumsum(sizes[which])])
-        return out, ends_at[np.searchsorted(starts, offsets)]
-
-    def _lookup(self, chunks: list[bytes]) -> list[bytes]:
-        get = self.cache.get
-        found = [get(c) for c in chunks]
-        missing = [i for i, x in enumerate(found) if x is None]
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            encoded = self.tokenizer.encode_batch([chunks[i].decode() for i in some], add_special_tokens=False)
-            for i, e in zip(some, encoded):
-                found[i] = np.array(e.ids, "<u4").tobytes()
-        if len(self.cache) + len(missing) > CACHED_CHUNKS:
-            self.cache.clear()
-        for i in missing[:CACHED_CHUNKS]:
-            if len(chunks[i]) <= CACHED_BYTES:
-                self.cache[chunks[i]] = found[i]
-        return found
+        if self.ranked is None or any(s in blob for s in self.special):
+            parts = [blob[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            lists = [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+            return np.fromiter((i for x in lists for i in x), np.uint32, int(ends[-1])), ends
+        starts, ends = chunks(data, offsets)
+        _, one, which = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        led = data[starts[one]] == 0x20
+        led &= VISIBLE[data[np.minimum(starts[one] + 1, len(data) - 1)]] & (ends[one] - starts[one] > 1)
+        order = np.concatenate([np.flatnonzero(led), np.flatnonzero(~led)])  # chunks that open a text stand alone
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        one = one[order]
+        joined = int(led.sum())
+        encode = self.ranked.encode_ordinary
+        ids = [np.array(encode(tk.strings(data, starts[one[:joined]], ends[one[:joined]]).decode()), np.uint32)]
+        ids += [np.array(encode(blob[a:b].decode()), np.uint32) for a, b in zip(starts[one[joined:]].tolist(), ends[one[joined:]].tolist())]
+        ids = np.concatenate(ids)
+        edge = np.concatenate([[0], np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(ends[one] - starts[one]), "left") + 1])
+        which = place[which]
+        sizes = np.diff(edge)[which]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return ids[tk.ranges(edge[which], sizes)], total[np.searchsorted(starts, offsets)]
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that are tokenized alike wherever they stand: cut at text starts and before spaces that lead something visible."""
+    cut = np.zeros(len(data) + 1, bool)
+    cut[:-2] = (data[:-1] == 0x20) & VISIBLE[data[1:]]
+    cut[offsets[1:][offsets[1:] > 0] - 1] = False  # the byte after a text's last belongs to the next text
+    cut[offsets] = True
+    cut[-1] = False
+    starts = np.flatnonzero(cut)
+    return starts, np.append(starts[1:], len(data))
+
+
+def ranked_encoder(told: dict):
+    """(tiktoken encoding, byte length of every token) of a byte-level BPE file, or (None, None) where ids do not follow merges."""
+    model, split = told["model"], told.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+    if not plain or split.get("add_prefix_space") or told.get("normalizer") or model.get("ignore_merges"):
+        return None, None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    special = {t["content"] for t in told.get("added_tokens", [])}
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in special}
+    if sorted(vocabulary.values()) != list(range(256 + len(merges))) or any(
+        vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)
+    ):
+        return None, None
+    import tiktoken
+
+    # the printable stand-ins of byte-level vocabularies: printable bytes are themselves, others follow from 256 on
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    as_byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in shown)}
+    ranks = {bytes(as_byte[c] for c in t): i for t, i in vocabulary.items()}
+    sizes = np.zeros(len(ranks), np.int64)
+    for token, i in ranks.items():
+        sizes[i] = len(token)
+    return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
+
+
+PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
+TOKEN_SLICE = 4 << 20
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], tokenizer: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    encoder = Encoder(tokenizer)
+    for batch in batches:
+        for rows in tk.slices(batch, limit=TOKEN_SLICE):
+            ids, offsets = encoder.encode(rows.column("text"))
+            total = np.diff(offsets) + 1
+            at = np.concatenate([[0], np.cumsum(total)])
+            flat = np.full(at[-1], end_id, "<u4")
+            body = np.ones(at[-1], bool)
+            body[at[1:] - 1] = False
+            flat[body] = ids
+            pieces = -(-total // window)
+            doc = np.repeat(np.arange(len(total)), pieces)
+            start = tk.ranges(np.zeros(len(total), np.int64), pieces) * window
+            length = np.minimum(window, total[doc] - start)
+            edge = np.concatenate([[0], np.cumsum(length)]) * 4
+            blob = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(length), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(flat)]
+            ).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), blob, pa.array(total[doc])],
+                names=["doc_id", "start", "length", "ids", "doc_tokens"],
+            )
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -> DataFrame:
@@ -95,34 +161,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: in
 
     `ids` holds little-endian unsigned 32-bit token ids.
     """
-
-    def run(batches):
-        encoder = Encoder(tokenizer)
-        for batch in batches:
-            for rows in tk.slices(batch):
-                ids, offsets = encoder.encode(rows.column("text"))
-                total = np.diff(offsets) + 1
-                at = np.concatenate([[0], np.cumsum(total)])
-                flat = np.full(at[-1], end_id, "<u4")
-                body = np.ones(at[-1], bool)
-                body[at[1:] - 1] = False
-                flat[body] = ids
-                pieces = -(-total // window)
-                doc = np.repeat(np.arange(len(total)), pieces)
-                start = tk.ranges(np.zeros(len(total), np.int64), pieces) * window
-                length = np.minimum(window, total[doc] - start)
-                edge = np.concatenate([[0], np.cumsum(length)]) * 4
-                blob = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), len(length), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(flat)]
-                ).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), blob, pa.array(total[doc])],
-                    names=["doc_id", "start", "length", "ids", "doc_tokens"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, start long, length long, ids binary, doc_tokens long"
-    )
+    run = lambda batches: pieces_of(batches, tokenizer, window, end_id)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 class OpenWindows:
@@ -193,30 +233,40 @@ def blocks(batches: Iterator[pa.RecordBatch], pieces: int, size: int) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def place(pieces: DataFrame, window: int = 1024, block_pieces: int = 20_000, block_bytes: int = 128 << 20) -> DataFrame:
-    """The pieces with (sequence_id, offset); any other columns ride along."""
-    kept = pieces.drop("sequence_id", "offset")
+def placed(batches: Iterator[pa.RecordBatch], window: int, block_pieces: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    base = TaskContext.get().partitionId() << 33
+    for block in blocks(batches, block_pieces, block_bytes):
+        number, offset, opened = best_fit(block.column("length").to_numpy(), window)
+        yield from (
+            block.append_column("sequence_id", pa.array(base + number)).append_column("offset", pa.array(offset)).to_batches()
+        )
+        base += opened
 
-    def run(batches):
-        base = TaskContext.get().partitionId() << 33
-        for block in blocks(batches, block_pieces, block_bytes):
-            lengths = block.column("length").to_numpy()
-            number, offset, opened = best_fit(lengths, window)
-            yield from (
-                block.append_column("sequence_id", pa.array(base + number)).append_column("offset", pa.array(offset)).to_batches()
-            )
-            base += opened
 
-    told = T.StructType.fromDDL("sequence_id long, offset long")
-    return kept.mapInArrow(run, T.StructType(kept.schema.fields + told.fields))
+def pack(
+    docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, digest: bool = False,
+    block_pieces: int = 20_000, block_bytes: int = 64 << 20,
+) -> DataFrame:
+    """Every piece of every document with its ids and its place (sequence_id, offset).
+
+    With `digest` the ids' CRC-32 stands in for the ids (`ids_crc32`), which keeps rows narrow.
+    """
 
+    def told(pieces):
+        for p in pieces:
+            at = p.schema.get_field_index("ids")
+            yield p.set_column(at, "ids_crc32", pa.array([zlib.crc32(x) for x in map(memoryview, p.column("ids").to_pylist())], pa.int64()))
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -> DataFrame:
-    """Every piece of every document with its ids and its place."""
-    return place(token_pieces(docs, tokenizer, window, end_id), window)
+    def run(batches):
+        pieces = pieces_of(batches, tokenizer, window, end_id)
+        yield from placed(told(pieces) if digest else pieces, window, block_pieces, block_bytes)
+
+    schema = PIECES.replace("ids binary", "ids_crc32 long") if digest else PIECES
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, f"{schema}, sequence_id long, offset long"
+    )
 
 
 def pack_digest(docs: DataFrame, tokenizer: str, window: int = 1024) -> DataFrame:
-    """As `pack`, with the ids' CRC-32 in place of the ids, taken before placing so that rows stay narrow."""
-    told = token_pieces(docs, tokenizer, window).withColumn("ids_crc32", F.crc32("ids"))
-    return place(told.select("doc_id", "start", "length", "ids_crc32", "doc_tokens"), window)
+    """One row per piece: its place and a digest of its ids."""
+    return pack(docs, tokenizer, window, digest=True)

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pyarrow.dataset as ds
 import pytest
 from plain import contaminated, jaccard_components
@@ -49,6 +50,63 @@ def test_jaccard_empty(spark):
     assert ngram_join.similar_components(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_part_keys(percent):
+    rng = np.random.default_rng(percent)
+    draw = lambda n: rng.integers(0, 2**64, n, np.uint64)
+
+    def keys(sets):
+        sets = [np.sort(s) for s in sets]
+        doc, key = ngram_join.part_keys(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), percent)
+        return [set(key[doc == i].tolist()) for i in range(len(sets))]
+
+    for size in [*range(1, 40), 150, 700]:
+        for _ in range(6):  # a subset and a set with as many elements exchanged as a link allows share a key
+            whole = draw(size)
+            fewer = whole[: max(1, -(-percent * size // 100))]
+            moved = int(size * (100 - percent) / (100 + percent))
+            x, y, z = keys([whole, fewer, np.concatenate([whole[moved:], draw(moved)])])
+            assert x & y and x & z
+    if percent > 60:  # sets without a common element meet in no part
+        found = keys([draw(300) for _ in range(200)])
+        assert sum(map(len, found)) == len(set().union(*found))
+
+
+def test_large_groups_take_the_sketch_test(spark, monkeypatch):
+    rng = random.Random(8)
+    hot = [f"h{i}" for i in range(40)]  # whole parts of it are in every text
+    rows = [(i, " ".join(hot + rng.choices([f"w{k}" for k in range(5000)], k=60))) for i in range(60)]
+    rows += [(100 + i, t + " more") for i, t in rows[:50]]
+    monkeypatch.setattr(ngram_join, "UNSKETCHED", 8)
+    blocks, known = [], ngram_join.candidate_blocks
+
+    def kept(shared, *more):
+        assert shared.agg(F.max("classes")).first()[0] > 8
+        blocks.append(known(shared, *more))
+        return blocks[-1]
+
+    monkeypatch.setattr(ngram_join, "candidate_blocks", kept)
+    got = ngram_join.similar_components(frame(spark, rows), 1, 60).collect()
+    assert sorted(map(tuple, got)) == sorted(jaccard_components(rows, 1, 60))
+    assert blocks[0].groupBy("root").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_queries_of_a_large_block_are_dealt(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base[: len(base) - rng.randint(0, 90)] + [f"own{i}"])) for i in range(120)]
+    tasks, links = [], ngram_join.shard_links
+
+    def counted(sets, percent):
+        tasks.append(sets.groupBy("block", "shard", "part").count().agg(F.max("count")).first()[0])
+        return links(sets, percent)
+
+    monkeypatch.setattr(ngram_join, "shard_links", counted)
+    got = ngram_join.similar_components(frame(spark, rows), 3, 90, 10).collect()
+    assert sorted(map(tuple, got)) == sorted(jaccard_components(rows))
+    assert tasks[0] <= 50
+
+
 def test_one_of_each_keeps_columns(spark):
     docs = frame(spark, noisy(5) + AWKWARD)
     kept = ngram_join.one_of_each(docs, 3, 90)

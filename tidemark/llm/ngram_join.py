@@ -6,8 +6,12 @@ A document's set is its distinct word n-grams.  Two documents link when
 1. *Classes.*  Documents with equal sets collapse to one class (any number of
    copies is one aggregated row), so copies never multiply work.
 2. *Candidate blocks.*  Sets that link differ in few elements.  Each set is cut
-   by hash into one part more than that difference allows, so linked sets agree
-   on at least one whole part (pigeonhole).  Of each part only the first class of
+   by hash into more parts than that difference allows, so linked sets agree
+   on at least one whole part (pigeonhole).  A part without elements says nothing
+   and is no key: a set with more parts in use than a link may differ in agrees
+   with every partner on a part in use.  Sets with fewer are cut again by other
+   hashes, and only those short in every cut key their empty parts, so no link is
+   lost.  Of each part only the first class of
    a slice of documents travels, packed with others of its bucket; the rest of the
    slice is tied to that first one on the spot, so a part that a third of all
    documents share costs its bucket one entry per slice.
@@ -15,7 +19,9 @@ A document's set is its distinct word n-grams.  Two documents link when
    changes at most one bit per differing element, so more differing bits than the
    threshold allows elements rule a pair out.  What is left forms candidate
    blocks, connected components; a group of classes hands on a spanning forest
-   of its pairs, never the pairs.
+   of its pairs, never the pairs.  A group beyond `UNSKETCHED` classes takes the
+   same test in pieces: first inside random pieces of it, then, where that and the
+   other groups leave several components, between every two pieces.
 3. *T-occurrence.*  Inside a block each set queries the inverted lists of the
    smaller ones: the rarest lists are heap-merged, the T-1 longest (DivideSkip)
    are only probed by binary search for the candidates that the merge found, and
@@ -23,8 +29,9 @@ A document's set is its distinct word n-grams.  Two documents link when
 4. *Blocks of any size.*  A block is cut into size bands (only sets of sizes
    within the threshold can link): a band is the index, it and the next band
    query.  Bands beyond `block_rows` sets are dealt into several index shards,
-   and every query of the band visits each of them, so no task holds more than
-   about `block_rows` indexed sets and no pair is lost.
+   and every query of the band visits each of them.  Queries are dealt into blocks
+   as well, so no task holds more than about `block_rows` indexed and as many
+   asking sets, and no pair is lost.
 
 Edge cases: null, empty and wordless texts have size 0 and link with nothing;
 fewer than n words make one n-gram of the whole sequence; repeated rows and ids
@@ -50,6 +57,7 @@ from tidemark.llm import tokens as tk
 U64 = tk.U64
 LARGEST_SKETCH = 4096
 UNSKETCHED = 2048
+CUTS = 8
 
 
 def step(percent: int) -> float:
@@ -102,34 +110,54 @@ def bands(size: np.ndarray, percent: int) -> np.ndarray:
 
 def parts_of_band(band: np.ndarray, percent: int) -> np.ndarray:
     """Parts that guarantee agreement: one more than the largest difference of a linking pair whose
-    smaller set lies in the band."""
-    top = np.floor(step(percent) ** (band + 1) * (1 + 1e-9)).astype(np.int64) + 1
-    both = top + top * 100 // percent
-    return both * (100 - percent) // (100 + percent) + 1
+    smaller set lies in the band, and a sixteenth more to make up for empty ones."""
+    least = allowed(top_of_band(band, percent), top_of_band(band, percent) * 100 // percent, percent) + 1
+    return least + np.where(least > 1, -(-least // 16), 0)
+
+
+def top_of_band(band: np.ndarray, percent: int) -> np.ndarray:
+    return np.floor(step(percent) ** (band + 1) * (1 + 1e-9)).astype(np.int64) + 1
+
+
+def allowed(size: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Most elements in which linking sets of these sizes differ."""
+    return (size + other) * (100 - percent) // (100 + percent)
 
 
 def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document position, key) for every part of every non-empty set, under each band it may meet in."""
+    """(document position, key) for the parts in use of every non-empty set, under each band it may meet in.
+
+    A set that uses no more parts than it may differ in from a partner takes the
+    next cut too; in the last one it keys its empty parts as well.
+    """
     size = np.diff(offsets)
     own, also = bands(size, percent)
     docs, keys = [], []
-    for band, chosen in ((own, size > 0), (also, (size > 0) & (also != own))):
+    for band, largest, chosen in (
+        (own, size * 100 // percent, size > 0), (also, top_of_band(also, percent), (size > 0) & (also != own))
+    ):
         pick = np.flatnonzero(chosen)
-        if not len(pick):
-            continue
-        k = parts_of_band(band[pick], percent)
-        at = np.concatenate([[0], np.cumsum(k)])
-        taken = tk.ranges(offsets[pick], size[pick])
-        v = values[taken]
-        of = np.repeat(np.arange(len(pick)), size[pick])
-        slot = at[of] + (tk.mix(v) % k[of].astype(U64)).astype(np.int64)
-        sums = np.zeros(at[-1], U64)
-        np.add.at(sums, slot, tk.mix(v ^ U64(0x8EBC6AF09C88C6E3)))
-        doc = np.repeat(pick, k)
-        part = tk.ranges(np.zeros(len(pick), np.int64), k)
-        tag = tk.mix(band[doc].astype(U64) * U64(1 << 40) + part.astype(U64))
-        docs.append(doc)
-        keys.append(tk.mix(sums ^ tag))
+        for cut in range(CUTS):
+            if not len(pick):
+                break
+            k = parts_of_band(band[pick], percent)
+            at = np.concatenate([[0], np.cumsum(k)])
+            taken = tk.ranges(offsets[pick], size[pick])
+            v = values[taken]
+            of = np.repeat(np.arange(len(pick)), size[pick])
+            slot = at[of] + (tk.mix(v ^ tk.mix(np.array([cut], U64))) % k[of].astype(U64)).astype(np.int64)
+            sums = np.zeros(at[-1], U64)
+            np.add.at(sums, slot, tk.mix(v ^ U64(0x8EBC6AF09C88C6E3)))
+            used = np.bincount(slot, minlength=at[-1]) > 0
+            short = np.add.reduceat(used, at[:-1], dtype=np.int64) <= allowed(size[pick], largest[pick], percent)
+            doc = np.repeat(pick, k)
+            part = tk.ranges(np.zeros(len(pick), np.int64), k)
+            tag = tk.mix((band[doc].astype(U64) * U64(CUTS) + U64(cut)) * U64(1 << 40) + part.astype(U64))
+            if cut == CUTS - 1:
+                used |= np.repeat(short, k)
+            docs.append(doc[used])
+            keys.append(tk.mix(sums ^ tag)[used])
+            pick = pick[short]
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(docs), np.concatenate(keys).view(np.int64)
@@ -210,15 +238,16 @@ def parts(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
 
 
 def shared_parts(packed: DataFrame) -> DataFrame:
-    """(key, cls) of every part that more than one class has."""
+    """(key, cls, classes) of every part that more than one class has, and how many have it."""
 
     def run(_, table):
         pairs, begin = grouped(np.frombuffer(b"".join(table.column("pairs").to_pylist() + table.column("tied").to_pylist()), PAIR))
         size = np.diff(np.append(begin, len(pairs)))
-        kept = pairs[np.repeat(size > 1, size)]
-        return pa.table({"key": kept["key"].copy(), "cls": kept["cls"].copy()})
+        size = np.repeat(size, size)
+        kept = pairs[size > 1]
+        return pa.table({"key": kept["key"].copy(), "cls": kept["cls"].copy(), "classes": size[size > 1]})
 
-    return packed.groupBy("bucket").applyInArrow(run, "key long, cls long")
+    return packed.groupBy("bucket").applyInArrow(run, "key long, cls long, classes long")
 
 
 def fold(parity: bytes, words: int) -> np.ndarray:
@@ -228,17 +257,20 @@ def fold(parity: bytes, words: int) -> np.ndarray:
     return bits
 
 
-def near_in_group(size: np.ndarray, parity: list[bytes], percent: int) -> np.ndarray:
-    """For each member the first member of its group that a chain of not-excluded pairs leads to."""
+def near_in_group(size: np.ndarray, parity: list[bytes], known: np.ndarray, percent: int) -> np.ndarray:
+    """For each member the first member of its group that a chain of not-excluded pairs leads to; members
+    of one known component are joined already."""
     words = min(map(len, parity)) // 8
     bits = np.stack([fold(p, words) for p in parity])
-    root = np.arange(len(size))
+    _, first, root = np.unique(known, return_index=True, return_inverse=True)
+    root = first[root]
     for i in range(len(size) - 1):
-        both = size[i] + size[i + 1 :]
-        apart = np.bitwise_count(bits[i] ^ bits[i + 1 :]).sum(1, dtype=np.int64)
+        rest = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        both = size[i] + size[rest]
+        apart = np.bitwise_count(bits[i] ^ bits[rest]).sum(1, dtype=np.int64)
         fits = apart * (100 + percent) <= both * (100 - percent)
         if fits.any():
-            joined = np.append(root[i + 1 :][fits], root[i])
+            joined = np.append(root[rest][fits], root[i])
             least = joined.min()
             root[np.isin(root, joined)] = least
         if not root.any():
@@ -247,21 +279,18 @@ def near_in_group(size: np.ndarray, parity: list[bytes], percent: int) -> np.nda
 
 
 def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest over each group of (key, cls, n_shingles, sketch) rows, of pairs the sketches do not exclude.
-
-    Groups beyond `UNSKETCHED` classes are tied as they are: a superset, settled by the search itself.
-    """
+    """(a, b): a spanning forest over each group of (key, cls, known, n_shingles, sketch) rows, of pairs the sketches do not exclude."""
 
     def run(_, table):
         key = table.column("key").to_numpy()
         order = np.argsort(key, kind="stable")
         begin = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-        cls, size = table.column("cls").to_numpy(), table.column("n_shingles").to_numpy()
+        cls, size, known = (table.column(c).to_numpy() for c in ("cls", "n_shingles", "known"))
         parity = table.column("sketch").to_pylist()
         a, b = [], []
         for i, j in zip(begin.tolist(), np.append(begin[1:], len(key)).tolist()):
             who = order[i:j]
-            root = near_in_group(size[who], [parity[w] for w in who], percent) if j - i <= UNSKETCHED else np.zeros(j - i, np.int64)
+            root = near_in_group(size[who], [parity[w] for w in who], known[who], percent)
             tied = np.flatnonzero(root != np.arange(j - i))
             a.append(cls[who[tied]])
             b.append(cls[who[root[tied]]])
@@ -271,8 +300,31 @@ def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
+def candidate_blocks(shared: DataFrame, classes: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(node, root): components of the classes over the pairs of a common part that their sketches do not exclude."""
+    bucket = F.pmod("key", F.lit(buckets))
+    sketches = classes.select(F.col("s1").alias("cls"), "n_shingles", "sketch")
+    # a group of any size is cut into pieces; pieces differ from part to part, so families of copies grow together
+    large = F.col("classes") > UNSKETCHED
+    cut = F.ceil(F.col("classes") * 2 / UNSKETCHED).cast("long")
+    mine = F.pmod(F.xxhash64("key", "cls"), cut)
+    pieces = shared.withColumn("key", F.when(large, F.xxhash64("key", mine)).otherwise(F.col("key")))
+    groups = pieces.join(sketches, "cls").withColumns({"known": F.col("cls"), "bucket": bucket})
+    edges = store.written(candidate_edges(groups, percent), "near")
+    blocks = store.components(edges)
+    if shared.where(large).isEmpty():
+        return blocks
+    rows = shared.where(large).join(blocks, F.col("cls") == F.col("node"), "left").select(
+        "key", "cls", cut.alias("cut"), mine.alias("mine"), F.coalesce("root", "cls").alias("known"))
+    apart = rows.groupBy("key").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high").select("key")
+    pairs = rows.join(apart, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1))).where("other != mine")
+    pairs = pairs.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+    across = pairs.select("key", "cls", "known").join(sketches, "cls").withColumn("bucket", F.col("key"))
+    return store.components(edges.union(store.written(candidate_edges(across, percent), "across")))
+
+
 def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cls, block, shard, query, grams) of the wanted (doc_id, cls, block, shard, query) rows."""
+    """(cls, block, shard, part, query, grams) of the wanted (doc_id, cls, block, shard, part, query) rows."""
 
     def run(batches):
         for batch in batches:
@@ -280,20 +332,20 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 values, offsets = document_sets(piece.column("text"), n)
                 sets = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(c) for c in ("cls", "block", "shard", "query")] + [sets.cast(pa.list_(pa.int64()))],
-                    names=["cls", "block", "shard", "query", "grams"],
+                    [piece.column(c) for c in ("cls", "block", "shard", "part", "query")] + [sets.cast(pa.list_(pa.int64()))],
+                    names=["cls", "block", "shard", "part", "query", "grams"],
                 )
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return (
         rows.join(wanted, "doc_id")
-        .select("cls", "block", "shard", "query", "text")
-        .mapInArrow(run, "cls long, block long, shard long, query boolean, grams array<long>")
+        .select("cls", "block", "shard", "part", "query", "text")
+        .mapInArrow(run, "cls long, block long, shard long, part long, query boolean, grams array<long>")
     )
 
 
-def t_occurrence(ids: np.ndarray, sets: list[np.ndarray], query: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links of one shard that join what is not yet joined; sets marked `query` ask, all others are also indexed.
+def t_occurrence(ids: np.ndarray, sets: list[np.ndarray], query: np.ndarray, percent: int, own: bool = True) -> list[tuple[int, int]]:
+    """Links of one shard that join what is not yet joined; sets marked `query` ask, all others are indexed, and ask if `own`.
 
     Lists are visited rarest first.  A query with overlap bound T merges all but
     its T-1 longest lists with a heap and probes those for what the merge found.
@@ -318,7 +370,7 @@ def t_occurrence(ids: np.ndarray, sets: list[np.ndarray], query: np.ndarray, per
         return i
 
     links = []
-    for q in range(len(sets)):
+    for q in range(len(sets)) if own else np.flatnonzero(query).tolist():
         mine = term[at[q] : at[q + 1]]
         mine = mine[np.argsort(length[mine], kind="stable")]
         need = -(-percent * size[q] // 100)
@@ -350,16 +402,16 @@ def t_occurrence(ids: np.ndarray, sets: list[np.ndarray], query: np.ndarray, per
 
 
 def shard_links(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links found in each (block, shard)."""
+    """(a, b) links found in each (block, shard, part); a shard without part is asked by its own sets."""
 
     def run(_, table):
         ids = table.column("cls").to_numpy()
         values = [np.asarray(x.values) for x in table.column("grams").combine_chunks()]
         query = table.column("query").to_numpy().astype(bool)
-        links = t_occurrence(ids, values, query, percent)
+        links = t_occurrence(ids, values, query, percent, own=table.column("part").null_count > 0)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return sets.groupBy("block", "shard").applyInArrow(run, "a long, b long")
+    return sets.groupBy("block", "shard", "part").applyInArrow(run, "a long, b long")
 
 
 def similar_components(
@@ -372,9 +424,7 @@ def similar_components(
         .groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "classes")
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = store.written(shared_parts(parts(docs, n, percent, buckets)), "shared")
-    groups = shared.join(classes.select(F.col("s1").alias("cls"), "n_shingles", "sketch"), "cls").withColumn(
-        "bucket", F.pmod("key", F.lit(buckets)))
-    blocks = store.components(candidate_edges(groups, percent))
+    blocks = candidate_blocks(shared, classes, percent, buckets)
     members = blocks.join(classes, F.col("node") == F.col("s1")).select(
         F.col("least").alias("doc_id"), F.col("s1").alias("cls"), F.col("root").alias("block"), "n_shingles"
     )
@@ -382,19 +432,27 @@ def similar_components(
     lower = F.floor(F.log(F.ceil(F.col("n_shingles") * percent / 100)) / math.log(step(percent)) + 1e-9)
     heavy = members.groupBy("block").agg(F.count("*").alias("rows"))
     members = members.join(heavy, "block").withColumns({"band": band, "lower": lower})
-    # a small block is one shard; a large one is cut by band, and its bands into shards of about block_rows
-    small = members.where(F.col("rows") <= block_rows).withColumns({"shard": F.lit(0).cast("long"), "query": F.lit(False)})
+    # a small block is one shard; a large one is cut by band, and its bands into shards of about block_rows,
+    # each of which meets its own sets, then every other shard of its band and of the next one as a part that asks
+    own = {"part": F.lit(None).cast("long"), "query": F.lit(False)}
+    small = members.where(F.col("rows") <= block_rows).withColumns({"shard": F.lit(0).cast("long")} | own)
     big = members.where(F.col("rows") > block_rows)
     wide = big.groupBy("block", "band").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("cut"))
     into = big.join(wide, ["block", "band"]).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("cut")))
-    stays = into.withColumns({"shard": F.xxhash64("band", "mine"), "query": F.lit(False)})
+    stays = into.withColumns({"shard": F.xxhash64("band", "mine")} | own)
     spread = lambda df: df.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)))
-    asks = spread(into.where("cut > 1")).where("other != mine").withColumns(
-        {"shard": F.xxhash64("band", "other"), "query": F.lit(True)})
-    under = big.where("lower < band").drop("band").withColumnRenamed("lower", "band").join(wide, ["block", "band"])
+    met = spread(into.where("cut > 1")).where("other != mine")
+    asked = met.withColumns({"shard": F.xxhash64("band", "mine"), "part": F.xxhash64("band", "other"), "query": F.lit(False)})
+    asks = met.withColumns({"shard": F.xxhash64("band", "other"), "part": F.xxhash64("band", "mine"), "query": F.lit(True)})
+    home = F.xxhash64("band", "mine")
+    under = into.where("lower < band").withColumn("part", home).drop("band", "cut").withColumnRenamed("lower", "band").join(wide, ["block", "band"])
     below = spread(under).withColumns({"shard": F.xxhash64("band", "other"), "query": F.lit(True)})
-    names = ["doc_id", "cls", "block", "shard", "query"]
-    wanted = small.select(*names).union(stays.select(*names)).union(asks.select(*names)).union(below.select(*names))
+    upper = into.where("lower < band").select("block", F.col("lower").alias("band"), home.alias("part")).distinct()
+    above = into.withColumn("shard", home).join(upper, ["block", "band"]).withColumn("query", F.lit(False))
+    names = ["doc_id", "cls", "block", "shard", "part", "query"]
+    wanted = small.select(*names)
+    for rows in (stays, asked, asks, below, above):
+        wanted = wanted.union(rows.select(*names))
 
     links = store.written(shard_links(class_sets(docs, wanted, n), percent), "links")
     return labelled(signed, classes, links)

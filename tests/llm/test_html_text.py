@@ -35,6 +35,16 @@ def test_density_finds_an_unmarked_article(box):
     assert main_text(page) == f"Title\n{LONG.strip()}\nShort.\n{LONG.strip()}"
 
 
+def test_text_beside_an_article_is_not_lost():
+    text = f"<h2>Title</h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+    flat = f"Title\n{LONG.strip()}\nShort.\n{LONG.strip()}"
+    links = "<div>" + "<a href='/x'>a link to some other page</a> " * 20 + "</div>"
+    card = "<article class='card'><a href='/y'>Read this one too</a></article>"
+    assert main_text(f"<body>{links}{card}<div><div>{text}</div></div>{links}</body>") == flat
+    assert main_text(f"<body>{links}<article>{text}</article><article>{text}</article>{links}</body>") == f"{flat}\n{flat}"
+    assert main_text(f"<body>{links}<article><h1>Head</h1><div>{text}</div></article>{links}</body>") == f"Head\n{flat}"
+
+
 def test_given_pages(spark):
     rows = {r["page_id"]: r for r in ds.dataset(f"{SF}/pages.parquet").to_table().to_pylist()}
     got = extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()

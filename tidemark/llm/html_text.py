@@ -11,7 +11,8 @@ link-adjusted characters per tag
 is the sum of its children's densities, its own text counting as a child.  The
 subtree with the greatest score is the article; the least density on the path
 from it to the body is the threshold at which blocks beside that path join it.
-Inside an ``article`` or ``main`` element the whole element is taken.
+This chooses on every page.  An ``article`` or ``main`` element is no more than a
+boundary: where the winner lies in one, the nearest is taken whole in its place.
 
 The text of a block has its white space turned into single spaces; blocks are
 joined by one newline in page order.
@@ -199,23 +200,14 @@ def choose(root: Node) -> set[int]:
     measure(nodes)
     parent = {id(c): n for n in nodes for c in n.children if isinstance(c, Node) and not c.cut}
     body = next((n for n in nodes if n.tag == "body"), root)
-    marked = [n for n in nodes if n.tag in ("article", "main") and n.chars]
-    if marked:
-        within, todo = [], list(marked)
-        while todo:
-            n = todo.pop()
-            within.append(n)
-            todo.extend(c for c in n.children if isinstance(c, Node) and not c.cut)
-        best = max(within, key=lambda n: n.score)
-        while id(best) in parent and best.tag not in ("article", "main"):
-            best = parent[id(best)]
-        return {id(best)}
     best = max(nodes, key=lambda n: n.score)
     path = [best]
     while id(path[-1]) in parent and path[-1] is not body:
         path.append(parent[id(path[-1])])
     threshold = min(n.density for n in path)
-    chosen = {id(best)}
+    bound = next((i for i, n in enumerate(path) if n.tag in ("article", "main")), 0)
+    path = path[bound:]
+    chosen = {id(path[0])}
     for n in path[1:]:
         for c in n.children:
             if isinstance(c, Node) and not c.cut and c not in path and c.chars and c.density >= threshold and c.link_chars * 2 < c.chars:

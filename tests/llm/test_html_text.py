@@ -45,6 +45,23 @@ def test_text_beside_an_article_is_not_lost():
     assert main_text(f"<body>{links}<article><h1>Head</h1><div>{text}</div></article>{links}</body>") == f"Head\n{flat}"
 
 
+@pytest.mark.parametrize("wrap", ["<div class='site has-sidebar'>%s</div>", "<div id='content' class='no-sidebar'>%s</div>",
+                                  "<div class='page header-fixed'>%s</div>", "<div class='post share-enabled'>%s</div>"])
+@pytest.mark.parametrize("mark", ["<article>%s</article>", "<main><article>%s</article></main>", "<div>%s</div>"])
+def test_a_class_word_does_not_cut_the_wrapper(wrap, mark):
+    text = f"<h2>Title</h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+    side = "<div class='sidebar'><p>A few words at the side.</p></div><div class='share'>Tell it</div>"
+    links = "<div class='menu'>" + "<a href='/x'>a link to some other page</a> " * 20 + "</div>"
+    related = "<div class='related'><article class='card'><p>Another text</p></article></div>"
+    page = f"<html><body>{links}{wrap % (mark % (text + related * ('article' in mark)) + side)}</body></html>"
+    assert main_text(page) == f"Title\n{LONG.strip()}\nShort.\n{LONG.strip()}"
+
+
+def test_comments_around_marked_cards_stay_cut():
+    cards = "".join(f"<article class='comment' id='c{i}'><p>Nice, number {i}.</p></article>" for i in range(3))
+    assert main_text(f"<article><p>{LONG}</p></article><div id='comments'>{cards}</div>") == LONG.strip()
+
+
 def test_given_pages(spark):
     rows = {r["page_id"]: r for r in ds.dataset(f"{SF}/pages.parquet").to_table().to_pylist()}
     got = extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()

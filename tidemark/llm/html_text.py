@@ -2,7 +2,9 @@
 
 A page becomes a small DOM.  Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments by readers are cut by their element
-names, roles and class words.  Of what is left every node gets its
+names, roles and class words.  A class word alone does not cut what wraps an
+article or main element, nor what holds most of the page's characters outside
+links; density decides there.  Of what is left every node gets its
 link-adjusted characters per tag
 
     density = C / T * log(C / max(LC, 1) * T / max(LT, 1) + e  ,  base ln(C * LC / max(C - LC, 1) + LCb * C / Cb + e))
@@ -63,6 +65,8 @@ CUT_WORDS = frozenset(
     "disclaimer skip toc".split()
 )
 
+WRAPS = 3, 4  # an element with a larger share of the characters outside links is no furniture
+
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<![^>]*>?|<\?[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?", re.S
 )
@@ -73,31 +77,34 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "score")
+    __slots__ = ("tag", "children", "cut", "worded", "marked", "chars", "tags", "link_chars", "link_tags", "density", "score")
+
+    def __init__(self, tag: str, cut: bool = False, worded: bool = False):
+        self.tag, self.cut, self.worded, self.marked, self.children = tag, cut, worded, False, []
+
 
-    def __init__(self, tag: str, cut: bool = False):
-        self.tag, self.cut, self.children = tag, cut, []
+def has_cut_word(value: str) -> bool:
+    return not CUT_WORDS.isdisjoint(WORD_EDGE.split(CAMEL.sub("-", value).lower()))
 
 
-def is_cut(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is furniture; a heading group inside an article is not."""
+def is_cut(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether only a class or id word says so; a heading group inside an article is not."""
     if tag in CUT or tag == "header" and not inside:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    worded = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name in ("class", "id"):
-            words = WORD_EDGE.split(CAMEL.sub("-", value).lower())
-            if not CUT_WORDS.isdisjoint(words) and not (inside and tag in ("h1", "h2", "h3", "p")):
-                return True
+            worded |= has_cut_word(value) and not (inside and tag in ("h1", "h2", "h3", "p"))
         elif name == "role" and value.lower() in CUT_ROLES:
-            return True
+            return True, False
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, False
+    return worded, worded
 
 
 def parse(page: str) -> Node:
@@ -140,7 +147,12 @@ def parse(page: str) -> Node:
                     break
                 if open_nodes[i].tag in ends:
                     close(i)
-        node = Node(tag, is_cut(tag, attributes, articles > 0))
+        node = Node(tag, *is_cut(tag, attributes, articles > 0))
+        if tag in ("article", "main") and not any(has_cut_word(v) for k, v in ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id")):
+            for n in reversed(open_nodes) if all(n.tag != "article" for n in open_nodes) else ():  # not a card inside an article
+                if n.marked:
+                    break
+                n.marked = True
         open_nodes[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -154,6 +166,28 @@ def parse(page: str) -> Node:
     return root
 
 
+def keep_wrappers(root: Node) -> None:
+    """Undo cuts by a class or id word around an article, or around most of the characters outside links."""
+    nodes, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        nodes.append(n)
+        todo.extend(c for c in n.children if isinstance(c, Node) and (n.tag != "a") and (c.worded or not c.cut))
+    if not any(n.worded for n in nodes):
+        return
+    for n in reversed(nodes):
+        n.chars = 0
+        if n.tag != "a":
+            for c in n.children:
+                if isinstance(c, str):
+                    n.chars += len(c) - c.count(" ") if not c.isspace() else 0
+                elif c.worded or not c.cut:
+                    n.chars += c.chars
+    for n in nodes:
+        if n.worded and (n.marked or n.chars * WRAPS[1] > root.chars * WRAPS[0]):
+            n.cut = False
+
+
 def ordered(root: Node) -> list[Node]:
     """All kept nodes, parents first."""
     out, todo = [], [root]
@@ -248,6 +282,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    keep_wrappers(root)
     return "\n".join(blocks(root, choose(root)))
 
 

@@ -475,6 +475,34 @@ def parsed_lines(spark, sf):
     return tx.parse_transcripts(c.select((F.col("conv_id") * 10 + F.col("turn")).alias("doc"), plain.alias("text")))
 
 
+def whole_conversations(spark, sf, piece):
+    """(doc, text): every conversation as one transcript of its turns, each written by `piece`."""
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return turns.select(F.col("conv_id").alias("doc"), F.array_join(F.transform("turns", piece), "").alias("text"))
+
+
+@q("TXT-01", """
+  SELECT conv_id AS doc, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS turn, role AS speaker, turn * 10.0::DOUBLE AS start_s, turn * 10.0::DOUBLE + 7.5 AS end_s,
+         trim(text, chr(32) || chr(10) || chr(9)) AS text FROM conversations""")
+def parsed_caption_texts(spark, sf):
+    def clock(s, ms):
+        return F.format_string(f"%02d:%02d:%02d.{ms}", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+
+    def caption(t):
+        s = t["turn"].cast("bigint") * 10
+        return F.concat(F.lit("\n\n"), clock(s, "000"), F.lit(" --> "), clock(s + 7, "500"), F.lit("\n<v "), t["role"], F.lit(">"), t["text"], F.lit("</v>"))
+
+    docs = whole_conversations(spark, sf, caption)
+    return tx.parse_transcripts(docs.withColumn("text", F.concat(F.lit("WEBVTT"), "text")))
+
+
+@q("TXT-01", """
+  SELECT conv_id AS doc, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS turn, upper(role[1]) || role[2:] AS speaker, NULL AS start_s, NULL AS end_s,
+         trim(regexp_replace(trim(text, chr(32) || chr(10) || chr(9)), '\\s*\\n\\s*', ' ', 'g')) AS text FROM conversations""")
+def parsed_line_texts(spark, sf):
+    return tx.parse_transcripts(whole_conversations(spark, sf, lambda t: F.concat(F.initcap(t["role"]), F.lit(": "), t["text"], F.lit("\n"))))
+
+
 @q("TXT-02", """
   WITH RECURSIVE s AS (SELECT conv_id AS doc, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'client' END AS speaker, turn * 10.0::DOUBLE AS a, turn * 10.0::DOUBLE + 7.5 AS b, text FROM conversations),
   m(doc, turn, speaker, first_turn, a, b, text) AS (

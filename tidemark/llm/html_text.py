@@ -3,8 +3,8 @@
 A page becomes a small DOM.  Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments by readers are cut by their element
 names, roles and class words.  A class word alone does not cut what wraps an
-article or main element, nor what holds most of the page's characters outside
-links; density decides there.  Of what is left every node gets its
+article or main element, nor what holds over three quarters of the characters
+outside links; density decides there.  Of what is left every node gets its
 link-adjusted characters per tag
 
     density = C / T * log(C / max(LC, 1) * T / max(LT, 1) + e  ,  base ln(C * LC / max(C - LC, 1) + LCb * C / Cb + e))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontam, html_text, language_id, license_scan, mtree, ngram_join, packing, sharding, store, substring_dedup, warc
+from tidemark.llm import chat_format, collocations, decontam, html_text, language_id, license_scan, mtree, ngram_join, packing, sharding, store, substring_dedup, warc
 
 
 def table(spark, sf_dir, name):
@@ -69,6 +69,11 @@ def op10_exact_top_k(spark, sf_dir):
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_collocations(spark, sf_dir):
+    """The 2000 phrases of each language whose words keep company most."""
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 def op13_sharding(spark, sf_dir):
     """Documents in sixteen shards of near equal bytes."""
     return sharding.digests(table(spark, sf_dir, "documents"))
@@ -76,7 +81,8 @@ def op13_sharding(spark, sf_dir):
 
 QUERIES = (
     op1_language_id, op2_license_scan, op3_html_extraction, op4_chat_rotation, op5_substring_dedup,
-    op6_benchmark_decontamination, op7_warc, op8_packing, op9_ngram_jaccard, op10_exact_top_k, op13_sharding,
+    op6_benchmark_decontamination, op7_warc, op8_packing, op9_ngram_jaccard, op10_exact_top_k,
+    op11_collocations, op13_sharding,
 )
 
 
@@ -85,4 +91,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_chat_rotation": chat_format.ROTATED_SQL, "op13_sharding": sharding.DIGESTS_SQL}
+    return {"op4_chat_rotation": chat_format.ROTATED_SQL, "op11_collocations": collocations.PHRASES_SQL, "op13_sharding": sharding.DIGESTS_SQL}

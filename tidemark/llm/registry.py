@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, collocations, decontam, html_text, language_id, license_scan, mtree, ngram_join, packing, sharding, store, substring_dedup, warc
+from tidemark.llm import chat_format, collocations, decontam, html_text, language_id, license_scan, mtree, ngram_join, packing, periodic_runs, sharding, store, substring_dedup, warc
 
 
 def table(spark, sf_dir, name):
@@ -74,6 +74,11 @@ def op11_collocations(spark, sf_dir):
     return collocations.phrases(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark, sf_dir):
+    """Runs of repeated word blocks in every document, and what is left without them."""
+    return periodic_runs.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_sharding(spark, sf_dir):
     """Documents in sixteen shards of near equal bytes."""
     return sharding.digests(table(spark, sf_dir, "documents"))
@@ -82,7 +87,7 @@ def op13_sharding(spark, sf_dir):
 QUERIES = (
     op1_language_id, op2_license_scan, op3_html_extraction, op4_chat_rotation, op5_substring_dedup,
     op6_benchmark_decontamination, op7_warc, op8_packing, op9_ngram_jaccard, op10_exact_top_k,
-    op11_collocations, op13_sharding,
+    op11_collocations, op12_periodic_runs, op13_sharding,
 )
 
 

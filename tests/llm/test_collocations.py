@@ -75,14 +75,25 @@ def test_tiles_and_coordinates_add_up():
         sums.update(zip(a[~left].tolist(), b[~left].tolist()))
         held.add(a[left].astype(tk.U64), b[left].astype(tk.U64))
         seen.update(zip(a[left].tolist(), b[left].tolist()))
-        for _, x, y, n in held.emitted(False):
+        for _, n, x, y in held.emitted(False):
             seen.subtract(dict(zip(zip(x.tolist(), y.tolist()), n.tolist())))
-    for _, x, y, n in held.emitted(True):
+    for _, n, x, y in held.emitted(True):
         seen.subtract(dict(zip(zip(x.tolist(), y.tolist()), n.tolist())))
     assert tiles.dense and not any(seen.values())
     assert {(x, y): n for i, j, c in tiles.emitted() for x, y, n in zip(i.tolist(), j.tolist(), c.tolist())} == dict(sums)
 
 
+def test_ids_of_keys():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 1000):
+        keys = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        keys = rng.permutation(np.append(keys, [np.uint64(2**64 - 1), np.uint64(0)]))
+        ids = collocations.Ids(keys)
+        assert ids.of(keys).tolist() == list(range(len(keys)))
+        other = np.setdiff1d(np.concatenate([keys + np.uint64(1), rng.integers(0, 2**64, 500, np.uint64)]), keys)
+        assert (ids.of(other) == -1).all()
+
+
 def test_matches_sql(spark):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

@@ -5,13 +5,14 @@ phrase of m + 1 words is a pair of overlapping phrases of m words, so one counti
 pass a length, over pairs of what the pass before found frequent, yields all counts:
 
 1. *Words.*  Occurrences per language, one aggregation; frequent ones go on.
-2. *Ranks.*  The `RANKED` most frequent phrases of the last length get ids, dense
-   inside a language and by falling frequency.  All frequent phrases set a bit in a
-   filter of fixed size.  Both are bounded and go to every task.
-3. *Tiles.*  A pair of ids lies in a tile of 256 x 256 cells.  A task adds crowded tiles
-   up in dense arrays by bincount; pairs of thin tiles, and pairs with a phrase that has
-   no id, are coordinates that are sorted and counted.  Pairs with a phrase whose bit
-   is not set cannot be frequent and are left out.  Tasks emit sums, not occurrences.
+2. *Ranks.*  The `RANKED` most frequent phrases of the last length get ids by falling
+   frequency, the first `TILED` of them side by side per language.  All frequent
+   phrases set a bit in a filter of fixed size.  Both are bounded and go to every task.
+3. *Tiles.*  A pair of low ids lies in a tile of 256 x 256 cells.  A task adds crowded
+   tiles up in dense arrays by bincount; all other pairs of ids are coordinates, one
+   number each, that are sorted and counted, and so are pairs with a phrase that has no
+   id, by its key.  Pairs with a phrase whose bit is not set cannot be frequent and are
+   left out.  Tasks emit sums, not occurrences.
 4. *Recursion.*  Sums meet by pair; pairs that are frequent are the phrases of the
    next length, are ranked again, and so on up to `longest` words.
 
@@ -37,13 +38,14 @@ from tidemark.llm import store
 from tidemark.llm import tokens as tk
 
 U64 = tk.U64
-RANKED = 1 << 15
+RANKED = 1 << 20
+TILED = 1 << 15  # ids, the most frequent ones, that lie in tiles
 SIDE = 8  # bits of an id inside a tile
 CELLS = 1 << 2 * SIDE
 CROWDED = 2048  # pairs of a slice that open a dense tile
 DENSE = 64  # dense tiles of a task
 FILTER_BITS = 1 << 26
-HELD = 1 << 20  # coordinates a task holds before it emits them
+HELD = 1 << 19  # coordinates a task holds before it emits them
 
 _BYTES = np.arange(256)
 ENDS_PIECE = np.isin(_BYTES, np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
@@ -90,21 +92,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Coordinates:
-    """Counts of pairs by key, kept sorted; at most `held` of them and a slice's."""
+    """Counts of pairs, kept sorted; at most `held` of them and a slice's."""
 
     def __init__(self, held: int):
         self.parts, self.rows, self.held = [], 0, held
 
-    def add(self, a: np.ndarray, b: np.ndarray):
-        key, at, n = np.unique(paired(a, b), return_index=True, return_counts=True)
-        self.parts.append((key, a[at], b[at], n))
-        self.rows += len(key)
+    def add(self, a: np.ndarray, b: np.ndarray | None):
+        """Pairs of keys, or numbers that stand for pairs where b is None."""
+        if b is None:
+            self.parts.append(np.unique(a, return_counts=True))
+        else:
+            key, at, n = np.unique(paired(a, b), return_index=True, return_counts=True)
+            self.parts.append((key, n, a[at], b[at]))
+        self.rows += len(self.parts[-1][0])
 
     def merged(self):
-        key, a, b, n = (np.concatenate(x) for x in zip(*self.parts))
-        key, at, same = np.unique(key, return_index=True, return_inverse=True)
-        self.parts = [(key, a[at], b[at], np.bincount(same, weights=n, minlength=len(key)).astype(np.int64))]
-        self.rows = len(key)
+        key, n, *ends = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = []
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        self.parts = [(key[first], np.add.reduceat(n[order], first), *[e[order[first]] for e in ends])]
+        self.rows = len(first)
 
     def emitted(self, all_: bool):
         if self.rows > self.held or all_ and self.rows:
@@ -114,6 +123,28 @@ class Coordinates:
                 yield part
 
 
+class Ids:
+    """Ids of keys through an index on their leading bits."""
+
+    def __init__(self, ids: np.ndarray):
+        self.order = np.argsort(ids)
+        self.known = np.append(ids[self.order], U64(0))  # one past the last is never asked for
+        self.shift = U64(64 - max(1, len(ids).bit_length()))
+        self.first = np.searchsorted(ids[self.order], np.arange(1 << (64 - int(self.shift))).astype(U64) << self.shift)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The id of each key, -1 for none."""
+        out = np.full(len(keys), -1, np.int64)
+        rest, at, last = np.arange(len(keys)), self.first[(keys >> self.shift).astype(np.int64)], len(self.order)
+        while len(rest):
+            there = self.known[at]
+            hit = (there == keys[rest]) & (at < last)
+            out[rest[hit]] = self.order[at[hit]]
+            on = np.flatnonzero((there < keys[rest]) & (at < last))
+            rest, at = rest[on], at[on] + 1
+        return out
+
+
 class Tiles:
     """Counts of pairs of ids: crowded tiles are dense arrays, the rest stays with the caller."""
 
@@ -149,34 +180,37 @@ class Tiles:
             yield (t // self.side << SIDE) + (cell >> SIDE), (t % self.side << SIDE) + (cell & 255), counts[cell]
 
 
-def ranks(level: DataFrame, ranked: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys in order of id, filter bits of all keys): the most frequent phrases, side by side per language."""
-    top = level.select("key", "lang", "a").orderBy(F.desc("a"), "key").limit(ranked).toPandas()
-    keys = top.sort_values(["lang", "a", "key"], ascending=[True, False, True])["key"].to_numpy(np.int64).view(U64)
+def ranks(level: DataFrame, ranked: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order of id, filter bits of all keys): the most frequent phrases first."""
+    top = level.select("key", F.xxhash64("lang").alias("lang"), "a").orderBy(F.desc("a"), "key").limit(ranked).toArrow()
+    keys, lang, a = (top.column(c).to_numpy() for c in ("key", "lang", "a"))
+    order = np.lexsort((keys, -a))
+    low = order[:TILED]
+    order[:TILED] = low[np.lexsort((np.arange(len(low)), lang[low]))]
     bit = F.col("key").bitwiseAND(FILTER_BITS - 1)
     words = level.groupBy(F.shiftright(bit, 6).alias("w")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(key & {FILTER_BITS - 1} & 63 as int))")).alias("bits")
     ).toArrow()  # at most FILTER_BITS / 64 rows
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    return keys, bits.view(U64)
+    return keys[order].view(U64), bits.view(U64)
 
 
 def pair_counts(
     docs: DataFrame, length: int, ids: np.ndarray, bits: np.ndarray, crowded: int = CROWDED, held: int = HELD
 ) -> DataFrame:
-    """(key, left, right, a) of pairs of phrases of `length` words that start one word apart in a piece."""
-    order = np.argsort(ids)
-    known = ids[order]
-    side = max(1, -(-len(ids) >> SIDE))
+    """(left, right, a) of pairs of phrases of `length` words that start one word apart in a piece.
+
+    Where both have ids, left is the pair as one number, i * len(ids) + j, and right is null.
+    """
+    side = max(1, -(-min(len(ids), TILED) >> SIDE))
 
     def run(batches):
-        tiles, coordinates = Tiles(side, crowded), Coordinates(held)
+        tiles, numbers, keyed, known = Tiles(side, crowded), Coordinates(held), Coordinates(held), Ids(ids)
 
-        def out(key, a, b, n):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x.view(np.int64)) for x in (key, a, b)] + [pa.array(n)], names=["key", "left", "right", "a"]
-            )
+        def out(a, b, n):
+            right = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), right, pa.array(n)], names=["left", "right", "a"])
 
         for batch in batches:
             for rows in tk.slices(batch):
@@ -192,27 +226,51 @@ def pair_counts(
                 at = np.flatnonzero(whole[:-1] & whole[1:] & follows[: len(whole) - 1])
                 if not len(at):
                     continue
-                a, b = key[at], key[at + 1]
+                used = np.zeros(len(key), bool)
+                used[at] = used[at + 1] = True
                 id_ = np.full(len(key), -1, np.int64)
-                used = np.flatnonzero(whole)
-                found = np.minimum(np.searchsorted(known, key[used]), len(known) - 1)
-                id_[used] = np.where(known[found] == key[used], order[found], -1)
+                id_[used] = known.of(key[used])
                 i, j = id_[at], id_[at + 1]
-                both = np.flatnonzero((i >= 0) & (j >= 0))
-                thin = np.ones(len(at), bool)
-                if len(both):
-                    thin[both] = tiles.add(i[both], j[both])
-                if thin.any():
-                    coordinates.add(a[thin], b[thin])
-                    for part in coordinates.emitted(False):
-                        yield out(*part)
-        for part in coordinates.emitted(True):
-            yield out(*part)
+                both = (i >= 0) & (j >= 0)
+                tiled = np.flatnonzero(both & (i < TILED) & (j < TILED))
+                if len(tiled):
+                    both[tiled] = tiles.add(i[tiled], j[tiled])
+                    i[tiled[~both[tiled]]] = -2  # done
+                if both.any():
+                    numbers.add(i[both] * len(ids) + j[both], None)
+                    for pair, n in numbers.emitted(False):
+                        yield out(pair, None, n)
+                bare = np.flatnonzero(((i == -1) | (j < 0)) & (i != -2))
+                if len(bare):
+                    keyed.add(key[at[bare]], key[at[bare] + 1])
+                    for _, n, a, b in keyed.emitted(False):
+                        yield out(a, b, n)
+        for pair, n in numbers.emitted(True):
+            yield out(pair, None, n)
+        for _, n, a, b in keyed.emitted(True):
+            yield out(a, b, n)
         for i, j, n in tiles.emitted():
-            yield out(paired(ids[i], ids[j]), ids[i], ids[j], n)
+            yield out(i * len(ids) + j, None, n)
+
+    counted = docs.mapInArrow(run, "left long, right long, a long")
+    return counted.groupBy("left", "right").agg(F.sum("a").alias("a"))
+
+
+def named(counted: DataFrame, ids: np.ndarray) -> DataFrame:
+    """(key, left, right, a): pairs of `pair_counts` by their keys."""
+
+    def run(batches):
+        for batch in batches:
+            left = batch.column("left").to_numpy(zero_copy_only=False)
+            bare = batch.column("right").is_valid().to_numpy(zero_copy_only=False)
+            i = np.where(bare, 0, left)
+            a = np.where(bare, left.view(U64), ids[i // len(ids)])
+            b = np.where(bare, batch.column("right").fill_null(0).to_numpy(zero_copy_only=False).view(U64), ids[i % len(ids)])
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(x.view(np.int64)) for x in (paired(a, b), a, b)], batch.column("a")], names=["key", "left", "right", "a"]
+            )
 
-    counted = docs.mapInArrow(run, "key long, left long, right long, a long")
-    return counted.groupBy("key", "left", "right").agg(F.sum("a").alias("a"))
+    return counted.mapInArrow(run, "key long, left long, right long, a long")
 
 
 def phrases(
@@ -237,7 +295,7 @@ def phrases(
         if not len(ids):
             break
         side = level.select("key", "lang", "phrase", "pre", "suf")
-        counted = pair_counts(texts, length, ids, bits, crowded, held).where(F.col("a") >= least)
+        counted = named(pair_counts(texts, length, ids, bits, crowded, held).where(F.col("a") >= least), ids)
         met = counted.join(side.select(F.col("key").alias("left"), "lang", F.col("phrase").alias("begins"), "pre"), "left")
         met = met.join(side.select(F.col("key").alias("right"), F.col("phrase").alias("ends"), "suf"), "right")
         last = F.substring_index("ends", " ", -1)

@@ -65,6 +65,31 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# Columns of every table by family of types: whole numbers, texts, dates, fractions (nested ones left out).
+COLUMNS = {
+    "region": {"number": ["r_regionkey"], "string": ["r_name"]},
+    "nation": {"number": ["n_nationkey", "n_regionkey"], "string": ["n_name"]},
+    "customer": {"number": ["c_custkey", "c_nationkey"], "string": ["c_name", "c_mktsegment"], "fraction": ["c_acctbal"]},
+    "supplier": {"number": ["s_suppkey", "s_nationkey"], "string": ["s_name"], "fraction": ["s_acctbal"]},
+    "part": {"number": ["p_partkey", "p_size"], "string": ["p_name", "p_brand", "p_type"], "fraction": ["p_retailprice"]},
+    "orders": {"number": ["o_orderkey", "o_custkey"], "string": ["o_orderstatus", "o_orderpriority"], "date": ["o_orderdate"],
+               "fraction": ["o_totalprice"]},
+    "lineitem": {"number": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "string": ["l_returnflag", "l_linestatus"],
+                 "date": ["l_shipdate"], "fraction": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]},
+    "events": {"number": ["event_id", "user_id"], "string": ["event_type", "props"], "date": ["ts"], "fraction": ["value"]},
+    "documents": {"number": ["doc_id", "n_chars"], "string": ["text", "lang", "source"]},
+    "embeddings": {"number": ["vec_id", "label"]},
+    "pages": {"number": ["page_id"], "string": ["url", "html"]},
+    "benchmark": {"number": ["item_id"], "string": ["text"]},
+    "labels": {"number": ["doc_id", "quality", "toxic"]},
+    "conversations": {"number": ["conv_id", "turn"], "string": ["role", "text"]},
+}
+
+
+def every_table(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return {n: table(spark, sf, n) for n in COLUMNS}
+
+
 def sales(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as dated sales of a product to a client."""
     lines = table(spark, sf, "lineitem").select(

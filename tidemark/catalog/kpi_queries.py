@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import format_number
 from ..operators import joins, kpis, model
-from .base import SALES, Book, r, rounded, sales, seller_sales, table
+from .base import COLUMNS, SALES, Book, r, rounded, sales, seller_sales, table
 from .basics import customer_dim, order_calendar
 
 BOOK = Book()
@@ -212,11 +212,13 @@ def misalignment(spark, sf):
     return kpis.misalignment(crossed, ["orders", "events"], minimum_spread=1.05)
 
 
-@q("AGG-25", """
-  WITH u AS (SELECT 'o_orderstatus' AS column_name, o_orderstatus AS v FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders
-             UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders),
+ORDER_CELLS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS v FROM orders" for cs in COLUMNS["orders"].values() for c in cs)
+
+
+@q("AGG-25", f"""
+  WITH u AS ({ORDER_CELLS}),
   s AS (SELECT column_name, string_agg(v, ' | ' ORDER BY v) AS samples FROM (SELECT column_name, v, row_number() OVER (PARTITION BY column_name ORDER BY v) AS rn FROM (SELECT DISTINCT column_name, v FROM u WHERE trim(v) <> '')) WHERE rn <= 3 GROUP BY 1),
   c AS (SELECT column_name, count(*) AS rows, count(DISTINCT v) AS distinct_values, count(*) FILTER (WHERE v IS NULL OR trim(v) = '') AS blanks FROM u GROUP BY 1)
   SELECT 'orders' AS table_name, c.column_name, rows, distinct_values, blanks, samples, row_number() OVER (ORDER BY distinct_values DESC, c.column_name) AS cardinality_rank FROM c JOIN s ON c.column_name = s.column_name""")
 def column_stats(spark, sf):
-    return kpis.column_stats(table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey"), "orders")
+    return kpis.column_stats(table(spark, sf, "orders"), "orders")

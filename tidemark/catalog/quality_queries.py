@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from ..operators import freshness as fresh
 from ..operators import governance, joins, profiling, quality
-from .base import Book, r, table
+from .base import COLUMNS, Book, every_table, r, table
 
 BOOK = Book()
 q = BOOK.add
@@ -176,24 +177,87 @@ def quality_gate_warning_only(spark, sf):
 
 # --- profiling ---------------------------------------------------------------
 
-@q("DQ-14")
+RULED = ("orders", "customer", "part", "lineitem")
+
+
+def _proposed(severity, name, rule, column, to, holds, value="NULL"):
+    quoted = lambda x: f"'{x}'" if x else "NULL"
+    return (
+        f"SELECT '{severity}' AS severity, '{name}' AS table_name, '{rule}' AS rule, {quoted(column)} AS column_name, "
+        f"CAST({value} AS DOUBLE) AS value, {quoted(to)} AS to FROM {name} HAVING {holds}"
+    )
+
+
+SUGGESTED = " UNION ALL ".join(
+    [_proposed("medium", n, "rows_min", None, None, "count(*) > 0", "greatest(1, count(*) // 2)") for n in RULED]
+    + [_proposed("high", n, "unique", c, None, f"count(*) = count(DISTINCT {c})")
+       for n, c in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("part", "p_partkey"))]
+    + [_proposed("low", n, "non_negative", c, None, f"min({c}) >= 0 AND count(DISTINCT {c}) > 2")
+       for n, c in (("orders", "o_totalprice"), ("part", "p_retailprice"), ("lineitem", "l_extendedprice"))]
+    + [_proposed("high", n, "reference", c, f"{o}.{k}", f"count(*) FILTER (WHERE {c} IN (SELECT {k} FROM {o})) > 0.95 * count({c})")
+       for n, c, o, k in (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+                          ("lineitem", "l_partkey", "part", "p_partkey"))]
+)
+
+
+@q("DQ-14", SUGGESTED)
 def suggested_rules(spark, sf):
-    return profiling.suggest_rules({n: table(spark, sf, n) for n in ("orders", "customer", "part")})
+    return profiling.suggest_rules({n: table(spark, sf, n) for n in RULED})
 
 
-@q("DQ-15")
+def _starter(item, kind, column, holds="count(*) > 0", value="NULL"):
+    named = f"'{column}'" if column else "NULL"
+    return (
+        f"SELECT 'part' AS table_name, '{item}' AS item, '{kind}' AS kind, {named} AS column_name, CAST({value} AS DOUBLE) AS value "
+        f"FROM part HAVING {holds}"
+    )
+
+
+PART = [c for family in COLUMNS["part"].values() for c in family]
+STARTER = " UNION ALL ".join(
+    [_starter("rule", "rows_min", None, value="greatest(1, count(*) // 2)"), _starter("kpi", "count", None),
+     _starter("rule", "unique", "p_partkey", "count(*) = count(DISTINCT p_partkey)")]
+    + [_starter("rule", "not_null", c, f"count(*) = count({c})") for c in PART]
+    + [_starter("rule", "non_negative", c, f"min({c}) >= 0") for c in ("p_size", "p_retailprice")]
+    + [_starter("kpi", "sum", c, f"count({c}) > 0") for c in ("p_size", "p_retailprice")]
+)
+
+
+@q("DQ-15", STARTER)
 def starter_rules(spark, sf):
     return profiling.starter_rules(table(spark, sf, "part"), "part")
 
 
-@q("DQ-16", """
-  SELECT 'orders' AS table_name, CASE WHEN count(*) = count(DISTINCT o_orderkey) THEN 'o_orderkey' END AS key, CAST(1 AS BIGINT) AS columns FROM orders
-  UNION ALL SELECT 'events', CASE WHEN count(*) = count(DISTINCT event_id) THEN 'event_id' END, 1 FROM events
-  UNION ALL SELECT 'conversations', CASE WHEN count(DISTINCT (conv_id, turn)) = count(*) THEN 'conv_id + turn' END, 2 FROM conversations""")
+def _smallest_key(name, order, widest=3):
+    """SQL that tries every combination of a table's columns, smallest first."""
+    tries = [
+        f"WHEN (SELECT count(*) FROM (SELECT DISTINCT {', '.join(k)} FROM {name})) = count(*) THEN '{' + '.join(k)}'"
+        for width in range(1, widest + 1) for k in combinations(order, width)
+    ]
+    return f"SELECT '{name}' AS table_name, CASE {' '.join(tries)} END AS key FROM {name}"
+
+
+# Key columns in the order in which the tables have them.
+IN_ORDER = {
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "embeddings": ["vec_id", "label"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "conversations": ["conv_id", "turn", "role", "text"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey"], "events": ["event_id", "ts", "user_id", "event_type", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"], "pages": ["page_id", "url", "html"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regionkey", "r_name"], "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"], "said": ["conv_id", "turn", "role"],
+}
+KEYS = " UNION ALL ".join(_smallest_key(n, c) for n, c in IN_ORDER.items())
+
+
+@q("DQ-16", f"""
+  WITH said AS (SELECT conv_id, turn, role FROM conversations), keys AS ({KEYS})
+  SELECT table_name, key, CAST(len(string_split(key, ' + ')) AS BIGINT) AS columns FROM keys""")
 def candidate_keys(spark, sf):
-    tables = {n: table(spark, sf, n) for n in ("orders", "events")}
-    tables["conversations"] = table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    return profiling.candidate_keys(tables)
+    """The key of every table, and of the conversations without their texts."""
+    tables = every_table(spark, sf)
+    return profiling.candidate_keys(tables | {"said": tables["conversations"].drop("text")})
 
 
 @q("DQ-17", """
@@ -247,18 +311,57 @@ def relation_preconditions(spark, sf):
     return profiling.relation_preconditions(relation_tables(spark, sf), [*RELATIONS, *more])
 
 
-@q("DQ-20", """
-  SELECT 'lineitem' AS from_table, 'l_orderkey' AS from_column, 'orders' AS to_table, 'o_orderkey' AS to_column, 'many_to_one' AS kind,
-         round(count(DISTINCT l_orderkey) FILTER (WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) * 1.0 / count(DISTINCT l_orderkey), 4) AS share FROM lineitem
-  UNION ALL SELECT 'orders', 'o_custkey', 'customer', 'c_custkey', 'many_to_one',
-         round(count(DISTINCT o_custkey) FILTER (WHERE o_custkey IN (SELECT c_custkey FROM customer)) * 1.0 / count(DISTINCT o_custkey), 4) FROM orders
-  UNION ALL SELECT 'lineitem', 'l_partkey', 'part', 'p_partkey', 'many_to_one',
-         round(count(DISTINCT l_partkey) FILTER (WHERE l_partkey IN (SELECT p_partkey FROM part)) * 1.0 / count(DISTINCT l_partkey), 4) FROM lineitem
-  UNION ALL SELECT 'customer', 'c_nationkey', 'nation', 'n_nationkey', 'many_to_one',
-         round(count(DISTINCT c_nationkey) FILTER (WHERE c_nationkey IN (SELECT n_nationkey FROM nation)) * 1.0 / count(DISTINCT c_nationkey), 4) FROM customer""")
+VALUES = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, {i} AS ti, {j} AS ci, '{family}' AS f, CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {t} GROUP BY ALL"
+    for i, t in enumerate(COLUMNS)
+    for j, (c, family) in enumerate(sorted(
+        ((c, f) for f, cs in COLUMNS[t].items() for c in cs if f != "fraction"),
+        key=lambda x: IN_ORDER[t].index(x[0]) if x[0] in IN_ORDER[t] else 99))
+)
+
+RELATED = f"""
+  v AS ({VALUES}),
+  own AS (SELECT t, c, ti, ci, f, sum(n) AS rows, coalesce(sum(n) FILTER (WHERE v IS NOT NULL), 0) AS filled, count(v) AS values,
+          regexp_replace(lower(c), '^[a-z]{{1,2}}_', '') AS stem FROM v GROUP BY ALL),
+  shared AS (SELECT a.t AS t, a.c AS c, b.t AS u, b.c AS d, count(*) AS found, sum(a.n) AS found_rows
+             FROM v a JOIN v b ON a.f = b.f AND a.v = b.v AND (a.t, a.c) <> (b.t, b.c) GROUP BY ALL)"""
+
+
+@q("DQ-20", f"""
+  WITH {RELATED},
+  named AS (
+    SELECT a.t, a.c, b.t AS u, b.c AS d, a.ti, a.ci, b.ti AS ui, b.ci AS di, a.rows AS ra, b.rows AS rb,
+           a.rows = a.filled AND a.filled = a.values AS ua, b.rows = b.filled AND b.filled = b.values AS ub
+    FROM own a JOIN own b ON a.ti < b.ti AND a.f = b.f AND (a.stem = b.stem
+      OR regexp_replace(a.stem, '(id|key|code)$', '') = b.t OR regexp_replace(b.stem, '(id|key|code)$', '') = a.t)),
+  turned AS (
+    SELECT *, CASE WHEN ua AND ub AND ra = rb THEN 'ambiguous' WHEN ub AND (NOT ua OR ra > rb) THEN 'first' WHEN ua THEN 'second' END AS side FROM named),
+  sided AS (
+    SELECT CASE WHEN side = 'second' THEN u ELSE t END AS from_table, CASE WHEN side = 'second' THEN d ELSE c END AS from_column,
+           CASE WHEN side = 'second' THEN t ELSE u END AS to_table, CASE WHEN side = 'second' THEN c ELSE d END AS to_column,
+           side, ti, ui, ci, di FROM turned WHERE side IS NOT NULL),
+  measured AS (
+    SELECT s.*, coalesce(h.found, 0) * 1.0 / o.values AS share
+    FROM sided s JOIN own o ON o.t = from_table AND o.c = from_column
+         LEFT JOIN shared h ON h.t = from_table AND h.c = from_column AND h.u = to_table AND h.d = to_column)
+  SELECT from_table, from_column, to_table, to_column, 'many_to_one' AS kind, {r('share')} AS share FROM measured
+  WHERE side <> 'ambiguous' AND share >= 0.9 QUALIFY row_number() OVER (PARTITION BY ti, ui ORDER BY ci, di) = 1
+  UNION ALL SELECT from_table, from_column, to_table, to_column, 'ambiguous', NULL FROM measured WHERE side = 'ambiguous'""")
 def inferred_relations(spark, sf):
-    names = ("customer", "lineitem", "nation", "orders", "part")
-    return profiling.infer_relations({n: table(spark, sf, n) for n in names})
+    """Relations among all tables."""
+    return profiling.infer_relations(every_table(spark, sf))
+
+
+@q("DQ-20", f"""
+  WITH {RELATED}
+  SELECT h.t AS from_table, h.c AS from_column, h.u AS to_table, h.d AS to_column, o.rows::BIGINT AS rows, o.filled::BIGINT AS filled,
+         o.values::BIGINT AS values, h.found::BIGINT AS found, h.found_rows::BIGINT AS found_rows
+  FROM shared h JOIN own o ON o.t = h.t AND o.c = h.c WHERE h.found >= 0.9 * o.values""")
+def inclusion_dependencies(spark, sf):
+    """Every column of every table that lies, but for a tenth of its values, in another one, whatever its name."""
+    tables = {n: df.select(*[c for f, cs in COLUMNS[n].items() if f != "fraction" for c in cs]) for n, df in every_table(spark, sf).items()}
+    found = profiling.inclusions(tables).where("(from_table, from_column) <> (to_table, to_column) AND found >= 0.9 * values")
+    return found.drop("most")
 
 
 @q("DQ-20", """

@@ -114,6 +114,19 @@ def exact_quantiles(df: DataFrame, column: str, levels: Sequence[float]) -> list
     return out
 
 
+def column_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(c, v, n): how many rows have text v in the c-th of the columns, for all columns from one scan."""
+    kinds = dict(df.dtypes)
+    return counted_texts(
+        df, [F.col(c) + F.lit(0.0) if kinds[c] in ("double", "float") else F.col(c) for c in columns]
+    )
+
+
+def counted_texts(df: DataFrame, values: Sequence[Column]) -> DataFrame:
+    cells = [F.struct(F.lit(i).alias("c"), v.cast("string").alias("v")) for i, v in enumerate(values)]
+    return df.select(F.inline(F.array(*cells))).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
 def deciles(df: DataFrame, score: str, tie: str, out: str = "decile") -> DataFrame:
     """Ten equal-frequency groups by ascending score, ties broken by `tie`.
 

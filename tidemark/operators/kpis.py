@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reasons import reason
 from ..functions.scalars import format_number, safe_div
-from ..functions.scale import with_totals
+from ..functions.scale import column_counts, with_totals
 from .profiling import is_numeric
 
 PLAIN = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
@@ -284,12 +284,11 @@ def concentration(df: DataFrame, member: str, column: str, top: int = 10) -> Dat
 
 def best_cut(df: DataFrame, dimensions: Sequence[str], measures: Sequence[str], used: Sequence[str] = ()) -> DataFrame:
     """The (dimension, measure) most worth a Pareto: a used measure with the
-    biggest sum, a dimension of at least eight members (fewest first)."""
-    row = df.agg(
-        *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(dimensions)],
-        *[F.sum(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(measures)],
-    ).first()
-    wide = [(row[f"d{i}"], c) for i, c in enumerate(dimensions) if row[f"d{i}"] >= 8]
+    biggest sum, a dimension of at least eight members (fewest first).  Members are
+    counted exactly, all dimensions in one aggregation."""
+    row = df.agg(*[F.sum(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(measures)]).first()
+    members = column_counts(df, dimensions).groupBy("c").agg(F.count("v").alias("n")).collect()
+    wide = [(r.n, dimensions[r.c]) for r in members if r.n >= 8]
     ranked = sorted(
         ((c in used, row[f"m{i}"] or 0.0, c) for i, c in enumerate(measures)), reverse=True
     )
@@ -376,34 +375,27 @@ def strategy_summary(scores: DataFrame, by: str, probability: str, expected: str
 def column_stats(df: DataFrame, name: str, samples: int = 3, display: int | None = None) -> DataFrame:
     """Per column: distinct, blanks and a few sample values (the smallest), whole unless `display` cuts what is shown.
 
-    Columns are profiled one narrow job branch each: values are counted first,
-    so exact distinct counts never gather whole columns in one task.
+    All columns are unpivoted in one scan to (column, value, rows); counts and
+    samples read the same shuffled rows, and the samples of a column are
+    picked inside the tasks before they meet.
     """
     shown = lambda v: v if display is None else F.substring(v, 1, display)
-    parts = []
-    for column in df.columns:
-        text = F.col(column).cast("string")
-        values = df.groupBy(text.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        blank = F.col("v").isNull() | (F.trim(F.col("v")) == "")
-        firsts = (
-            values.where(~blank).select("v").orderBy("v").limit(samples)
-            .agg(F.array_join(F.transform(F.sort_array(F.collect_list("v")), shown), " | ").alias("samples"), F.lit(1).alias("one"))
-        )
-        counts = values.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-            F.count("v").alias("distinct_values"),
-            F.coalesce(F.sum(F.when(blank, F.col("n"))), F.lit(0)).alias("blanks"),
-            F.lit(1).alias("one"),
-        )
-        parts.append(
-            counts.join(firsts, "one").select(
-                F.lit(name).alias("table_name"), F.lit(column).alias("column_name"),
-                "rows", "distinct_values", "blanks", "samples",
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    values = column_counts(df, df.columns)
+    blank = F.col("v").isNull() | (F.trim(F.col("v")) == "")
+    counts = values.groupBy("c").agg(
+        F.sum("n").alias("rows"),
+        F.count("v").alias("distinct_values"),
+        F.coalesce(F.sum(F.when(blank, F.col("n"))), F.lit(0)).alias("blanks"),
+    )
+    # every count is above 0; naming it keeps the rows those that `counts` reads, so that Spark shuffles them once
+    filled = values.where(F.when(F.col("n") > 0, ~blank))
+    firsts = filled.withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy("v"))).where(F.col("place") <= samples)
+    firsts = firsts.groupBy("c").agg(F.array_join(F.transform(F.sort_array(F.collect_list("v")), shown), " | ").alias("samples"))
+    listed = df.sparkSession.range(1).select(F.posexplode(F.lit(df.columns)).alias("c", "column_name"))
+    out = listed.join(counts, "c", "left").join(firsts, "c", "left").select(
+        F.lit(name).alias("table_name"), "column_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "distinct_values", "blanks")],
+        F.coalesce("samples", F.lit("")).alias("samples"),
+    )
     place = Window.orderBy(F.desc("distinct_values"), "column_name")  # one row per column
     return out.withColumn("cardinality_rank", F.row_number().over(place).cast("bigint"))
 

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 NUMERIC = (*INTEGERS, "float", "double")
 DATES = ("date", "timestamp", "timestamp_ntz")
 KEY_TYPES = (*INTEGERS, "string", *DATES)
-MAX_KEY_COLUMNS = 4
+NESTED = ("array", "map", "struct", "binary", "variant")
+EXHAUSTIVE = 4  # widest key that is searched among all combinations
+SKETCHES = 256  # in one aggregation
+EXACT = 16  # combinations that one exact aggregation decides
+SKETCH_ERROR = 0.08  # five standard errors of a sketch
 
 # Names that announce a magnitude, and names that announce a key.
 MAGNITUDE_NAMES = (
@@ -28,15 +33,11 @@ def is_numeric(kind: str) -> bool:
 
 
 def profile(df: DataFrame) -> dict[str, dict]:
-    """Rows, nulls and distinct values of every column.
-
-    Distinct counts use the mergeable sketch first: it prunes key candidates
-    on any size, and exactness is checked later only for those that survive.
-    """
+    """Rows, nulls, least value, sum and estimated distinct values of every column, from one aggregation."""
     exprs = [F.count(F.lit(1)).alias("rows")]
-    usable = [(n, t) for n, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
+    usable = [(n, t) for n, t in df.dtypes if not t.startswith(NESTED)]
     for i, (name, kind) in enumerate(usable):
-        exprs += [F.count(name).alias(f"f{i}"), F.approx_count_distinct(name, 0.02).alias(f"d{i}")]
+        exprs += [F.count(name).alias(f"f{i}"), sketch([name]).alias(f"d{i}")]
         if is_numeric(kind):
             exprs += [F.min(name).alias(f"m{i}"), F.sum(F.col(name).cast("double")).alias(f"s{i}")]
         if kind == "string":
@@ -49,7 +50,7 @@ def profile(df: DataFrame) -> dict[str, dict]:
             "type": kind,
             "rows": row["rows"],
             "filled": row[f"f{i}"],
-            "distinct": row[f"d{i}"],
+            "distinct": row[f"d{i}"] or 0,
             "min": row.get(f"m{i}"),
             "sum": row.get(f"s{i}"),
             "numeric_text": (row.get(f"t{i}") or 0) > 0.95,
@@ -57,34 +58,83 @@ def profile(df: DataFrame) -> dict[str, dict]:
     return out
 
 
-def is_unique(df: DataFrame, columns: Sequence[str]) -> bool:
-    repeated = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return repeated.isEmpty()
+def sketch(columns: Sequence[str]) -> Column:
+    """Estimated distinct combinations of the columns: one mergeable sketch of a few kilobytes."""
+    return F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*columns), F.lit(12)))
 
 
-def candidate_key(df: DataFrame, declared: Sequence[str] | None = None,
-                  stats: Mapping[str, dict] | None = None) -> list[str] | None:
-    """Declared key first, then one column, then up to four, smallest first.
+def estimates(df: DataFrame, combos: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
+    """Estimated distinct values of every combination, `SKETCHES` of them an aggregation."""
+    out = {}
+    for at in range(0, len(combos), SKETCHES):
+        some = combos[at : at + SKETCHES]
+        row = df.agg(*[sketch(c).alias(f"e{i}") for i, c in enumerate(some)]).first()
+        out.update({c: row[f"e{i}"] or 0 for i, c in enumerate(some)})
+    return out
 
-    A combination is tested only if the product of its distinct counts can
-    reach the row count, which discards almost all of them without a shuffle.
+
+def unique_among(df: DataFrame, combos: Sequence[Sequence[str]]) -> list[bool]:
+    """Which combinations repeat no value, from one aggregation over digests of all of them."""
+    if not combos:
+        return []
+    tuples = [
+        F.struct(F.lit(i).alias("i"), F.md5(F.to_json(F.struct(*[F.col(c).cast("string") for c in combo]), {"ignoreNullFields": "false"})).alias("h"))
+        for i, combo in enumerate(combos)
+    ]
+    counted = df.select(F.inline(F.array(*tuples))).groupBy("i", "h").agg(F.count(F.lit(1)).alias("n"))
+    repeated = {r.i for r in counted.where("n > 1").select("i").distinct().collect()}
+    return [i not in repeated for i in range(len(combos))]
+
+
+def candidate_key(df: DataFrame, declared: Sequence[str] | None = None, stats: Mapping[str, dict] | None = None,
+                  exhaustive: int = EXHAUSTIVE) -> list[str] | None:
+    """The declared key if it is one, else the smallest combination that is, columns in table order.
+
+    Combinations are searched level by level.  A level's candidates are those
+    whose parts could reach the row count; one mergeable sketch each, in shared
+    aggregations, leaves a few, and one exact aggregation over digests decides
+    among these.  Past `exhaustive` columns the key is a minimal one: columns are
+    given up from the last to the first while the rest stays unique.  A table
+    whose whole rows repeat has no key, which one check of all columns tells.
     """
     stats = stats or profile(df)
+    if not stats:
+        return None
     rows = next(iter(stats.values()))["rows"]
     full = [c for c, s in stats.items()
             if s["filled"] == rows and s["type"] in KEY_TYPES and not c.endswith("_hash")]
     if declared:
         usable = [c for c in declared if c in stats and stats[c]["filled"] == rows]
-        if usable and is_unique(df, usable):
+        if usable and unique_among(df, [usable])[0]:
             return usable
-    for size in range(1, MAX_KEY_COLUMNS + 1):
-        for combo in combinations(full, size):
-            reach = 1.0
-            for c in combo:
-                reach *= max(1, stats[c]["distinct"]) * 1.1
-            if reach >= rows and is_unique(df, combo):
-                return list(combo)
-    return None
+    if not full:
+        return None
+    if rows <= 1:
+        return full[:1]
+    enough = rows * (1 - SKETCH_ERROR)
+    known = {(c,): stats[c]["distinct"] for c in full}
+    if estimates(df, [tuple(full)])[tuple(full)] < enough:
+        return None
+    for width in range(1, min(exhaustive, len(full)) + 1):
+        combos = list(combinations(full, width))
+        if width > 1:
+            reach = {c: min(known[c[:i] + c[i + 1 :]] * max(1, known[(c[i],)]) for i in range(width)) for c in combos}
+            known.update({c: r for c, r in reach.items() if r * (1 + SKETCH_ERROR) ** 2 < rows})
+            known.update(estimates(df, [c for c in combos if c not in known]))
+        likely = [c for c in combos if known[c] >= enough]
+        for at in range(0, len(likely), EXACT):
+            some = likely[at : at + EXACT]
+            found = [c for c, unique in zip(some, unique_among(df, some)) if unique]
+            if found:
+                return list(found[0])
+    if len(full) <= exhaustive or not unique_among(df, [full])[0]:
+        return None
+    kept = list(full)
+    for column in reversed(full):
+        fewer = [c for c in kept if c != column]
+        if estimates(df, [tuple(fewer)])[tuple(fewer)] >= enough and unique_among(df, [fewer])[0]:
+            kept = fewer
+    return kept
 
 
 def candidate_keys(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -122,12 +172,92 @@ def contained(left: DataFrame, left_column: str, right: DataFrame, right_column:
     )
 
 
+def canonical(column: str, kind: str) -> Column:
+    """A value as text that is equal for equal values of its family."""
+    c = F.col(column)
+    if kind.startswith("decimal"):
+        return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    if kind in ("double", "float"):
+        whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
+        return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("double").cast("string"))
+    return c.cast("timestamp_ntz").cast("string") if kind in DATES else c.cast("string")
+
+
+def inclusions(
+    tables: Mapping[str, DataFrame], pairs: Collection[tuple[tuple[str, str], tuple[str, str]]] | None = None
+) -> DataFrame:
+    """How far each column's values exist in other columns, for all pairs from one job.
+
+    Every column in question is unpivoted once to (column, value, rows); the columns
+    that share a value meet in that value's group, which holds a row a column at
+    most, and pairs are counted from these groups.  `pairs` names the wanted
+    ((table, column), (table, column)); by default all of one family of types.
+
+    Rows: from_table, from_column, to_table, to_column; rows, filled, values and most
+    (the rows of the most frequent value) of the from column; found (values that exist
+    in the other column) and found_rows.  Each column also meets itself.
+    """
+    kinds = {(t, c): k for t, df in tables.items() for c, k in df.dtypes if not k.startswith(NESTED)}
+    if pairs is None:
+        pairs = {(a, b) for a in kinds for b in kinds if _family(kinds[a]) == _family(kinds[b])}
+    ends = sorted({e for p in pairs for e in p})
+    number = {e: i for i, e in enumerate(ends)}
+    wanted = sorted({number[a] * len(ends) + number[b] for a, b in pairs} | {i * len(ends) + i for i in range(len(ends))})
+    spark = next(iter(tables.values())).sparkSession
+    shape = "from_table string, from_column string, to_table string, to_column string"
+    if not ends:
+        return spark.createDataFrame([], f"{shape}, rows bigint, filled bigint, values bigint, most bigint, found bigint, found_rows bigint")
+    parts = []
+    for name, df in tables.items():
+        mine = [
+            F.struct(F.lit(number[name, c]).alias("c"), F.lit(_family(kinds[name, c])).alias("f"), canonical(c, kinds[name, c]).alias("v"))
+            for c in df.columns if (name, c) in number
+        ]
+        if mine:
+            parts.append(df.select(F.inline(F.array(*mine))))
+    values = reduce(DataFrame.unionAll, parts).groupBy("c", "f", "v").agg(F.count(F.lit(1)).alias("n"))
+    met = values.groupBy("f", "v").agg(F.collect_list(F.struct("c", "n")).alias("of"))
+    sides = met.select("v", "of", F.inline("of")).select("v", "c", "n", F.explode("of.c").alias("d"))
+    asked = F.array_contains(F.lit(wanted), F.col("c") * len(ends) + F.col("d"))
+    there = F.col("v").isNotNull()
+    counted = sides.where(asked).groupBy("c", "d").agg(
+        F.sum("n").alias("rows"), F.count_if(there).alias("found"),
+        F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("found_rows"), F.max(F.when(there, F.col("n"))).alias("most"),
+    )
+    own = counted.where("c = d").select(
+        F.col("c").alias("o"), "rows", F.col("found_rows").alias("filled"), F.col("found").alias("values"), F.coalesce("most", F.lit(0)).alias("most")
+    )
+    met_own = own.join(counted.select("c", "d", "found", "found_rows"), F.col("o") == F.col("c"))
+    names = spark.createDataFrame([(i, *e) for e, i in number.items()], "i int, t string, k string")
+    left = names.select(F.col("i").alias("c"), F.col("t").alias("from_table"), F.col("k").alias("from_column"))
+    right = names.select(F.col("i").alias("d"), F.col("t").alias("to_table"), F.col("k").alias("to_column"))
+    return met_own.join(left, "c").join(right, "d").select(
+        "from_table", "from_column", "to_table", "to_column", "rows", "filled", "values", "most", "found", "found_rows"
+    )
+
+
+def column_facts(tables: Mapping[str, DataFrame], pairs: Collection) -> tuple[dict, dict]:
+    """({column: its own counts}, {(column, other): overlap}) of `inclusions`, a row a pair of columns."""
+    own, met = {}, {}
+    for r in inclusions(tables, pairs).collect():
+        a, b = (r.from_table, r.from_column), (r.to_table, r.to_column)
+        if a == b:
+            own[a] = r
+        met[a, b] = r
+    return own, met
+
+
 def _names_a_key(column: str, key: str | None) -> bool:
     return column == key or bool(KEY_NAME.search(column)) or column.lower().endswith("key")
 
 
-def suggest_rules(tables: Mapping[str, DataFrame], declared: Sequence[Mapping] = ()) -> DataFrame:
-    """Rules the data already obeys: key, row floor, signs and references."""
+def suggest_rules(tables: Mapping[str, DataFrame], declared: Sequence[Mapping] = (), signs: int | None = None) -> DataFrame:
+    """Rules the data already obeys: key, row floor, signs and references.
+
+    A reference holds where over 95 % of a column's filled ROWS name a key of the
+    other table; all of them are measured in one job.  `signs` bounds the sign
+    rules of a table for display; by default every column that fits has one.
+    """
     have = {(r["table"], r["type"], r.get("column")) for r in declared}
     out = []
 
@@ -152,17 +282,20 @@ def suggest_rules(tables: Mapping[str, DataFrame], declared: Sequence[Mapping] =
                 and not _names_a_key(column, key[0] if key else None)
                 and any(m in column.lower() for m in MAGNITUDE_NAMES)
             )
-            if fits and signed < 3:
+            if fits and (signs is None or signed < signs):
                 signed += 1
                 add("low", name, "non_negative", column)
-    for a, columns in stats.items():
-        for b, key in keys.items():
-            if a == b or not key or len(key) != 1:
-                continue
-            for column in columns:
-                same = _stem(column) == _stem(key[0]) and stats[a][column]["type"] == stats[b][key[0]]["type"]
-                if same and contained(tables[a], column, tables[b], key[0]).first().share > 0.95:
-                    add("high", a, "reference", column, to=f"{b}.{key[0]}")
+    pairs = [
+        ((a, column), (b, key[0]))
+        for a, columns in stats.items() for b, key in keys.items() for column in columns
+        if a != b and key and len(key) == 1 and _stem(column) == _stem(key[0]) and columns[column]["type"] == stats[b][key[0]]["type"]
+    ]
+    _, met = column_facts(tables, pairs)
+    for pair in pairs:
+        r = met.get(pair)  # no value in common
+        if r and r.filled and r.found_rows > 0.95 * r.filled:
+            (a, column), (b, key) = pair
+            add("high", a, "reference", column, to=f"{b}.{key}")
     spark = next(iter(tables.values())).sparkSession
     return spark.createDataFrame(
         out, "severity string, table_name string, rule string, column_name string, value double, to string"
@@ -174,24 +307,27 @@ def _stem(column: str) -> str:
     return re.sub(r"^[a-z]{1,2}_", "", column.lower())
 
 
-def starter_rules(df: DataFrame, name: str) -> DataFrame:
-    """First rules and KPIs for a table nobody has described yet."""
+def starter_rules(df: DataFrame, name: str, kpis: int | None = None) -> DataFrame:
+    """First rules and KPIs for a table nobody has described yet; `kpis` bounds the KPIs for display."""
     stats = profile(df)
     rows = next(iter(stats.values()))["rows"]
+    likely = [
+        c for c, s in stats.items()
+        if s["filled"] == rows and s["type"] in (*INTEGERS, "string") and s["distinct"] >= rows * (1 - SKETCH_ERROR)
+    ]
+    key = next((c for c, unique in zip(likely, unique_among(df, [[c] for c in likely])) if unique), None)
     out = [("rule", "rows_min", None, float(max(1, rows // 2)))]
-    kpis = [("kpi", "count", None, None)]
-    key = None
+    found = [("kpi", "count", None, None)]
     for column, s in stats.items():
         if s["filled"] == rows:
             out.append(("rule", "not_null", column, None))
-            if key is None and s["type"] in (*INTEGERS, "string") and s["distinct"] * 1.1 >= rows and is_unique(df, [column]):
-                key = column
+            if column == key:
                 out.append(("rule", "unique", column, None))
         if is_numeric(s["type"]) and s["filled"] and column != key:
-            kpis.append(("kpi", "sum", column, None))
+            found.append(("kpi", "sum", column, None))
             if s["min"] >= 0:
                 out.append(("rule", "non_negative", column, None))
-    rows_out = [(name, *r) for r in [*out, *kpis[:8]]]
+    rows_out = [(name, *r) for r in [*out, *found[:kpis]]]
     return df.sparkSession.createDataFrame(
         rows_out, "table_name string, item string, kind string, column_name string, value double"
     )
@@ -277,43 +413,45 @@ def infer_relations(tables: Mapping[str, DataFrame], threshold: float = 0.9) ->
     A pair of columns is a candidate when the names match (table prefixes
     aside) or the column is named after the other table, and one side is
     unique.  It stays when `threshold` of the many side's DISTINCT values exist
-    on the one side.  One relation per table pair; two unique sides of equal
-    size are reported as ambiguous.
+    on the one side.  One relation per table pair, the first in column order;
+    two unique sides of equal size are reported as ambiguous.  Names and types
+    propose from the schemas; one job measures all that is proposed.
     """
-    stats = {n: profile(df) for n, df in tables.items()}
-    unique = {
-        n: {c for c, s in cols.items()
-            if s["filled"] == s["rows"] and s["distinct"] * 1.1 >= s["rows"] and s["type"] in KEY_TYPES
-            and is_unique(tables[n], [c])}
-        for n, cols in stats.items()
-    }
-    candidates, ambiguous = [], []
+    named = []
     for a, b in combinations(tables, 2):
-        for ca, sa in stats[a].items():
-            for cb, sb in stats[b].items():
-                if _family(sa["type"]) != _family(sb["type"]) or sa["type"] in ("double", "float"):
+        for ca, ka in tables[a].dtypes:
+            for cb, kb in tables[b].dtypes:
+                if _family(ka) != _family(kb) or ka in ("double", "float") or ka.startswith(NESTED):
                     continue
-                named = _stem(ca) == _stem(cb)
                 by_table = re.sub(r"(id|key|code)$", "", _stem(ca)) == b or re.sub(r"(id|key|code)$", "", _stem(cb)) == a
-                if not (named or by_table):
-                    continue
-                ua, ub = ca in unique[a], cb in unique[b]
-                if ua and ub and sa["rows"] == sb["rows"]:
-                    ambiguous.append((a, ca, b, cb, "ambiguous", None))
-                elif ub and (not ua or sa["rows"] > sb["rows"]):
-                    candidates.append((a, ca, b, cb))
-                elif ua:
-                    candidates.append((b, cb, a, ca))
-    spark = next(iter(tables.values())).sparkSession
-    kept, used = [], set()
-    for many, many_column, one, one_column in candidates:
-        pair = tuple(sorted((many, one)))
-        if pair in used:
+                if _stem(ca) == _stem(cb) or by_table:
+                    named.append(((a, ca), (b, cb)))
+    own, met = column_facts(tables, [*named, *[(b, a) for a, b in named]])
+    kept, ambiguous, used = [], [], set()
+    kinds = {(t, c): k for t, df in tables.items() for c, k in df.dtypes}
+
+    def unique(end):
+        r = own.get(end)
+        return bool(r) and r.rows == r.filled == r.values and kinds[end] in KEY_TYPES
+
+    for a, b in named:
+        if a not in own or b not in own:  # an empty table
+            continue
+        if unique(a) and unique(b) and own[a].rows == own[b].rows:
+            ambiguous.append((*a, *b, "ambiguous", None))
             continue
-        share = contained(tables[many], many_column, tables[one], one_column).first().share
-        if share is not None and share >= threshold:
+        if unique(b) and (not unique(a) or own[a].rows > own[b].rows):
+            many, one = a, b
+        elif unique(a):
+            many, one = b, a
+        else:
+            continue
+        pair = frozenset((many[0], one[0]))
+        r = met.get((many, one))
+        if pair not in used and r and r.found >= threshold * r.values:
             used.add(pair)
-            kept.append((many, many_column, one, one_column, "many_to_one", round(share, 6)))
+            kept.append((*many, *one, "many_to_one", round(r.found / r.values, 6)))
+    spark = next(iter(tables.values())).sparkSession
     return spark.createDataFrame(
         [*kept, *ambiguous],
         "from_table string, from_column string, to_table string, to_column string, kind string, share double",

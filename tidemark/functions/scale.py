@@ -85,6 +85,73 @@ def ordered_rank(
     return joined.withColumn(out, F.col("__at") + F.col("__before")).select(*df.columns, out, total)
 
 
+def running_sum(df: DataFrame, value: str, order: str, keys: Sequence[str], out: str) -> DataFrame:
+    """The sum of `value` over the rows of a group up to each row, in the order of the unique `order`.
+
+    Rows are summed inside their range piece and offset by the sums of the pieces before,
+    so a group of any size is spread over tasks.
+    """
+    keys = list(keys)
+    placed = sorted_pieces(df, [*[F.col(k) for k in keys], F.col(order)])
+    inside = F.sum(value).over(Window.partitionBy(*keys, "__piece").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    whole = placed.groupBy(*keys, "__piece").agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    shares = whole.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__piece").alias("__p"),
+        F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"),
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    joined = placed.withColumn(out, inside).join(shares, [F.col("__piece") == F.col("__p"), *same])
+    return joined.select(*df.columns, (F.col(out) + F.col("__before")).alias(out))
+
+
+def hot_counted(counted: DataFrame, column: str, rows: str, share: float = 0.001) -> DataFrame:
+    """Of counted values, the non-null ones that hold over `share` of all rows.
+
+    There are at most 1 / share of them by definition, so they may be broadcast
+    whatever the size of the table.
+    """
+    total = counted.agg(F.sum(rows).alias("__all"), F.lit(1).alias("__one"))
+    kept = counted.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one")
+    return kept.where(F.col(column).isNotNull() & (F.col(rows) > F.col("__all") * share)).select(column)
+
+
+def frequent(df: DataFrame, column: str, share: float = 0.001) -> DataFrame:
+    """(v): values of a column that a sketch finds to hold over `share` of the rows, at most 1 / share.
+
+    One aggregation to one row, no shuffle of the values.  A value may be missed or
+    added at the edge of `share`: use it to spread work, never to decide a result.
+    """
+    most = int(1 / share)
+    sketched = df.agg(F.expr(f"approx_top_k(`{column}`, {most}, {max(1024, 8 * most)})").alias("top"), F.count(F.lit(1)).alias("n"))
+    return sketched.select("n", F.inline("top")).where(F.col("item").isNotNull() & (F.col("count") > F.col("n") * share)).select(F.col("item").alias("v"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, splits: int = 64) -> DataFrame:
+    """Left join on one key whose hot and null values are spread over tasks.
+
+    Rows whose key a sketch of `left` calls frequent are dealt over `splits` parts by
+    a hash of the row, and the few matching rows of `right` are repeated for each
+    part.  Null keys match nothing and are dealt out alike.  All other rows join as
+    usual.  Both columns stay; the result is that of a plain left join.
+    """
+    kinds = dict(left.dtypes)
+    if kinds[left_key].startswith(("array", "map", "struct", "binary", "variant")):
+        return left.join(right, F.col(left_key) == F.col(right_key), "left")
+    hot = frequent(left, left_key)
+    hashed = [F.col(c) for c, k in left.dtypes if "map<" not in k and k != "variant"]
+    part = F.pmod(F.xxhash64(*hashed), F.lit(splits)).cast("int")
+    spread = left.join(F.broadcast(hot.select(F.col("v").alias("__hot"))), F.col(left_key) == F.col("__hot"), "left").withColumn(
+        "__part", F.when(F.col("__hot").isNotNull() | F.col(left_key).isNull(), part).otherwise(0)
+    ).drop("__hot")
+    every = F.sequence(F.lit(0), F.lit(splits - 1))
+    repeated = right.join(F.broadcast(hot.select(F.col("v").alias("__hot"))), F.col(right_key) == F.col("__hot"), "left").withColumn(
+        "__side", F.explode(F.when(F.col("__hot").isNotNull(), every).otherwise(F.array(F.lit(0))))
+    ).drop("__hot")
+    met = spread.join(repeated, (F.col(left_key) == F.col(right_key)) & (F.col("__part") == F.col("__side")), "left")
+    return met.drop("__part", "__side")
+
+
 def exact_quantiles(df: DataFrame, column: str, levels: Sequence[float]) -> list[float]:
     """Linear-interpolation quantiles of one column, exact at any size.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scale import spread_join
 
 
 class NotUnique(ValueError):
@@ -37,8 +38,7 @@ def lookup_key(fact: DataFrame, dim: DataFrame, foreign: str, natural: str, surr
     lookup = current_rows(dim).select(F.col(natural).alias("__natural"), F.col(surrogate))
     if check and not repeated_keys(lookup, "__natural").isEmpty():
         raise NotUnique(f"{surrogate}: {natural} repeats among the current rows")
-    joined = fact.join(lookup, F.col(foreign) == F.col("__natural"), "left")
-    return joined.drop("__natural", foreign)
+    return spread_join(fact, lookup, foreign, "__natural").drop("__natural", foreign)
 
 
 def star_join(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
@@ -91,7 +91,7 @@ def first_matching_interval(df: DataFrame, day: str, ranges: DataFrame, label: s
 def denormalise(fact: DataFrame, dim: DataFrame, key: str, dim_key: str, columns: Sequence[str]) -> DataFrame:
     """Left join of chosen attributes, so orphans stay and totals still close."""
     side = dim.select(F.col(dim_key).alias("__k"), *columns)
-    return fact.join(side, F.col(key) == F.col("__k"), "left").drop("__k")
+    return spread_join(fact, side, key, "__k").drop("__k")
 
 
 def label_via_relation(fact: DataFrame, dim: DataFrame, key: str, dim_key: str, label: str,
@@ -129,8 +129,9 @@ def role_playing_date(fact: DataFrame, calendar: DataFrame, date: str, value: st
 
 def segment_lookup(sales: DataFrame, segments: DataFrame, key: str, label: str,
                    otherwise: str = "Unclassified") -> DataFrame:
-    side = segments.select(key, F.col(label).alias("__label"))
-    return sales.join(side, key, "left").withColumn(label, F.coalesce("__label", F.lit(otherwise))).drop("__label")
+    side = segments.select(F.col(key).alias("__k"), F.col(label).alias("__label"))
+    met = spread_join(sales, side, key, "__k").drop("__k")
+    return met.withColumn(label, F.coalesce("__label", F.lit(otherwise))).drop("__label")
 
 
 def period_spine(series: DataFrame, period: str, value: str, keys: Sequence[str] = (),

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ACCENTED, PLAIN, fold_accents, safe_div
-from ..functions.scale import ordered_rank
+from ..functions.scale import hot_counted, landed, ordered_rank, running_sum
 
 MERGE_BELOW = 700
 SHORTEST_SENTENCE = 12
@@ -118,9 +117,6 @@ def _plain(base: DataFrame) -> DataFrame:
     ).where("text <> ''")
 
 
-MERGED = "doc {doc}, turn bigint, speaker string, start_s double, end_s double, text string"
-
-
 def speaker_runs(turns: DataFrame) -> DataFrame:
     """Number the uninterrupted runs of one speaker inside each document.
 
@@ -144,25 +140,74 @@ def speaker_runs(turns: DataFrame) -> DataFrame:
 
 
 def merge_turns(turns: DataFrame) -> DataFrame:
-    """Join consecutive turns of one speaker while the text is short.
+    """Join consecutive turns of one speaker while the text gathered so far is short.
 
-    Captions cut a sentence every few seconds.  Whether a turn joins depends on
-    the length gathered so far, so each run is folded in order in one call.
-    """
-    doc_type = dict(turns.dtypes)["doc"]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list] = []
-        for r in pdf.sort_values("position").itertuples(index=False):
-            if rows and len(rows[-1][5]) < MERGE_BELOW:
-                rows[-1][5] = f"{rows[-1][5].rstrip()} {r.text.lstrip()}".strip()
-                rows[-1][4] = r.end_s
-            else:
-                rows.append([r.doc, r.turn, r.speaker, r.start_s, r.end_s, r.text])
-        return pd.DataFrame(rows, columns=["doc", "turn", "speaker", "start_s", "end_s", "text"])
+    Captions cut a sentence every few seconds.  Where a gathered text ends depends
+    on where it began, so every turn is asked where a text beginning there would end,
+    and only the beginnings that follow from a run's first turn count:
+
+    1. running lengths of the trimmed texts, over all tasks;
+    2. a text that begins at a turn ends with the first turn at which the running length
+       is `MERGE_BELOW` more; turns lie in buckets of so many characters, so this
+       meets by equi-join inside a bucket;
+    3. from the runs' first turns, jumps of 1, 2, 4, ... texts reach every beginning, in
+       as many rounds as the logarithm of the texts in the longest run.
 
+    Turns of runs that stay short skip 2 and 3.  Blank turns join whatever is open.
+    """
+    edges = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+    said = F.regexp_replace("text", edges, "")
     runs = speaker_runs(turns).select("doc", "run", "position", "turn", "speaker", "start_s", "end_s", "text")
-    return runs.groupBy("doc", "run").applyInPandas(fold, MERGED.format(doc=doc_type))
+    sized = runs.withColumns({
+        "__said": said, "__raw": F.length("text"), "__w": F.when(said != "", F.length(said) + 1).otherwise(0),
+    })
+    placed = landed(running_sum(sized, "__w", "position", ["doc"], "__upto"))
+    bounds = landed(placed.groupBy("doc", "run").agg(
+        F.min("position").alias("first"), F.max("position").alias("last"), F.sum("__w").alias("__size"), F.max("__raw").alias("__longest"),
+    ))
+    cut = (F.col("last") > F.col("first")) & ((F.col("__size") > MERGE_BELOW) | (F.col("__longest") >= MERGE_BELOW))
+    long_ = placed.join(bounds.where(cut).select("doc", "run", "last"), ["doc", "run"]).select(
+        "doc", "run", "position", "last", "__raw", (F.col("__upto") - F.col("__w")).alias("__low"), F.col("__upto").alias("__high")
+    )
+    width = MERGE_BELOW + 1
+    ends = long_.where("__high > __low").select(
+        "doc", "run", F.col("position").alias("__end"), F.col("__low").alias("__after"), F.col("__high").alias("__by"),
+        F.explode(F.sequence(F.floor((F.col("__low") + 1) / width), F.floor(F.col("__high") / width))).alias("__bucket"),
+    )
+    asked = long_.where(F.col("__raw") < MERGE_BELOW).select(
+        "doc", "run", "position", "last", (F.col("__low") + width).alias("__until"), F.floor((F.col("__low") + width) / width).alias("__bucket")
+    )
+    met = asked.join(ends, ["doc", "run", "__bucket"]).where("__after < __until AND __until <= __by")
+    alone = long_.where(F.col("__raw") >= MERGE_BELOW).withColumn("__end", F.col("position"))
+    jumps = [x.where("__end < last").select("doc", "position", (F.col("__end") + 1).alias("next")) for x in (met, alone)]
+    one = landed(jumps[0].unionByName(jumps[1]))
+    begins, reached, jump = [bounds.where(cut).select("doc", F.col("first").alias("position"))], None, one
+    while True:
+        reached = reduce(DataFrame.unionByName, begins)
+        more = landed(reached.join(jump, ["doc", "position"]).select("doc", F.col("next").alias("position")))
+        if more.isEmpty():
+            break
+        begins.append(more)
+        further = jump.select("doc", F.col("position").alias("next"), F.col("next").alias("__next"))
+        jump = landed(jump.join(further, ["doc", "next"]).select("doc", "position", F.col("__next").alias("next")))
+    starts = reached.join(one, ["doc", "position"], "left").select("doc", F.col("position").alias("begin"), "next")
+    whole = bounds.where(~cut).select("doc", F.col("first").alias("begin"), (F.col("last") + 1).alias("next"))
+    opened = _run_ends(starts, placed, bounds).unionByName(whole).select("doc", "begin", F.explode(F.sequence("begin", F.col("next") - 1)).alias("position"))
+    gathered = placed.join(opened, ["doc", "position"]).groupBy("doc", "begin").agg(
+        F.min_by(F.struct("turn", "speaker", "start_s", "text"), "position").alias("__a"),
+        F.max_by("end_s", "position").alias("end_s"), F.count(F.lit(1)).alias("__n"),
+        F.array_sort(F.collect_list(F.when(F.col("__w") > 0, F.struct("position", "__said")))).alias("__parts"),
+    )
+    joined = F.array_join(F.col("__parts.__said"), " ")
+    return gathered.select(
+        "doc", "__a.turn", "__a.speaker", "__a.start_s", "end_s", F.when(F.col("__n") == 1, F.col("__a.text")).otherwise(joined).alias("text")
+    )
+
+
+def _run_ends(starts: DataFrame, placed: DataFrame, bounds: DataFrame) -> DataFrame:
+    """`next` of the last text of a run: the turn after the run."""
+    run = placed.select("doc", F.col("position").alias("begin"), "run").join(bounds.select("doc", "run", "last"), ["doc", "run"])
+    return starts.join(run, ["doc", "begin"]).select("doc", "begin", F.coalesce("next", F.col("last") + 1).alias("next"))
 
 
 def words(c: str | Column) -> Column:
@@ -229,20 +274,40 @@ def _tokens(c: Column) -> Column:
     return F.array_except(F.array_distinct(found), F.array(*map(F.lit, STOP_WORDS)))
 
 
-def best_passage(questions: DataFrame, lines: DataFrame) -> DataFrame:
+def best_passage(questions: DataFrame, lines: DataFrame, splits: int = 64) -> DataFrame:
     """Per question the sentence sharing most words, two at least, first wins.
 
-    Sentences are numbered by (doc, turn, sentence).  Words meet by equi-join;
-    a short list of questions is broadcast, so a common word never gathers its
-    sentences, and the best of each question is a minimum per key.
+    Sentences are numbered by (doc, turn, sentence).  Two shared words mean that one of
+    them is not the question's most frequent word.  So only the other words seek
+    sentences, and the most frequent one is looked up in the sentences found, by word
+    and sentence together.  A seeking word that many sentences hold is split over
+    `splits` keys by sentence; the best of each question is a minimum per key.
     """
+    key = ["doc", "turn", "sentence"]
     asked = questions.select("question_id", F.explode(_tokens(F.col("question"))).alias("w"))
-    said = lines.select("doc", "turn", "sentence", F.explode(_tokens(F.col("text"))).alias("w"))
-    shared = said.join(asked, "w").groupBy("question_id", "doc", "turn", "sentence").agg(F.count(F.lit(1)).alias("shared"))
+    said = lines.select(*key, F.explode(_tokens(F.col("text"))).alias("w"))
+    counts = landed(said.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    weighed = asked.join(counts, "w")  # a word that no sentence holds shares nothing
+    common = weighed.groupBy("question_id").agg(F.max(F.struct("n", "w")).alias("m"), F.count(F.lit(1)).alias("words"))
+    common = common.where(F.col("words") >= SHARED_WORDS).select("question_id", F.col("m.w").alias("common"))
+    seeking = weighed.join(common, "question_id").where("w <> common").select("question_id", "w")
+    hot = F.broadcast(hot_counted(counts, "w", "n").withColumn("__hot", F.lit(True)))
+    part = F.pmod(F.xxhash64(*key), F.lit(splits)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(splits - 1))
+    parted = said.join(hot, "w", "left").withColumn("__part", F.when(F.col("__hot"), part).otherwise(0)).drop("__hot")
+    seekers = seeking.join(hot, "w", "left").select(
+        "question_id", "w", F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0)))).alias("__part")
+    )
+    found = parted.join(seekers, ["w", "__part"]).groupBy("question_id", *key).agg(F.count(F.lit(1)).alias("shared"))
+    asks = found.join(common, "question_id")
+    held = said.join(common.select(F.col("common").alias("w")).distinct(), "w", "left_semi").withColumnRenamed("w", "common")
+    shared = asks.join(held.withColumn("__there", F.lit(1)), [*key, "common"], "left").withColumn(
+        "shared", F.col("shared") + F.coalesce("__there", F.lit(0))
+    )
     best = (
         shared.where(F.col("shared") >= SHARED_WORDS)
         .groupBy("question_id")
-        .agg(F.min_by(F.struct("doc", "turn", "sentence", "shared"), F.struct(-F.col("shared"), "doc", "turn", "sentence")).alias("b"))
+        .agg(F.min_by(F.struct(*key, "shared"), F.struct(-F.col("shared"), *key)).alias("b"))
         .select("question_id", "b.*")
     )
-    return best.join(lines.select("doc", "turn", "sentence", "speaker", "text"), ["doc", "turn", "sentence"])
+    return best.join(lines.select(*key, "speaker", "text"), key)

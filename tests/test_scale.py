@@ -91,3 +91,31 @@ def test_totals_need_no_window(spark):
     df = scale.with_totals(spark.range(5), total=F.sum("id"))
     assert {r.total for r in df.collect()} == {10}
     assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_grouped_quantiles_match_numpy(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, rng.random(), float(rng.randint(0, 3))]), rng.randint(-5, 5)) for _ in range(700)]
+    rows += [("c", None, 1), ("d", 2.0, 7)]
+    df = spark.createDataFrame(rows, "g string, x double, y int").repartition(6)
+    got = {r.g: r for r in scale.quantiles(df, ["x", "y"], [0.1, 0.5, 0.83], ["g"]).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for g, r in got.items():
+        for i, name in ((1, "x"), (2, "y")):
+            values = [row[i] for row in rows if row[0] == g and row[i] is not None]
+            assert (r[name] is None) == (not values)
+            assert not values or r[name] == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.83])))
+    assert scale.quantiles(df.limit(0), ["x"], [0.5], ["g"]).collect() == []
+    assert scale.exact_quantiles(df.limit(0), "x", [0.5]) == []
+    assert scale.cut_points(df, "x", "y")["y"] == sorted(set(np.quantile([r[2] for r in rows], [0.2, 0.4, 0.6, 0.8])))
+
+
+def test_running_sums_cross_pieces(spark):
+    rows = [(k, i, (i * 7) % 5) for k in ("a", None) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i int, v long").repartition(5)
+    got = {(r.k, r.i): (r.s, r.t) for r in scale.running_sums(df, {"s": "v", "t": "i"}, [F.col("i")], ["k"]).collect()}
+    for k in ("a", None):
+        s = t = 0
+        for i in range(500):
+            s, t = s + (i * 7) % 5, t + i
+            assert got[k, i] == (s, t)

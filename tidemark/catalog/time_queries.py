@@ -167,7 +167,7 @@ def order_deciles(spark, sf):
          CAST(CASE WHEN o_totalprice <= 100000 THEN 3 WHEN o_totalprice <= 300000 THEN 2 ELSE 1 END AS BIGINT) AS fixed FROM orders, c""")
 def order_quintiles(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    cuts = cut_points(o, "o_totalprice")
+    cuts = cut_points(o, "o_totalprice")["o_totalprice"]
     shown = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))
     return o.select(
         "o_orderkey", quintile(shown, cuts).alias("q"), quintile(F.col("o_totalprice"), [100000, 300000], invert=True).alias("fixed")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,24 +85,25 @@ def ordered_rank(
     return joined.withColumn(out, F.col("__at") + F.col("__before")).select(*df.columns, out, total)
 
 
-def running_sum(df: DataFrame, value: str, order: str, keys: Sequence[str], out: str) -> DataFrame:
-    """The sum of `value` over the rows of a group up to each row, in the order of the unique `order`.
+def running_sums(df: DataFrame, sums: Mapping[str, str], order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
+    """For each (new column, summed column) the sum over a group's rows up to each row, in an order without ties.
 
     Rows are summed inside their range piece and offset by the sums of the pieces before,
-    so a group of any size is spread over tasks.
+    so a group of any size is spread over tasks.  All sums share one sorted landing.
     """
     keys = list(keys)
-    placed = sorted_pieces(df, [*[F.col(k) for k in keys], F.col(order)])
-    inside = F.sum(value).over(Window.partitionBy(*keys, "__piece").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
-    whole = placed.groupBy(*keys, "__piece").agg(F.sum(value).alias("__sum"))
+    placed = sorted_pieces(df, [*[F.col(k) for k in keys], *order])
+    upto = Window.partitionBy(*keys, "__piece").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    whole = placed.groupBy(*keys, "__piece").agg(*[F.sum(v).alias(f"__s{i}") for i, v in enumerate(sums.values())])
     shares = whole.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__piece").alias("__p"),
-        F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"),
+        *[F.coalesce(F.sum(f"__s{i}").over(before), F.lit(0)).alias(f"__b{i}") for i in range(len(sums))],
     )
     same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    joined = placed.withColumn(out, inside).join(shares, [F.col("__piece") == F.col("__p"), *same])
-    return joined.select(*df.columns, (F.col(out) + F.col("__before")).alias(out))
+    inside = placed.withColumns({f"__i{i}": F.sum(v).over(upto) for i, v in enumerate(sums.values())})
+    joined = inside.join(shares, [F.col("__piece") == F.col("__p"), *same])
+    return joined.select(*df.columns, *[(F.col(f"__i{i}") + F.col(f"__b{i}")).alias(c) for i, c in enumerate(sums)])
 
 
 def hot_counted(counted: DataFrame, column: str, rows: str, share: float = 0.001) -> DataFrame:
@@ -152,33 +153,43 @@ def spread_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return met.drop("__part", "__side")
 
 
-def exact_quantiles(df: DataFrame, column: str, levels: Sequence[float]) -> list[float]:
-    """Linear-interpolation quantiles of one column, exact at any size.
+def quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Per group an array of linear-interpolation quantiles of every column, exact at any size, from one landing.
 
-    Values are counted first, so repeated values cost one row; the two
-    neighbours of each level are the first values whose running count passes them.
+    Cells are counted by (group, column, value) first, so repeated values cost one row.
+    The two neighbours of each level are the first values whose running count, taken
+    over range-sorted pieces, passes them.  No group or column is ever one task.
+    A column without a value in its group gives null.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    placed = sorted_pieces(values.groupBy("v").agg(F.count(F.lit(1)).alias("n")), [F.col("v")])
-    pieces = placed.groupBy("__piece").agg(F.sum("n").alias("of"))
-    before = pieces.select(
-        F.col("__piece").alias("__p"), (F.sum("of").over(Window.orderBy("__piece")) - F.col("of")).alias("before")
-    )
-    rows = pieces.agg(F.sum("of").alias("n")).first().n
-    if not rows:
-        return []
-    running = placed.join(before, F.col("__piece") == F.col("__p")).select(
-        "v", (F.sum("n").over(Window.partitionBy("__piece").orderBy("__at")) + F.col("before")).alias("until")
-    )
-    wanted = sorted({min(int((rows - 1) * q) + d, rows - 1) for q in levels for d in (0, 1)})
-    found = running.agg(*[F.min(F.when(F.col("until") > w, F.col("v"))).alias(str(w)) for w in wanted]).first()
-    out = []
-    for q in levels:
-        place = (rows - 1) * q
-        low = int(place)
-        a, b = found[str(low)], found[str(min(low + 1, rows - 1))]
-        out.append(a + (b - a) * (place - low))
-    return out
+    keys = list(keys)
+    cells = [F.struct(F.lit(i).alias("__c"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)]
+    values = df.select(*keys, F.inline(F.array(*cells))).where(F.col("__v").isNotNull())
+    counted = values.groupBy(*keys, "__c", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    running = running_sums(counted, {"__until": "__n"}, [F.col("__v")], [*keys, "__c"])
+    totals = running.groupBy(*keys, "__c").agg(F.max("__until").alias("__all"))
+    same = [F.col(k).eqNullSafe(F.col(f"__t{i}")) for i, k in enumerate([*keys, "__c"])]
+    named = totals.select(*[F.col(k).alias(f"__t{i}") for i, k in enumerate([*keys, "__c"])], "__all")
+    met = running.join(named, same)
+    picked = []
+    for i, q in enumerate(levels):
+        low = F.floor((F.col("__all") - 1) * F.lit(float(q)))
+        high = F.least(low + 1, F.col("__all") - 1)
+        picked += [
+            F.min(F.when(F.col("__until") > low, F.col("__v"))).alias(f"__l{i}"),
+            F.min(F.when(F.col("__until") > high, F.col("__v"))).alias(f"__h{i}"),
+        ]
+    found = met.groupBy(*keys, "__c").agg(F.max("__all").alias("__all"), *picked)
+    levelled = []
+    for i, q in enumerate(levels):
+        place = (F.col("__all") - 1) * F.lit(float(q))
+        levelled.append(F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * (place - F.floor(place)))
+    rows = found.select(*keys, "__c", F.array(*levelled).alias("__q"))
+    return rows.groupBy(*keys).agg(*[F.max(F.when(F.col("__c") == i, F.col("__q"))).alias(c) for i, c in enumerate(columns)])
+
+
+def exact_quantiles(df: DataFrame, column: str, levels: Sequence[float]) -> list[float]:
+    """Linear-interpolation quantiles of one column of the whole table."""
+    return quantiles(df.select(F.col(column).alias("v")), ["v"], levels).first().v or []
 
 
 def column_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -207,9 +218,10 @@ def deciles(df: DataFrame, score: str, tie: str, out: str = "decile") -> DataFra
     ).drop("__pos", "__n")
 
 
-def cut_points(df: DataFrame, column: str) -> list[float]:
-    """The 20/40/60/80 % cuts, repeated values collapsed."""
-    return sorted(set(exact_quantiles(df, column, (0.2, 0.4, 0.6, 0.8))))
+def cut_points(df: DataFrame, *columns: str) -> dict[str, list[float]]:
+    """The 20/40/60/80 % cuts of each column, repeated values collapsed."""
+    found = quantiles(df, columns, (0.2, 0.4, 0.6, 0.8)).first()
+    return {c: sorted(set(found[c] or [])) for c in columns}
 
 
 def quintile(c: Column, cuts: Sequence[float], invert: bool = False) -> Column:

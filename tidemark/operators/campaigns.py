@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import date_from_key, pct_change, safe_div
-from ..functions.scale import cut_points, landed, quintile
+from ..functions.scale import cut_points, landed, quantiles, quintile
 from .joins import explode_days, first_matching_interval, interval_join, mark_scope
 
 EDITION = ["campaign", "edition"]
@@ -456,7 +456,7 @@ def rfm_label(r: Column, f: Column) -> Column:
 
 
 def rfm_cuts(clients: DataFrame) -> dict[str, list[float]]:
-    return {c: cut_points(clients, c) for c in ("recency_days", "frequency", "monetary")}
+    return cut_points(clients, "recency_days", "frequency", "monetary")
 
 
 def rfm(sales: DataFrame, as_of: date, window_days: int = 365,
@@ -464,7 +464,8 @@ def rfm(sales: DataFrame, as_of: date, window_days: int = 365,
     """Recency, frequency, monetary quintiles and segment per client.
 
     Fixed `cuts` make two runs comparable; otherwise they are measured here
-    (see `rfm_cuts`) and the segments move with them.
+    (see `rfm_cuts`), all in one pass over the written clients, and the segments move
+    with them.
     """
     until = F.lit(as_of).cast("date")
     inside = sales.where(F.col("day").between(F.date_sub(until, window_days - 1), until))
@@ -475,7 +476,9 @@ def rfm(sales: DataFrame, as_of: date, window_days: int = 365,
         F.sum("amount").alias("monetary"),
         F.sum("units").alias("units"),
     ).withColumn("recency_days", F.datediff(until, "last_purchase").cast("bigint"))
-    cuts = cuts or rfm_cuts(clients)
+    if not cuts:
+        clients = landed(clients)
+        cuts = rfm_cuts(clients)
     scored = clients.withColumns(
         {
             "r": quintile(F.col("recency_days"), cuts["recency_days"], invert=True),
@@ -592,16 +595,14 @@ def campaign_alerts(effect: DataFrame, prices: DataFrame | None = None, origins:
         none.alias("median_rise_pct"), none.alias("median_real_pct"), none.alias("median_apparent_pct"),
     )
     if prices is not None:
+        risen = landed(prices.where("inflated_before"))
+        shown = {"median_rise_pct": "rise_before_pct", "median_real_pct": "real_discount_pct", "median_apparent_pct": "apparent_discount_pct"}
+        medians = quantiles(risen, list(shown.values()), [0.5], EDITION)
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in EDITION]
         out = out.unionByName(
-            prices.where("inflated_before")
-            .groupBy(*EDITION)
-            .agg(
-                F.count(F.lit(1)).alias("items"),
-                F.median("rise_before_pct").alias("median_rise_pct"),
-                F.median("real_discount_pct").alias("median_real_pct"),
-                F.median("apparent_discount_pct").alias("median_apparent_pct"),
-            )
-            .withColumn("alert", F.lit("inflated_discount"))
+            risen.groupBy(*EDITION).agg(F.count(F.lit(1)).alias("items"))
+            .join(medians.withColumnsRenamed({k: f"__{k}" for k in EDITION}), same, "left")
+            .select(*EDITION, F.lit("inflated_discount").alias("alert"), "items", *[F.col(c)[0].alias(n) for n, c in shown.items()])
         )
     for df, column, name in ((origins, "small_sample", "small_cohort"), (stock, "censored", "censored_measure")):
         if df is None:

@@ -127,7 +127,7 @@ def real_frequency(history: DataFrame, table: str = "table_name", stamp: str = "
     gaps = seen.withColumn("gap", hours_between(F.lag(stamp).over(span).cast("timestamp_ntz"), F.col(stamp).cast("timestamp_ntz")))
     return gaps.groupBy(table).agg(
         F.count(F.lit(1)).alias("observations"),
-        F.median("gap").alias("median_hours"),
+        F.median("gap").alias("median_hours"),  # of a table's dates: a few thousand at most
         F.min("gap").alias("min_hours"),
         F.max("gap").alias("max_hours"),
     ).where("observations > 1")

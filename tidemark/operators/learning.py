@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div
-from ..functions.scale import deciles, ordered_rank
+from ..functions.scale import deciles, landed, ordered_rank, running_sums
 from .profiling import DATES, is_numeric, profile
 
 # Leak threshold, kept categories, seed, the negotiation table's
@@ -180,36 +180,50 @@ def predicted(model: PipelineModel, df: DataFrame, task: str) -> DataFrame:
 def classification_metrics(df: DataFrame, label: str, score: str, tie: str) -> DataFrame:
     """Exact AUC, average precision, F1 and accuracy at 0.5, base rate, lift.
 
-    Ranks come from `ordered_rank`, tied scores share their middle rank, and
-    every later step is an aggregate, so it holds for any number of rows.
+    Rows are counted per score first; tied scores share their middle rank, so running
+    sums over the sorted scores give every figure.  Only the tied rows across the edge
+    of the top tenth are told apart, by `tie`.  It holds for any number of rows.
     """
     rows = df.select(F.col(label).cast("int").alias("y"), F.col(score).alias("p"), F.col(tie).alias("t"))
-    up = ordered_rank(rows, "p", "t", out="up", total="n")
-    down = ordered_rank(up, "p", "t", ["y"], descending=True, out="down", total="in_class")
-    ten = F.ceil(F.try_divide((F.col("up") - 1) * 10, F.col("n") - 1))
-    tp = F.sum(F.when((F.col("p") >= 0.5) & (F.col("y") == 1), 1).otherwise(0))
-    fp = F.sum(F.when((F.col("p") >= 0.5) & (F.col("y") == 0), 1).otherwise(0))
-    right = F.sum(F.when((F.col("p") >= 0.5).cast("int") == F.col("y"), 1).otherwise(0))
-    per_score = down.groupBy("p").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum("y").alias("pos"),
-        F.avg("up").alias("middle"),
-        (F.max("n") - F.min("up") + 1).alias("called"),
-        F.max(F.when(F.col("y") == 1, F.col("down"))).alias("found"),
-        tp.alias("tp"), fp.alias("fp"), right.alias("right"),
-        F.sum(F.when(ten == 10, F.col("y"))).alias("top_pos"),
-        F.sum(F.when(ten == 10, 1)).alias("top_rows"),
+    called = F.col("p") >= 0.5
+    scores = rows.groupBy("p").agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos"),
+        F.sum(F.when(called & (F.col("y") == 1), 1).otherwise(0)).alias("tp"),
+        F.sum(F.when(called & (F.col("y") == 0), 1).otherwise(0)).alias("fp"),
+        F.sum(F.when(called.cast("int") == F.col("y"), 1).otherwise(0)).alias("right"),
     )
-    precision = F.when(F.col("pos") > 0, F.col("pos") * safe_div("found", "called"))
-    pos, n = F.sum("pos"), F.sum("rows")
-    return per_score.agg(
-        safe_div(F.sum(F.col("middle") * F.col("pos")) - pos * (pos + 1) / 2, pos * (n - pos)).alias("auc"),
+    # nulls come last, as the highest scores
+    summed = landed(running_sums(scores, {"upto": "rows", "pos_upto": "pos"}, [F.col("p").asc_nulls_last()]))
+    ends = summed.agg(F.sum("rows").alias("n"), F.sum("pos").alias("pos")).first()
+    n, positives = ends.n or 0, ends.pos or 0
+    middle = F.col("upto") - (F.col("rows") - 1) / 2
+    from_here, found = n - F.col("upto") + F.col("rows"), positives - F.col("pos_upto") + F.col("pos")
+    precision = F.when(F.col("pos") > 0, F.col("pos") * safe_div(found, from_here))
+    top_pos = top_rows = None
+    if n >= 20:
+        below = 9 * (n - 1) // 10 + 1  # rows under the top tenth
+        over = F.col("upto") - F.col("rows") >= below
+        edge = (F.col("upto") - F.col("rows") < below) & (F.col("upto") > below)
+        parts = summed.agg(
+            F.coalesce(F.sum(F.when(over, F.col("pos"))), F.lit(0)).alias("pos"),
+            F.max(F.when(edge, F.col("upto") - F.col("rows"))).alias("before"), F.max(F.when(edge, F.struct("p", "pos"))).alias("at"),
+        ).first()
+        top_pos, top_rows = parts.pos, n - below
+        if parts.before is not None:
+            tied = rows.where(F.col("p").eqNullSafe(F.lit(parts["at"].p)))
+            some = 0 < parts["at"].pos
+            kept = ordered_rank(tied, "t", "y", out="place", total="of").where(F.col("place") > below - parts.before) if some else None
+            top_pos += (kept.agg(F.sum("y").alias("y")).first().y or 0) if some else 0
+    pos, count = F.lit(positives), F.lit(n)
+    lift = safe_div(safe_div(F.lit(top_pos), F.lit(top_rows)), safe_div(pos, count)) if top_rows else F.lit(None).cast("double")
+    return summed.agg(
+        safe_div(F.sum(middle * F.col("pos")) - pos * (pos + 1) / 2, pos * (count - pos)).alias("auc"),
         safe_div(F.sum(precision), pos).alias("auc_pr"),
         safe_div(2 * F.sum("tp"), F.sum("tp") + F.sum("fp") + pos).alias("f1"),
-        safe_div(F.sum("right"), n).alias("accuracy"),
-        safe_div(pos, n).alias("base_rate"),
-        F.when(n >= 20, safe_div(safe_div(F.sum("top_pos"), F.sum("top_rows")), safe_div(pos, n))).alias("lift_top_decile"),
-        n.alias("rows"),
+        safe_div(F.sum("right"), count).alias("accuracy"),
+        safe_div(pos, count).alias("base_rate"),
+        lift.alias("lift_top_decile"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
     )
 
 

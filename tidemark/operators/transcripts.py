@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ACCENTED, PLAIN, fold_accents, safe_div
-from ..functions.scale import hot_counted, landed, ordered_rank, running_sum
+from ..functions.scale import hot_counted, landed, ordered_rank, running_sums
 
 MERGE_BELOW = 700
 SHORTEST_SENTENCE = 12
@@ -161,7 +161,7 @@ def merge_turns(turns: DataFrame) -> DataFrame:
     sized = runs.withColumns({
         "__said": said, "__raw": F.length("text"), "__w": F.when(said != "", F.length(said) + 1).otherwise(0),
     })
-    placed = landed(running_sum(sized, "__w", "position", ["doc"], "__upto"))
+    placed = landed(running_sums(sized, {"__upto": "__w"}, [F.col("position")], ["doc"]))
     bounds = landed(placed.groupBy("doc", "run").agg(
         F.min("position").alias("first"), F.max("position").alias("last"), F.sum("__w").alias("__size"), F.max("__raw").alias("__longest"),
     ))

@@ -119,3 +119,34 @@ def test_running_sums_cross_pieces(spark):
         for i in range(500):
             s, t = s + (i * 7) % 5, t + i
             assert got[k, i] == (s, t)
+
+
+def test_stored_history_writes_only_what_changed(spark, tmp_path):
+    from datetime import date
+
+    path = str(tmp_path / "dim")
+    first = spark.createDataFrame([(i, f"n{i % 5}") for i in range(200)] + [(None, "x")], "k int, name string")
+
+    def files():
+        return {f.relative_to(path): f.stat().st_mtime_ns for f in (tmp_path / "dim").rglob("*.parquet")}
+
+    def rows():
+        return {(r.k, r.version): r for r in spark.read.parquet(path).collect()}
+
+    out = model.merge_scd2(first, path, "k", date(2024, 1, 1))
+    assert out.count() == 201 and [r.dim_key for r in out.orderBy("dim_key").collect()] == list(range(1, 202))
+    before, had = files(), rows()
+    assert model.merge_scd2(first, path, "k", date(2024, 2, 1)).count() == 201 and files() == before
+    second = first.where("k is null or k <> 7").withColumn("name", F.when(F.col("k") == 3, "new").when(F.col("k").isNull(), "y").otherwise(F.col("name")))
+    second = second.union(spark.createDataFrame([(500, "z")], first.schema))
+    model.merge_scd2(second, path, "k", date(2024, 3, 1))
+    now, touched = rows(), {str(p).split("/")[0] for p in set(files().items()) ^ set(before.items()) for p in [p[0]]}
+    assert len(touched) <= 3 and len(now) == 204
+    assert all(now[k].dim_key == r.dim_key for k, r in had.items())
+    assert sorted(r.dim_key for r in now.values()) == list(range(1, 205))
+    assert (now[3, 1].is_current, now[3, 1].valid_to, now[3, 2].name, now[3, 2].is_current) == (False, date(2024, 3, 1), "new", True)
+    assert now[7, 1].is_current and now[None, 2].name == "y" and not now[None, 1].is_current
+    plain = model.dimension_scd2(second, "k", date(2024, 3, 1), model.dimension_scd2(first, "k", date(2024, 1, 1)))
+    shown = ["k", "name", "valid_from", "valid_to", "is_current", "version"]
+    a, b = plain.where("k is not null").select(shown), spark.read.parquet(path).where("k is not null").select(shown)
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

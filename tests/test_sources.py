@@ -2,6 +2,7 @@ import zipfile
 from datetime import date, datetime
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemark.operators import kpis
@@ -114,9 +115,74 @@ def test_bronze_and_layers(spark, tmp_path):
     assert layers.read_bronze(spark, root, "t").collect()[0].m == '{"k":"v"}'
     meta = layers.bronze_metadata(spark.read.parquet(layers.layer_path(root, "bronze", "t"))).first()
     assert meta.loaded_at == "2024-01-02T00:00:00+00:00"
-    path = layers.write_layer(spark.range(3).toDF("id"), root, "gold", "d", None)
-    layers.write_layer(spark.read.parquet(path).unionAll(spark.range(5, 6).toDF("id")), root, "gold", "d")
-    assert spark.read.parquet(path).count() == 4
+    layers.write_layer(spark.range(3).toDF("id"), root, "gold", "d", None)
+    opened = layers.read_layer(spark, root, "gold", "d")
+    path = layers.write_layer(opened.unionAll(spark.range(5, 6).toDF("id")), root, "gold", "d")
+    assert spark.read.parquet(path).count() == layers.read_layer(spark, root, "gold", "d").count() == 4
+
+
+def test_a_reader_of_the_old_version_goes_on(spark, tmp_path):
+    root = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        layers.read_layer(spark, root, "gold", "t")
+    opened = []
+    for n in range(1, 5):
+        layers.write_layer(spark.range(n), root, "gold", "t", keep=2)
+        opened.append(layers.read_layer(spark, root, "gold", "t"))
+        assert opened[-1].count() == n and (n == 1 or opened[-2].count() == n - 1)
+    assert [int(v.split("-")[0]) for v in layers.versions(spark, layers.layer_path(root, "gold", "t"))] == [3, 4]
+    with pytest.raises(ZeroDivisionError):
+        layers.write_layer(_broken(), root, "gold", "t")
+    assert layers.read_layer(spark, root, "gold", "t").count() == 4
+
+
+def _broken():
+    raise ZeroDivisionError
+
+
+def test_a_write_that_dies_publishes_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    layers.write_layer(spark.range(2), root, "gold", "t")
+    with pytest.raises(PySparkException):
+        layers.write_layer(spark.range(9).select(F.raise_error(F.lit("lost")).alias("id")), root, "gold", "t")
+    assert layers.read_layer(spark, root, "gold", "t").count() == 2
+
+
+@pytest.mark.parametrize("kind", ["csv", "json", "parquet"])
+def test_the_last_arrival_wins_whatever_reads_it(spark, tmp_path, kind):
+    from tidemark.operators import silver
+
+    for part, n in (("b", 3000), ("a", 20), ("c", 700)):  # the largest file is read first, the last by name arrives last
+        df = spark.range(n).select((F.col("id") % 10).alias("k"), F.concat(F.lit(part), "id").alias("v")).coalesce(1)
+        getattr(df.write.option("header", True) if kind == "csv" else df.write, kind)(f"{tmp_path}/in/{part}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        read = spark.read.option("header", True) if kind == "csv" else spark.read
+        df = getattr(read, kind)(f"{tmp_path}/in/*")
+        layers.write_bronze(df, str(tmp_path), "t", "x", datetime(2024, 1, 1))
+        landed = layers.read_bronze(spark, str(tmp_path), "t", with_arrival=True)
+        out = silver.conform(landed.repartition(7), {"types": {"k": "integer"}, "dedup": ["k"]})
+        assert out.columns == ["k", "v"]
+        assert {r.v for r in out.collect()} == {f"c{i}" for i in range(690, 700)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert layers.read_bronze(spark, str(tmp_path), "t").columns == ["k", "v"]
+
+
+def test_many_headers_are_one_scan(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"{i}.csv").write_text(f"\ufeffa,b{i},c\r\n1,\"x,{i}\",\r\n\r\na,b{i},c\r\n2,y,z\r\n")
+    (tmp_path / "blank.csv").write_text("")
+    (tmp_path / "late.csv").write_text("\n\n  \na|c\n5|6\n")
+    out = readers.read_folder(spark, str(tmp_path), "*.csv", "csv")
+    assert out.columns[0] == "a" and set(out.columns) == {"a", "c", "_file", *[f"b{i}" for i in range(6)]}
+    rows = {(r._file, r.a): r for r in out.collect()}
+    assert len(rows) == 13 and rows["3.csv", "1"].b3 == "x,3" and rows["3.csv", "1"].c is None and rows["late.csv", "5"].c == "6"
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan text") == 1
+    with pytest.raises(readers.EmptySource):
+        (tmp_path / "none").mkdir()
+        (tmp_path / "none" / "e.csv").write_text("")
+        readers.read_folder(spark, str(tmp_path / "none"), "*.csv", "csv")
 
 
 def test_warehouse_and_views(spark):

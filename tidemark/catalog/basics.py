@@ -94,13 +94,38 @@ def bronze_metadata(spark, sf):
     return layers.bronze_metadata(spark.read.parquet(path))
 
 
-@q("SNK-04", f"SELECT s_suppkey, {r('s_acctbal + 1')} AS s_acctbal FROM supplier")
+@q("SNK-04", f"SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, {r('s_acctbal + 1')} AS s_acctbal FROM supplier")
 def replace_layer(spark, sf):
     root = scratch(spark)
-    path = layers.write_layer(table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), root, "silver", "supplier")
-    again = spark.read.parquet(path).withColumn("s_acctbal", F.col("s_acctbal") + 1)
+    layers.write_layer(table(spark, sf, "supplier"), root, "silver", "supplier")
+    again = layers.read_layer(spark, root, "silver", "supplier").withColumn("s_acctbal", F.col("s_acctbal") + 1)
     layers.write_layer(again, root, "silver", "supplier")
-    return spark.read.parquet(path)
+    return layers.read_layer(spark, root, "silver", "supplier")
+
+
+@q("SNK-02 SIL-12", f"""
+  WITH arrived AS (SELECT *, row_number() OVER () AS place FROM events)
+  SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type, {r('value')} AS value, props FROM arrived
+  QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY place DESC) = 1""")
+def bronze_to_silver_last(spark, sf):
+    """The last arrival of each user and kind of event, from the file through the landed table."""
+    root = scratch(spark)
+    layers.write_bronze(table(spark, sf, "events"), root, "events", "parquet:events", LOADED)
+    landed = layers.read_bronze(spark, root, "events", with_arrival=True)
+    return silver.conform(landed, {"types": {}, "dedup": ["user_id", "event_type"]})
+
+
+@q("SRC-05", f"""
+  SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, NULL AS c_name, NULL AS c_mktsegment FROM orders
+  UNION ALL SELECT NULL, CAST(c_custkey AS VARCHAR), NULL, c_name, c_mktsegment FROM customer""")
+def read_folder_csv(spark, sf):
+    """CSV files of two headers in one folder."""
+    folder = scratch(spark)
+    one = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    two = table(spark, sf, "customer").select("c_mktsegment", F.col("c_custkey").alias("o_custkey"), "c_name")
+    one.write.option("header", True).csv(f"{folder}/one")
+    two.write.option("header", True).option("sep", ";").csv(f"{folder}/two")
+    return readers.read_folder(spark, folder, "*/*.csv", "csv").drop("_file")
 
 
 @q("SNK-05", """SELECT 'tm_orders' AS table_name, count(*) AS rows FROM orders
@@ -524,11 +549,16 @@ def dimension_scd1(spark, sf):
     return model.dimension_scd1(table(spark, sf, "orders"), "o_custkey", ["o_orderpriority", "o_totalprice"], order="o_orderkey")
 
 
-def customer_versions(spark, sf):
+def customer_loads(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     changed = c.withColumn("c_acctbal", F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal") + 100).otherwise(F.col("c_acctbal")))
     first = c.where("c_mktsegment <> 'MACHINERY'")
     second = changed.where("c_mktsegment <> 'FURNITURE'")
+    return first, second
+
+
+def customer_versions(spark, sf):
+    first, second = customer_loads(spark, sf)
     d1 = model.dimension_scd2(first, "c_custkey", date(2024, 1, 1))
     d2 = model.dimension_scd2(second, "c_custkey", date(2024, 2, 1), d1)
     return second, d2
@@ -557,6 +587,27 @@ def dimension_scd2_rerun(spark, sf):
     return model.dimension_scd2(second, "c_custkey", date(2024, 3, 1), d2).drop("attr_hash")
 
 
+@q("GLD-02", f"""
+  WITH first AS (SELECT * FROM customer WHERE c_mktsegment <> 'MACHINERY'),
+  news AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal,
+                  CASE WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END AS version FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+  rows AS (
+    SELECT row_number() OVER (ORDER BY c_custkey) AS dim_key, c_custkey, c_mktsegment, c_acctbal, DATE '2024-01-01' AS valid_from,
+           CASE WHEN c_mktsegment = 'BUILDING' THEN DATE '2024-02-01' ELSE DATE '9999-12-31' END AS valid_to,
+           c_mktsegment <> 'BUILDING' AS is_current, 1 AS version FROM first
+    UNION ALL SELECT (SELECT count(*) FROM first) + row_number() OVER (ORDER BY c_custkey), c_custkey, c_mktsegment, c_acctbal,
+           DATE '2024-02-01', DATE '9999-12-31', true, version FROM news)
+  SELECT dim_key::BIGINT AS dim_key, c_custkey, c_mktsegment, {r('c_acctbal')} AS c_acctbal, valid_from, valid_to, is_current,
+         CAST(version AS BIGINT) AS version FROM rows""")
+def dimension_scd2_stored(spark, sf):
+    """A stored history after a load, an update and a rerun; numbers given once stay."""
+    path = scratch(spark)
+    first, second = customer_loads(spark, sf)
+    for day, rows in ((date(2024, 1, 1), first), (date(2024, 2, 1), second), (date(2024, 3, 1), second)):
+        out = model.merge_scd2(rows, path, "c_custkey", day)
+    return out.drop("attr_hash", model.BUCKET)
+
+
 @q("GLD-03", "SELECT count(*) AS rows, count(DISTINCT (c_nationkey, c_mktsegment)) AS distinct_hashes FROM customer")
 def attribute_hash(spark, sf):
     c = table(spark, sf, "customer").select(model.attr_hash(["c_nationkey", "c_mktsegment"]).alias("h"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import date_key
-from ..functions.scale import ordered_rank
+from ..functions.scale import landed, ordered_rank
 from .joins import current_rows, lookup_key
 from .silver import dedup
 
@@ -96,6 +97,65 @@ def dimension_scd2(df: DataFrame, key: str, as_of: date, previous: DataFrame | N
     return ranked.select(surrogate, key, *attributes, *HISTORY)
 
 
+BUCKET = "key_bucket"
+
+
+def merge_scd2(df: DataFrame, path: str, key: str, as_of: date, attributes: Sequence[str] | None = None,
+               order: str | None = None, surrogate: str = "dim_key", buckets: int = 64) -> DataFrame:
+    """Bring a stored history up to date, writing only what a change touches; returns the stored table.
+
+    The table lies in folders by a hash of the key.  Only its open versions' hashes
+    are compared with the incoming rows; the buckets of changed and new keys are
+    rewritten, the others stay as they are, and a run without changes writes
+    nothing.  Surrogates never change: new versions are numbered after the largest.
+    Keys missing today stay open.  A null key is a key.
+    """
+    spark = df.sparkSession
+    incoming = _incoming(df, key, attributes, order)
+    attributes = [c for c in incoming.columns if c != key]
+    incoming = incoming.withColumn("attr_hash", attr_hash(attributes))
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+    today = F.lit(as_of).cast("date")
+    stored = _stored(spark, path)
+    if stored is None:
+        changed, top = incoming.withColumn("version", F.lit(1).cast("long")), 0
+    else:
+        open_ = current_rows(stored).select(F.col(key).alias("__k"), F.col("attr_hash").alias("__h"), F.col("version").alias("__v"))
+        met = incoming.join(open_, F.col(key).eqNullSafe(F.col("__k")), "left")
+        fresh = F.col("__h").isNull() | (F.col("__h") != F.col("attr_hash"))
+        changed = landed(met.where(fresh).select(*incoming.columns, (F.coalesce("__v", F.lit(0)) + 1).alias("version")))
+        if changed.isEmpty():
+            return stored
+        top = stored.agg(F.max(surrogate).alias("top")).first().top
+    numbered = ordered_rank(changed.withColumn(BUCKET, bucket), key, key, out="__at", total="__n")
+    opened = numbered.select(
+        (F.col("__at") + top).alias(surrogate), key, *attributes, "attr_hash", today.alias("valid_from"), F.lit(FAR).alias("valid_to"),
+        F.lit(True).alias("is_current"), "version", BUCKET,
+    )
+    if stored is None:
+        opened.repartition(BUCKET).write.partitionBy(BUCKET).parquet(path)
+        return _stored(spark, path)
+    touched = [r[BUCKET] for r in changed.select(bucket.alias(BUCKET)).distinct().collect()]  # at most `buckets`
+    superseded = changed.where("version > 1").select(F.col(key).alias("__k"), F.lit(True).alias("__over"))
+    before = stored.where(F.col(BUCKET).isin(touched)).join(superseded, F.col(key).eqNullSafe(F.col("__k")), "left")
+    closing = F.coalesce("__over", F.lit(False)) & F.col("is_current")
+    kept = before.withColumns({
+        "valid_to": F.when(closing, today).otherwise(F.col("valid_to")), "is_current": F.col("is_current") & ~closing,
+    }).select(*opened.columns)
+    rewritten = landed(kept.unionByName(opened))
+    rewritten.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    return _stored(spark, path)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def date_range(tables: Sequence[DataFrame]) -> tuple[date, date] | None:
     """First and last day over every date column, widened to whole months."""
     edges = []

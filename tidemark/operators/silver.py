@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.reasons import ARRIVAL
 from ..functions.scalars import NUMBER_TEXT, is_true, number_of, number_text
 
 
@@ -243,8 +244,13 @@ def drop(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def conform(df: DataFrame, spec: Mapping | None, order: str | None = None) -> DataFrame:
-    """All declared steps of one table in their fixed order."""
+    """All declared steps of one table in their fixed order.
+
+    Dedup keeps the last arrival: by the declared `order`, else by the arrival
+    column of a landed table (`read_bronze(..., with_arrival=True)`), which goes after it.
+    """
     spec = spec or {}
+    order = spec.get("order", order) or (ARRIVAL if ARRIVAL in df.columns else None)
     if spec.get("rename"):
         df = rename(df, spec["rename"])
     types = spec.get("types", "auto")
@@ -260,13 +266,13 @@ def conform(df: DataFrame, spec: Mapping | None, order: str | None = None) -> Da
         df = keep(df, spec["filter"])
     if spec.get("dedup") is not None:
         keys = [c for c in spec["dedup"] if c in df.columns]
-        order = spec.get("order", order)
-        if not keys and order is None:
-            df = df.distinct()
+        if not keys:
+            df = df.drop(ARRIVAL).distinct() if order in (None, ARRIVAL) else dedup(df, keys, order)
         elif order is None:
             raise ValueError("dedup by key needs an `order` column: Spark keeps no arrival order")
         else:
             df = dedup(df, keys, order)
+    df = df.drop(ARRIVAL)
     if spec.get("unpivot"):
         u = dict(spec["unpivot"])
         if "groups" in u:

@@ -2,31 +2,50 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from datetime import datetime
 
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.reasons import reason
+from ..functions.reasons import ARRIVAL, reason
 from .readers import mask_url
 
-ORDER = "_row_order"
+def arrival(df: DataFrame) -> Column:
+    """The place a row arrived at, whatever task reads it.
+
+    Rows of files order by (file, block, row): the row number inside the file where
+    the format knows it, else the row's place in its block's one task.  Rows that come
+    from elsewhere have only the order in which Spark numbers them.
+    """
+    numbered = F.monotonically_increasing_id()
+    for place in (
+        ("_metadata.file_path", F.lit(0).cast("long"), F.col("_metadata.row_index")),
+        ("_metadata.file_path", F.col("_metadata.file_block_start"), numbered),
+    ):
+        try:
+            df.select(F.col(place[0]), *place[1:])
+        except AnalysisException:
+            continue
+        return F.struct(F.col(place[0]).alias("file"), place[1].alias("block"), place[2].alias("row"))
+    return F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), numbered.alias("row"))
 
 
 def stamp(df: DataFrame, source: str, loaded_at: datetime, content_hash: str = "") -> DataFrame:
     """Lineage columns and an arrival order; nested values travel as text."""
+    place = arrival(df)
     flat = {
         n: F.to_json(n) for n, t in df.dtypes if t.startswith(("array", "map", "struct"))
     }
-    df = df.withColumns(flat) if flat else df
     return df.withColumns(
-        {
+        flat
+        | {
             "_source": F.lit(source),
             "_loaded_at": F.lit(loaded_at.strftime("%Y-%m-%dT%H:%M:%S+00:00")),
             "_source_hash": F.lit(content_hash),
-            ORDER: F.monotonically_increasing_id(),
+            ARRIVAL: place,
         }
     )
 
@@ -46,8 +65,10 @@ def hide_lineage(df: DataFrame) -> DataFrame:
     return df.select([c for c in df.columns if not c.startswith("_")])
 
 
-def read_bronze(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return hide_lineage(spark.read.parquet(layer_path(root, "bronze", name)))
+def read_bronze(spark: SparkSession, root: str, name: str, with_arrival: bool = False) -> DataFrame:
+    """A landed table; `with_arrival` hands on the order that `conform` needs to keep the last arrival."""
+    landed = spark.read.parquet(layer_path(root, "bronze", name))
+    return landed.select(*hide_lineage(landed).columns, *([ARRIVAL] if with_arrival else []))
 
 
 def bronze_metadata(df: DataFrame) -> DataFrame:
@@ -57,28 +78,49 @@ def bronze_metadata(df: DataFrame) -> DataFrame:
     )
 
 
-def write_layer(df: DataFrame, root: str, layer: str, name: str, partition_by: list[str] | None = None) -> str:
-    """Replace a layer table, safely even when `df` reads its previous version.
+def _files(spark: SparkSession, path: str):
+    """(Hadoop's Path class, the file system of a path)."""
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    return kind, kind(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the published versions of a layer table, oldest first."""
+    kind, fs = _files(spark, path)
+    marks = kind(f"{path}/_published")
+    return sorted(f.getPath().getName() for f in fs.listStatus(marks)) if fs.exists(marks) else []
+
 
-    Spark cannot overwrite what it is reading, so the new version is written
-    beside the old one and swapped in by rename on the table's file system.
+def read_layer(spark: SparkSession, root: str, layer: str, name: str) -> DataFrame:
+    """The version of a layer table that was published last."""
+    path = layer_path(root, layer, name)
+    found = versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"{path} has no published version")
+    return spark.read.parquet(f"{path}/versions/{found[-1]}")
+
+
+def write_layer(df: DataFrame, root: str, layer: str, name: str, partition_by: list[str] | None = None, keep: int = 2) -> str:
+    """Replace a layer table without a moment in which it is missing; returns the new version's folder.
+
+    A version is a folder of its own, written whole before an empty file of its
+    name in `_published` makes it the current one.  That file is a single created
+    object, so nothing is renamed, copied or overwritten on any store.  Readers that
+    opened the version before go on reading it; versions older than the last `keep` go.
+    `df` may read the table it replaces.
     """
     spark = df.sparkSession
     path = layer_path(root, layer, name)
-    staged, old = f"{path}.__next", f"{path}.__old"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staged)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(jvm.Path(old)):
-        fs.delete(jvm.Path(old), True)
-    if fs.exists(jvm.Path(path)):
-        fs.rename(jvm.Path(path), jvm.Path(old))
-    if not fs.rename(jvm.Path(staged), jvm.Path(path)):
-        fs.rename(jvm.Path(old), jvm.Path(path))
-        raise OSError(f"could not publish {path}")
-    fs.delete(jvm.Path(old), True)
-    return path
+    kind, fs = _files(spark, path)
+    before = versions(spark, path)
+    version = f"{int(before[-1].split('-')[0]) + 1 if before else 1:08d}-{uuid.uuid4().hex[:8]}"
+    folder = f"{path}/versions/{version}"
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(folder)
+    fs.create(kind(f"{path}/_published/{version}"), False).close()
+    for old in before[: max(0, len(before) + 1 - max(1, keep))]:
+        fs.delete(kind(f"{path}/_published/{old}"), False)
+        fs.delete(kind(f"{path}/versions/{old}"), True)
+    return folder
 
 
 def load_warehouse(spark: SparkSession, tables: Mapping[str, DataFrame], schema: str = "gold", location: str | None = None) -> DataFrame:

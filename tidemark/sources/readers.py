@@ -6,10 +6,12 @@ untouched and Hadoop's file systems resolve them.
 
 from __future__ import annotations
 
+import csv
 import os
 import re
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,26 +117,68 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*.parquet", ki
     return df.select("*", F.col("_metadata.file_name").alias(file_column)) if kind != "csv" else df.withColumnRenamed("_file", file_column)
 
 
+HEAD_BYTES = 1 << 16
+
+
+def _first_line(path: str, encoding: str = "utf-8") -> str:
+    """First non-blank line of a file, reading no more than that takes."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    got = b""
+    with store.open_input_stream(name) as f:
+        while chunk := f.read(HEAD_BYTES):
+            got += chunk
+            lines = re.split(rb"\r\n|\n|\r", got)
+            for line in lines[:-1]:
+                if line.lstrip(b"\xef\xbb\xbf").strip():
+                    return line.decode(encoding).lstrip("\ufeff")
+    return got.decode(encoding).lstrip("\ufeff").strip("\r\n")
+
+
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    """(f, head): the header line of every file; the tasks read the files' first bytes only."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("f"))
+    try:
+        probe = files.first()
+        if probe is not None:
+            _first_line(probe.f)
+    except (ImportError, OSError, ValueError):  # a store that only Spark's own readers open
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+        return lines.where("b = 0 and trim(value) <> ''").groupBy("f").agg(F.min_by("value", "i").alias("head"))
+
+    def read(batches):
+        for batch in batches:
+            names = batch.column("f").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([_first_line(n) for n in names], pa.string())], names=["f", "head"])
+
+    return files.mapInArrow(read, "f string, head string")
+
+
 def _drifting_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    """CSV files grouped by header, one scan per distinct header."""
-    heads = (
-        spark.read.text(path)
-        .select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-        .where("b = 0 and trim(value) <> ''")
-        .groupBy("f").agg(F.min_by("value", "i").alias("head"))
-        .groupBy("head").agg(F.sort_array(F.collect_list("f")).alias("files"))
-        .orderBy("head").collect()
-    )
-    if not heads:
+    """CSV files of any headers as one scan: every line is cut by the header of its file.
+
+    Headers come from the files' first bytes; only the distinct ones reach the driver.
+    A line equal to its file's header is no row, wherever it stands.
+    """
+    heads = _heads(spark, path).where("trim(head) <> ''")
+    distinct = [r["head"] for r in heads.select("head").distinct().orderBy("head").collect()]
+    if not distinct:
         raise EmptySource(f"no file matches {path}")
-    out = None
-    for group in heads:
-        sep = options.get("sep") or sniff_delimiter(group["head"])
-        df = spark.read.options(header=True, sep=sep).csv(list(group["files"]))
-        named = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, clean_names(df.columns))],
-                          F.col("_metadata.file_name").alias("_file"))
-        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
-    return out
+    plans = []
+    for head in distinct:
+        sep = options.get("sep") or sniff_delimiter(head)
+        plans.append((head, sep, clean_names(next(csv.reader([head], delimiter=sep)))))
+    columns = list(dict.fromkeys(c for _, _, names in plans for c in names))
+    cut = None
+    for head, sep, names in plans:
+        cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(len(names)))), {"sep": sep})
+        row = F.struct(*[(cells[f"c{names.index(c)}"] if c in names else F.lit(None).cast("string")).alias(c) for c in columns])
+        cut = F.when(F.col("head") == head, row) if cut is None else cut.when(F.col("head") == head, row)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_name").alias("_file"))
+    bare = F.regexp_replace("value", "^\ufeff", "")
+    met = lines.join(heads, "f").where((F.trim("value") != "") & (bare != F.col("head")))
+    return met.select(cut.alias("row"), "_file").select(*[F.col("row").getField(c).alias(c) for c in columns], "_file")
 
 
 def limit_rows(df: DataFrame, n: int) -> DataFrame:

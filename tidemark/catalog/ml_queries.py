@@ -91,6 +91,57 @@ def regression_report(spark, sf):
     return m.table.unionByName(m.metrics.withColumn("model", F.concat("model", F.lit(" (holdout)"))))
 
 
+LEARNED = """j AS (SELECT l.*, lang, source, n_chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+  kept AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR))) AS p, count(*) OVER () AS n FROM j WHERE quality IS NOT NULL),
+  parts AS (SELECT *, CASE WHEN p <= floor(n * 0.6::DOUBLE) THEN 'train' WHEN p <= floor(n * 0.8::DOUBLE) THEN 'select' ELSE 'holdout' END AS part FROM kept)"""
+
+
+def small_classifier(spark, sf):
+    """What does not depend on how well the models are fitted needs few trees."""
+    return ml.select_and_report(labelled(spark, sf), "quality", id="doc_id", exclude=["toxic"], trees=5, rounds=3)
+
+
+@q("ML-04 ML-08", f"""
+  WITH {LEARNED}, s AS (SELECT part, count(*) AS rows, avg(quality) AS base FROM parts GROUP BY 1)
+  SELECT m AS model, rows, {r('base')} AS base_rate FROM s, (VALUES ('gradient_boosting'), ('logistic'), ('random_forest')) v(m) WHERE part = 'select'
+  UNION ALL SELECT 'chosen', rows, {r('base')} FROM s WHERE part = 'holdout'""")
+def classification_parts(spark, sf):
+    """Rows and base rate that every candidate, and the chosen one, is judged on."""
+    m = small_classifier(spark, sf)
+    return m.table.unionByName(m.metrics.withColumn("model", F.lit("chosen"))).select("model", "rows", "base_rate")
+
+
+@q("ML-05 ML-08", """
+  WITH s AS (SELECT CASE WHEN p <= floor(n * 0.6::DOUBLE) THEN 'train' WHEN p <= floor(n * 0.8::DOUBLE) THEN 'select' ELSE 'holdout' END AS part
+             FROM (SELECT row_number() OVER (ORDER BY o_orderdate, md5(CAST(o_orderkey AS VARCHAR))) AS p, count(*) OVER () AS n FROM orders))
+  SELECT m AS model, count(*) AS rows FROM s, (VALUES ('gradient_boosting'), ('random_forest'), ('ridge')) v(m) WHERE part = 'select' GROUP BY 1
+  UNION ALL SELECT 'chosen', count(*) FROM s WHERE part = 'holdout'""")
+def regression_parts(spark, sf):
+    m = ml.select_and_report(table(spark, sf, "orders"), "o_totalprice", id="o_orderkey", date="o_orderdate", exclude=["o_custkey"], trees=3, rounds=2)
+    return m.table.unionByName(m.metrics.withColumn("model", F.lit("chosen"))).select("model", "rows")
+
+
+@q("ML-01 ML-09", f"""
+  WITH {LEARNED}
+  SELECT 'n_chars' AS feature, true AS weighed UNION ALL SELECT DISTINCT 'lang=' || lang, true FROM parts WHERE part = 'train'
+  UNION ALL SELECT DISTINCT 'source=' || source, true FROM parts WHERE part = 'train'
+  UNION ALL SELECT c || s, true FROM (VALUES ('lang='), ('source=')) a(c), (VALUES ('__unseen'), ('__invalid')) b(s)""")
+def weighed_features(spark, sf):
+    """Every feature of the fitted vector; weights are not negative and those of a forest sum to one."""
+    m = small_classifier(spark, sf)
+    weights = m.importance(k=1_000_000)
+    sums = weights.agg(F.sum("importance").alias("s"), F.lit(1).alias("one"))
+    whole = F.lit(True) if m.name == "logistic" else F.abs(F.col("s") - 1) < 1e-9
+    return weights.withColumn("one", F.lit(1)).join(F.broadcast(sums), "one").select("feature", ((F.col("importance") >= 0) & whole).alias("weighed"))
+
+
+@q("ML-10", "SELECT doc_id, true AS probability FROM documents")
+def scored_range(spark, sf):
+    """Every document scored once, between 0 and 1, with a language or source the training rows may lack."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    return small_classifier(spark, sf).score(docs, "doc_id").select("doc_id", F.col("score").between(0, 1).alias("probability"))
+
+
 @q("ML-09")
 def feature_importance(spark, sf):
     return classifier(spark, sf).importance()
@@ -157,7 +208,20 @@ def strategy_summary(spark, sf):
     return kpis.strategy_summary(portfolio(spark, sf), "strategy", "p", "expected_recovery")
 
 
-@q("ML-12")
+def _target(column, task, holds, rate="NULL", classes="NULL", points=1):
+    return (
+        f"SELECT '{column}' AS column_name, '{task}' AS task, CAST({classes} AS BIGINT) AS classes, CAST({rate} AS DOUBLE) AS positive_rate, "
+        f"CAST({points} AS BIGINT) AS points FROM j HAVING {holds}"
+    )
+
+
+TARGETS = " UNION ALL ".join(
+    [_target(c, "classification", f"count(DISTINCT {c}) = 2", f"round(avg({c}), 4)", 2, 3) for c in ("quality", "toxic")]
+    + [_target(c, "regression", f"count(DISTINCT {c}) > 20") for c in ("doc_id", "n_chars")]
+)
+
+
+@q("ML-12", f"WITH j AS (SELECT l.*, n_chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id) {TARGETS}")
 def suggested_targets(spark, sf):
     return ml.suggest_targets(labelled(spark, sf))
 

@@ -283,6 +283,48 @@ def forecast_drift(spark, sf):
     return ts.drift_line(priority_series(spark, sf))
 
 
+# Trials of the methods that learn a season: up to six cuts of at least two years, and the whole series.
+CUTS = f"""{PRIORITY_SERIES},
+  p AS (SELECT segment, period, value, row_number() OVER (PARTITION BY segment ORDER BY period) - 1 AS i, count(*) OVER (PARTITION BY segment) AS n FROM ser),
+  ns AS (SELECT DISTINCT segment, n, least(6, n - 3 - 24 + 1) AS usable FROM p),
+  c AS (SELECT segment, n, n - 3 - usable + k AS cut FROM (SELECT *, unnest(generate_series(1, usable)) AS k FROM ns WHERE usable > 0)
+        UNION ALL SELECT segment, n, n FROM ns WHERE usable > 0),
+  ahead AS (SELECT segment, n, cut, step, cut + step - 1 AS position FROM c, (VALUES (1), (2), (3)) v(step))"""
+
+
+def _trials(method, predicted, source):
+    return f"""
+      SELECT h.segment, '{method}' AS method, CASE WHEN h.cut = h.n THEN 'future' ELSE 'backtest' END AS kind, h.cut::BIGINT AS cut,
+             h.step::BIGINT AS step, h.position::BIGINT AS position, a.period, {r('a.value')} AS actual, {r(predicted)} AS predicted, NULL AS error
+      FROM ahead h JOIN {source} LEFT JOIN p a ON a.segment = h.segment AND a.i = h.position"""
+
+
+METHOD_SQL = {
+    "seasonal_trend": f"""
+      WITH {CUTS},
+      w AS (SELECT c.segment, c.cut, i, value, i % 12 AS pos FROM c JOIN p ON p.segment = c.segment AND i < cut AND i >= cut - {12 * forecasters.TREND_CYCLES}),
+      lv AS (SELECT segment, cut, pos, avg(i) AS t, avg(value) AS v FROM w GROUP BY ALL),
+      sl AS (SELECT segment, cut, sum((i - t) * (value - v)) / sum((i - t) * (i - t)) AS slope FROM w JOIN lv USING (segment, cut, pos) GROUP BY ALL)
+      {_trials("seasonal_trend", "v + slope * (h.position - t)",
+               "lv ON lv.segment = h.segment AND lv.cut = h.cut AND lv.pos = h.position % 12 JOIN sl ON sl.segment = h.segment AND sl.cut = h.cut")}""",
+    "holt_winters": f"""
+      WITH RECURSIVE {CUTS},
+      ys AS (SELECT segment, list(value ORDER BY i) AS y FROM p GROUP BY 1),
+      grid AS (SELECT a, b, g, row_number() OVER (ORDER BY a, b, g) AS gi FROM
+        (SELECT unnest({list(forecasters.ALPHAS)}::DOUBLE[]) AS a), (SELECT unnest({list(forecasters.BETAS)}::DOUBLE[]) AS b), (SELECT unnest({list(forecasters.GAMMAS)}::DOUBLE[]) AS g)),
+      st(segment, cut, gi, a, b, g, y, i, level, trend, season, error) AS (
+        SELECT c.segment, cut, gi, a, b, g, y, 12, list_avg(y[1:12]), (list_avg(y[13:24]) - list_avg(y[1:12])) / 12,
+               list_transform(y[1:12], lambda v: v - list_avg(y[1:12])), 0.0::DOUBLE FROM c JOIN ys USING (segment), grid
+        UNION ALL
+        SELECT segment, cut, gi, a, b, g, y, i + 1, fresh, b * (fresh - level) + (1 - b) * trend,
+               list_transform(season, lambda v, j: CASE WHEN j = i % 12 + 1 THEN g * (y[i + 1] - fresh) + (1 - g) * v ELSE v END),
+               error + pow(y[i + 1] - level - trend - season[i % 12 + 1], 2)
+        FROM (SELECT *, a * (y[i + 1] - season[i % 12 + 1]) + (1 - a) * (level + trend) AS fresh FROM st WHERE i < cut)),
+      best AS (SELECT * FROM st WHERE i = cut QUALIFY row_number() OVER (PARTITION BY segment, cut ORDER BY error, gi) = 1)
+      {_trials("holt_winters", "level + trend * h.step + season[h.position % 12 + 1]", "best s ON s.segment = h.segment AND s.cut = h.cut")}""",
+}
+
+
 def _method(name, id):
     """Rolling trials of one numeric method on the monthly series."""
     def run(spark, sf):
@@ -290,7 +332,7 @@ def _method(name, id):
         return ts.run_methods(priority_series(spark, sf), methods=kept).where(F.col("method") == name)
 
     run.__name__ = f"trials_{name}"
-    q(id)(run)
+    q(id, METHOD_SQL.get(name))(run)
 
 
 for _name, _id in (

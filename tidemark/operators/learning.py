@@ -59,6 +59,8 @@ def leak_correlations(df: DataFrame, target: str, columns: Sequence[str] | None
     kinds = dict(df.dtypes)
     names = [c for c in (columns or feature_columns(df, target)) if is_numeric(kinds[c])]
     y = F.col(target).cast("double")
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, correlation double, leak boolean")
     rows = F.array(
         *[
             F.struct(F.lit(c).alias("column_name"), F.abs(F.corr(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), y)).alias("correlation"))
@@ -145,13 +147,14 @@ def split_60_20_20(df: DataFrame, id: str | None = None, date: str | None = None
     return ranked.withColumn(out, part).select(*df.columns, out)
 
 
-def candidates(task: str, rows: int, spread: float = 1.0, trees: int = 200, rounds: int = 150) -> dict[str, list]:
+def candidates(task: str, rows: int, spread: float = 1.0, trees: int = 200, rounds: int = 150, depth: int = 30) -> dict[str, list]:
     """Linear models scaled, tree models as they are.
 
     The linear penalties are those of a loss SUMMED over rows (one half of the
     squared weights for the logistic, alpha 1 for the ridge).  Spark averages
     the loss, so they shrink with the `rows` fitted; its linear regression also
-    divides the penalty by the label's standard deviation (`spread`).
+    divides the penalty by the label's standard deviation (`spread`).  Forests grow
+    until a leaf holds five rows or to `depth`, at most the 30 that Spark allows.
     """
     rows = max(rows, 1)
     tree = {"labelCol": "label", "featuresCol": "features", "seed": SEED}
@@ -159,12 +162,12 @@ def candidates(task: str, rows: int, spread: float = 1.0, trees: int = 200, roun
     if task == "classification":
         return {
             "logistic": [scaled, LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=200, elasticNetParam=0.0, regParam=1.0 / rows)],
-            "random_forest": [RandomForestClassifier(numTrees=trees, minInstancesPerNode=5, maxDepth=10, **tree)],
+            "random_forest": [RandomForestClassifier(numTrees=trees, minInstancesPerNode=5, maxDepth=depth, **tree)],
             "gradient_boosting": [GBTClassifier(maxIter=rounds, maxDepth=3, **tree)],
         }
     return {
         "ridge": [scaled, LinearRegression(featuresCol="scaled", labelCol="label", elasticNetParam=0.0, regParam=spread / rows)],
-        "random_forest": [RandomForestRegressor(numTrees=trees, minInstancesPerNode=5, maxDepth=10, **tree)],
+        "random_forest": [RandomForestRegressor(numTrees=trees, minInstancesPerNode=5, maxDepth=depth, **tree)],
         "gradient_boosting": [GBTRegressor(maxIter=rounds, maxDepth=3, **tree)],
     }
 
@@ -247,15 +250,16 @@ class Trained:
 
     def score(self, df: DataFrame, id: str | None = None) -> DataFrame:
         """Scores with the id and every `*_key` column; features are aligned."""
-        ready, _, _ = prepare_features(df, [c for c in df.columns], self.categories)
+        carried = [c for c in dict.fromkeys([id, *[k for k in df.columns if k.endswith("_key")]]) if c]
+        kept = df.withColumns({f"__as_is_{c}": F.col(c) for c in carried})  # features become doubles, ids must not
+        ready, _, _ = prepare_features(kept, df.columns, self.categories)
         for c in self.numeric:
             if c not in ready.columns:
                 ready = ready.withColumn(c, F.lit(0.0))
         for c in self.text:
             if c not in ready.columns:
                 ready = ready.withColumn(c, F.lit("OTHER"))
-        carried = [c for c in dict.fromkeys([id, *[k for k in df.columns if k.endswith("_key")]]) if c]
-        return predicted(self.model, ready, self.task).select(*carried, "score")
+        return predicted(self.model, ready, self.task).select(*[F.col(f"__as_is_{c}").alias(c) for c in carried], "score")
 
     def importance(self, k: int = 15) -> DataFrame:
         """Tree importances or absolute coefficients, summed per source column."""
@@ -278,7 +282,7 @@ def _vector_names(model: PipelineModel, numeric: Sequence[str], text: Sequence[s
 
 def select_and_report(df: DataFrame, target: str, id: str | None = None, date: str | None = None,
                       exclude: Sequence[str] = (), task: str | None = None,
-                      trees: int = 200, rounds: int = 150) -> Trained:
+                      trees: int = 200, rounds: int = 150, depth: int = 30) -> Trained:
     """Fit every candidate, pick on the selection part, report on the holdout."""
     task = task or task_of(df, target)
     df = df.where(F.col(target).isNotNull())
@@ -304,7 +308,7 @@ def select_and_report(df: DataFrame, target: str, id: str | None = None, date: s
     headline = "auc" if task == "classification" else "r2"
     fitted, lines = {}, []
     size = train.agg(F.count(F.lit(1)).alias("n"), F.stddev("label").alias("spread")).first()
-    for name, stages in candidates(task, size.n, size.spread or 1.0, trees, rounds).items():
+    for name, stages in candidates(task, size.n, size.spread or 1.0, trees, rounds, depth).items():
         fitted[name] = Pipeline(stages=[*encoder(numeric, text), *stages]).fit(train)
         lines.append((name, measured(fitted[name], "select")))
     best, chosen = max(lines, key=lambda x: x[1][headline] if x[1][headline] is not None else -1e9)

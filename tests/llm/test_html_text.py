@@ -3,6 +3,8 @@ import re
 
 import pyarrow.dataset as ds
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tidemark.llm.html_text import extract, main_text
 
@@ -62,6 +64,46 @@ def test_comments_around_marked_cards_stay_cut():
     assert main_text(f"<article><p>{LONG}</p></article><div id='comments'>{cards}</div>") == LONG.strip()
 
 
+@pytest.mark.parametrize("name", ["class='related-work'", "class='legal-analysis'", "class=notice", "id=form", "id='search-results-in-mice'", "class='share-prices'",
+                                  "class='toc'", "class='social-policy ad-hoc'", "id='comment-on-the-method'", "class='menu-of-options'"])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_an_oddly_named_block_of_an_article_stays(name, tag):
+    page = f"<article><h1>T</h1><p>{LONG}</p><{tag} {name}><h2>Part</h2><p>{LONG}</p></{tag}><p>{LONG}</p></article><footer>f</footer>"
+    assert main_text(page) == f"T\n{LONG.strip()}\nPart\n{LONG.strip()}\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("name", ["class=ad", "class='ad-box top'", "class='user-comments'", "id=comments", "class=share", "class='social-links'", "class='newsletter-box'",
+                                  "class='cookie notice'", "class=notice", "class='related'", "id=disqus"])
+def test_furniture_inside_an_article_goes(name):
+    links = "<a href='/x'>another page of this site</a> " * 9
+    inner = links if "related" in name else "<p>Some words that are none of the article.</p>"
+    assert main_text(f"<article><p>{LONG}</p><div {name}>{inner}</div><p>{LONG}</p></article>") == f"{LONG.strip()}\n{LONG.strip()}"
+
+
+def test_prose_keeps_formulas_buttons_and_labels():
+    page = (f"<article><p>{LONG}</p><p>Press <button>OK</button> beside <label>Name</label> when <math><mi>x</mi><mo>=</mo><mn>2</mn>"
+            "<annotation encoding='tex'>x=2</annotation></math> holds.</p><div><button>Share</button></div><form><label>Mail</label></form></article>")
+    assert main_text(page) == f"{LONG.strip()}\nPress OK beside Name when x=2 holds."
+
+
+@pytest.mark.parametrize("card", ["class=comment", "class='comment even depth-1' id=c4", "id='comment-12'", "class='user-comment'"])
+def test_an_article_that_is_a_comment_goes(card):
+    said = f"<article {card}><p>A reader found this very long and said so at some length, twice.</p></article>"
+    text = f"<h1>T</h1><p>{LONG}</p><p>{LONG}</p>"
+    assert main_text(f"<body><article>{text}</article>{said * 2}</body>") == f"T\n{LONG.strip()}\n{LONG.strip()}"
+    assert main_text(f"<body><main><article class='post comment-open'>{text}{said}</article></main></body>") == f"T\n{LONG.strip()}\n{LONG.strip()}"
+
+
+@given(st.lists(st.tuples(st.sampled_from(["div", "section", "p", "blockquote"]), st.text("abcdefghijklmnopqrstuvwxyz-", min_size=1, max_size=12),
+                          st.booleans()), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_blocks_of_an_article_under_any_name_stay(blocks):
+    inner = "".join(f"<{tag} class='{name}-study'>{'<b>' * bold}{LONG}{i}{'</b>' * bold}</{tag}>" for i, (tag, name, bold) in enumerate(blocks))
+    links = "<nav>" + "<a href='/x'>a link</a> " * 9 + "</nav>"
+    got = main_text(f"<body>{links}<article><h1>T</h1>{inner}</article>{links}</body>").split("\n")
+    assert got == ["T", *[f"{LONG}{i}" for i in range(len(blocks))]]
+
+
 def test_given_pages(spark):
     rows = {r["page_id"]: r for r in ds.dataset(f"{SF}/pages.parquet").to_table().to_pylist()}
     got = extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()

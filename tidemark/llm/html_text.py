@@ -4,8 +4,13 @@ A page becomes a small DOM.  Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments by readers are cut by their element
 names, roles and class words.  A class word alone does not cut what wraps an
 article or main element, nor what holds over three quarters of the characters
-outside links; density decides there.  Of what is left every node gets its
-link-adjusted characters per tag
+outside links; density decides there.  Inside an article a name cuts only if all
+its parts speak of furniture (`user-comments`, not `related-work`), and words that an
+author may use as well (`notice`, `legal`, `related`, `form`) cut only blocks that are
+short or mostly links.  An article element is cut if its class calls it a comment.
+Buttons and labels belong to the text where they stand in a paragraph or heading of an
+article, formulas everywhere.  Of what is left every node gets its link-adjusted
+characters per tag
 
     density = C / T * log(C / max(LC, 1) * T / max(LT, 1) + e  ,  base ln(C * LC / max(C - LC, 1) + LCb * C / Cb + e))
 
@@ -54,8 +59,10 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
            "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
 CUT = frozenset(
     "nav footer aside form script style noscript template iframe svg button select textarea input dialog menu head title object "
-    "embed canvas audio video map noembed noframes xmp math label".split()
+    "embed canvas audio video map noembed noframes xmp label annotation annotation-xml".split()
 )
+SPOKEN = frozenset("button label".split())  # kept in the prose of an article
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote dd figcaption".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar sidebars aside nav navbar "
@@ -65,6 +72,20 @@ CUT_WORDS = frozenset(
     "disclaimer skip toc".split()
 )
 
+# Furniture words that an author may use for a part of the article, and the words for a reader's comment.
+AMBIGUOUS = frozenset(
+    "notice notices legal related recommended recommendations form search header footer aside copyright disclaimer toc alert promotion "
+    "menu menus respond replies login signup skip overlay banner navigation advertising sponsored widget widgets".split()
+)
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies reply".split())
+# Parts of class names that say nothing of their own.
+PLAIN_PARTS = frozenset(
+    "area bar block body bottom box col column container content count desktop entry group icon icons inline inner item items left link "
+    "links list lower main mobile outer page panel post reader right row section side site slot small text title top unit upper user "
+    "wrap wrapper".split()
+)
+SHORT = 120  # characters outside links; a block under an ambiguous name that has fewer is furniture
+
 WRAPS = 3, 4  # an element with a larger share of the characters outside links is no furniture
 
 TAG = re.compile(
@@ -79,32 +100,58 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Node:
     __slots__ = ("tag", "children", "cut", "worded", "marked", "chars", "tags", "link_chars", "link_tags", "density", "score")
 
-    def __init__(self, tag: str, cut: bool = False, worded: bool = False):
+    def __init__(self, tag: str, cut: bool = False, worded: str = ""):
         self.tag, self.cut, self.worded, self.marked, self.children = tag, cut, worded, False, []
 
 
+def parts(name: str) -> list[str]:
+    return [p for p in WORD_EDGE.split(CAMEL.sub("-", name).lower()) if p]
+
+
 def has_cut_word(value: str) -> bool:
-    return not CUT_WORDS.isdisjoint(WORD_EDGE.split(CAMEL.sub("-", value).lower()))
+    return not CUT_WORDS.isdisjoint(parts(value))
+
+
+def named_only(value: str, words: frozenset[str]) -> bool:
+    """Whether one of the names has a word of the set, and no part that is neither such nor plain."""
+    for name in value.split():
+        found = parts(name)
+        if not words.isdisjoint(found) and all(p in words or p in PLAIN_PARTS or p.isdigit() for p in found):
+            return True
+    return False
+
 
+def is_cut(tag: str, attributes: str, inside: bool, prose: bool = False) -> tuple[bool, str]:
+    """Whether an element is furniture, and what says so if it is a name alone: `word`, or `maybe` for an ambiguous one.
 
-def is_cut(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether only a class or id word says so; a heading group inside an article is not."""
-    if tag in CUT or tag == "header" and not inside:
-        return True, False
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False, False
-    worded = False
+    `inside` an article a heading group is none, and in its `prose` neither is a button or label.
+    """
+    if tag in CUT and not (inside and prose and tag in SPOKEN) or tag == "header" and not inside:
+        return True, ""
+    if not attributes or tag in ("html", "body", "main"):
+        return False, ""
+    worded = ""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name in ("class", "id"):
-            worded |= has_cut_word(value) and not (inside and tag in ("h1", "h2", "h3", "p"))
+            if tag == "article":
+                worded = "word" if named_only(value, COMMENT_WORDS) else worded
+            elif not inside:
+                worded = "word" if has_cut_word(value) else worded
+            elif tag not in ("h1", "h2", "h3", "p"):
+                if named_only(value, CUT_WORDS - AMBIGUOUS):
+                    worded = "word"
+                elif named_only(value, CUT_WORDS):
+                    worded = worded or "maybe"
+        elif tag == "article":
+            continue
         elif name == "role" and value.lower() in CUT_ROLES:
-            return True, False
+            return True, ""
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True, False
+            return True, ""
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False
-    return worded, worded
+            return True, ""
+    return bool(worded), worded
 
 
 def parse(page: str) -> Node:
@@ -147,7 +194,8 @@ def parse(page: str) -> Node:
                     break
                 if open_nodes[i].tag in ends:
                     close(i)
-        node = Node(tag, *is_cut(tag, attributes, articles > 0))
+        prose = tag in SPOKEN and next((n.tag in PROSE for n in reversed(open_nodes) if n.tag in BLOCKS), False)
+        node = Node(tag, *is_cut(tag, attributes, articles > 0, prose))
         if tag in ("article", "main") and not any(has_cut_word(v) for k, v in ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id")):
             for n in reversed(open_nodes) if all(n.tag != "article" for n in open_nodes) else ():  # not a card inside an article
                 if n.marked:
@@ -167,25 +215,30 @@ def parse(page: str) -> Node:
 
 
 def keep_wrappers(root: Node) -> None:
-    """Undo cuts by a class or id word around an article, or around most of the characters outside links."""
+    """Undo cuts by a class or id word around an article, around most of the characters outside links, and, under an
+    ambiguous name inside an article, around a block of text."""
     nodes, todo = [], [root]
     while todo:
         n = todo.pop()
         nodes.append(n)
-        todo.extend(c for c in n.children if isinstance(c, Node) and (n.tag != "a") and (c.worded or not c.cut))
+        todo.extend(c for c in n.children if isinstance(c, Node) and (c.worded or not c.cut))
     if not any(n.worded for n in nodes):
         return
     for n in reversed(nodes):
-        n.chars = 0
-        if n.tag != "a":
-            for c in n.children:
-                if isinstance(c, str):
-                    n.chars += len(c) - c.count(" ") if not c.isspace() else 0
-                elif c.worded or not c.cut:
-                    n.chars += c.chars
+        n.chars = n.link_chars = 0
+        for c in n.children:
+            if isinstance(c, str):
+                n.chars += len(c) - c.count(" ") if not c.isspace() else 0
+            elif c.worded or not c.cut:
+                n.chars += c.chars
+                n.link_chars += c.link_chars
+        if n.tag == "a":
+            n.chars, n.link_chars = 0, n.link_chars + n.chars
     for n in nodes:
         if n.worded and (n.marked or n.chars * WRAPS[1] > root.chars * WRAPS[0]):
             n.cut = False
+        elif n.worded == "maybe" and n.chars >= SHORT and n.chars > n.link_chars:
+            n.cut = False
 
 
 def ordered(root: Node) -> list[Node]:

@@ -115,6 +115,19 @@ def test_one_of_each_keeps_columns(spark):
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == want
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    base = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    near = base["a"].replace("a59", "z")
+    rows = [(1, base["a"]), (1, base["b"]), (2, near), (3, base["b"]), (3, base["c"]), (3, base["c"]), (4, base["d"]), (5, base["d"]),
+            (6, ""), (6, None), (6, base["a"]), (7, None), (None, base["a"]), (0, base["c"] + " c60")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_components(frame(spark, rows)).where("doc_id is not null").collect())
+    assert got == sorted([(1, 58, 1), (1, 58, 1), (2, 58, 1), (3, 58, 1), (3, 58, 0), (3, 58, 0), (4, 58, 4), (5, 58, 4), (6, 0, 6), (6, 0, 6), (6, 58, 1), (7, 0, 7), (0, 59, 0)])
+    kept = [(r.doc_id, r.text) for r in ngram_join.one_of_each(frame(spark, rows)).collect()]
+    want = [(1, base["a"]), (1, base["b"]), (0, base["c"] + " c60"), (4, base["d"]), (6, ""), (6, None), (7, None), (None, base["a"])]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+    assert ngram_join.one_of_each(frame(spark, [])).collect() == []
+
+
 def test_components_of_long_chains(spark):
     n = 300
     edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(

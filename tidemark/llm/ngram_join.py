@@ -11,10 +11,8 @@ A document's set is its distinct word n-grams.  Two documents link when
    and is no key: a set with more parts in use than a link may differ in agrees
    with every partner on a part in use.  Sets with fewer are cut again by other
    hashes, and only those short in every cut key their empty parts, so no link is
-   lost.  Of each part only the first class of
-   a slice of documents travels, packed with others of its bucket; the rest of the
-   slice is tied to that first one on the spot, so a part that a third of all
-   documents share costs its bucket one entry per slice.
+   lost.  A slice of documents sends each of its distinct classes once per part,
+   packed with others of the bucket, sixteen bytes each; copies never travel twice.
    Sets that share a part are then held apart by an exact bound: a parity sketch
    changes at most one bit per differing element, so more differing bits than the
    threshold allows elements rule a pair out.  What is left forms candidate
@@ -34,8 +32,8 @@ A document's set is its distinct word n-grams.  Two documents link when
    asking sets, and no pair is lost.
 
 Edge cases: null, empty and wordless texts have size 0 and link with nothing;
-fewer than n words make one n-gram of the whole sequence; repeated rows and ids
-are copies; a null id takes no part in the links and is its own component
+fewer than n words make one n-gram of the whole sequence; repeated rows are copies,
+and rows that share an id but no set are documents of their own; a null id takes no part in the links and is its own component
 (null); extra columns are ignored; an empty table gives an empty result.
 Very long texts are hashed in numpy, whole.  N-grams are compared by 64-bit
 hash, sets of one class by two sums of independently mixed hashes.
@@ -50,6 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import store
 from tidemark.llm import tokens as tk
@@ -331,10 +330,12 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             for piece in tk.slices(batch, limit=tk.SLICE_BYTES // 4):
                 values, offsets = document_sets(piece.column("text"), n)
                 sets = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
+                rows = pa.RecordBatch.from_arrays(
                     [piece.column(c) for c in ("cls", "block", "shard", "part", "query")] + [sets.cast(pa.list_(pa.int64()))],
                     names=["cls", "block", "shard", "part", "query", "grams"],
                 )
+                # an id may have other texts
+                yield rows.filter(pa.array(set_keys(values, offsets)[0] == piece.column("cls").to_numpy()))
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return (
@@ -418,6 +419,11 @@ def similar_components(
     docs: DataFrame, n: int = 3, percent: int = 90, block_rows: int = 4000
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text)."""
+    return labelled(*linked(docs, n, percent, block_rows))
+
+
+def linked(docs: DataFrame, n: int, percent: int, block_rows: int = 4000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, their classes, and links (a, b) that join each component of classes."""
     signed = store.written(signatures(docs, n), "signatures")
     classes = store.written(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -454,14 +460,18 @@ def similar_components(
     for rows in (stays, asked, asks, below, above):
         wanted = wanted.union(rows.select(*names))
 
-    links = store.written(shard_links(class_sets(docs, wanted, n), percent), "links")
-    return labelled(signed, classes, links)
+    return signed, classes, store.written(shard_links(class_sets(docs, wanted, n), percent), "links")
+
+
+def rooted_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes with the root of their component."""
+    groups = store.components(links)
+    return classes.join(groups, F.col("s1") == F.col("node"), "left").withColumn("root", F.coalesce("root", "s1"))
 
 
 def labelled(signed: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
     """Each signed row with the smallest doc_id its class reaches over the links."""
-    groups = store.components(links)
-    rooted = classes.join(groups, F.col("s1") == F.col("node"), "left").withColumn("root", F.coalesce("root", "s1"))
+    rooted = rooted_classes(classes, links)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("s1", "s2", "n_shingles", "component_id")
     lone = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -469,14 +479,43 @@ def labelled(signed: DataFrame, classes: DataFrame, links: DataFrame) -> DataFra
     return full.join(named, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "component_id").union(lone)
 
 
+def signed_rows(docs: DataFrame, n: int) -> DataFrame:
+    """The rows with their size and set sums as __n, __s1 and __s2."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in tk.slices(batch):
+                values, offsets = document_sets(piece.column("text"), n)
+                sums = [np.diff(offsets), *set_keys(values, offsets)]
+                yield pa.RecordBatch.from_arrays(
+                    [*piece.columns, *[pa.array(x) for x in sums]], names=[*piece.schema.names, "__n", "__s1", "__s2"]
+                )
+
+    longs = [T.StructField(c, T.LongType()) for c in ("__n", "__s1", "__s2")]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *longs]))
+
+
 def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """The rows of `docs` that stay when of each component only its smallest document does.
 
-    Rows without words stay; of rows that repeat an id one of them (the first by text) stays.
+    Rows without words or id stay.  A document is an id with a set: of rows that share
+    an id, those of different components each stay, of equal sets the first by text does.
     """
-    found = similar_components(docs, n, percent)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    ranked = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi")
-    nameless = docs.where("doc_id IS NULL")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    return ranked.withColumn("__turn", turn).where("__turn = 1").drop("__turn").select(*docs.columns).union(nameless)
+    signed, classes, links = linked(docs, n, percent)
+    first = F.struct(F.col("least").alias("doc_id"), "s1", "s2")
+    stay = store.written(rooted_classes(classes, links).groupBy("root").agg(F.min(first).alias("d")).select("d.*"), "stay")
+    shared = store.written(signed.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "shared_ids")
+    # an id that only one row has needs no second look at its text
+    lone = docs.join(shared, "doc_id", "left_anti").where("doc_id IS NOT NULL")
+    wordless = signed.where("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id")
+    kept = lone.join(stay.select("doc_id").union(wordless), "doc_id", "left_semi")
+    again = signed_rows(docs.join(shared, "doc_id", "left_semi").select(*docs.columns), n)
+    named = stay.select(F.col("doc_id").alias("__id"), F.col("s1").alias("__a"), F.col("s2").alias("__b"))
+    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__s1") == F.col("__a")) & (F.col("__s2") == F.col("__b"))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "__s1", "__s2").orderBy("text"))
+    several = again.where("__n > 0").join(named, same, "left_semi").withColumn("__turn", turn).where("__turn = 1")
+    blank = again.where("__n = 0")
+    out = kept.select(*docs.columns)
+    for rows in (several, blank, docs.where("doc_id IS NULL")):
+        out = out.unionAll(rows.select(*docs.columns))
+    return out

@@ -577,6 +577,67 @@ def backtest_measures(spark, sf):
     return ts.backtest_measures(ts.deviations(elementary_trials(spark, sf).where("method = 'drift'")))
 
 
+# A whole projection run over the four elementary methods: trials and blend, choice, bands, forecasts, tables.
+PROJECTED = f"""{ENSEMBLE},
+  every AS (SELECT segment, method, cut, step, position, period, actual, predicted FROM tr
+            UNION ALL SELECT segment, 'ensemble', cut, step, position, period, actual, predicted FROM en),
+  missed AS (SELECT segment, method, avg(mae) AS mae FROM (SELECT segment, method, cut, avg(abs(predicted - actual)) AS mae FROM every GROUP BY ALL) GROUP BY ALL),
+  best AS (SELECT segment, method FROM missed QUALIFY row_number() OVER (PARTITION BY segment ORDER BY mae, method) = 1),
+  er AS (SELECT segment, method, step, (predicted - actual) / abs(actual) AS e FROM every WHERE actual <> 0),
+  bd AS (SELECT segment, method, step, quantile_cont(e, 0.1) AS low_error, quantile_cont(e, 0.9) AS high_error FROM er GROUP BY ALL HAVING count(*) >= 2),
+  ends AS (SELECT segment, max(n) AS n, max(period) AS last_period, max_by(value, i) AS last, min_by(value, i) AS first,
+                  avg(value) FILTER (WHERE i >= n - 12) AS ma FROM p GROUP BY 1),
+  ahead AS (
+    SELECT e.*, step, sn.value AS sn FROM ends e, (VALUES (1), (2), (3)) v(step) JOIN p sn ON sn.segment = e.segment AND sn.i = e.n - 13 + step),
+  plain AS (
+    SELECT segment, 'naive' AS method, step, last AS predicted FROM ahead UNION ALL SELECT segment, 'seasonal_naive', step, sn FROM ahead
+    UNION ALL SELECT segment, 'moving_average', step, ma FROM ahead
+    UNION ALL SELECT segment, 'drift', step, last + (last - first) / (n - 1) * step FROM ahead),
+  future AS (
+    SELECT * FROM plain UNION ALL
+    SELECT segment, 'ensemble', step, sum(predicted / mae) / sum(1 / mae) FROM plain JOIN missed USING (segment, method) GROUP BY ALL),
+  told AS (
+    SELECT segment, method, step::BIGINT AS step, predicted, CAST(last_period + to_months(CAST(step AS INTEGER)) AS DATE) AS period,
+           CAST(step * 30 AS BIGINT) AS days, CASE WHEN 1 + high_error > 0 THEN predicted / (1 + high_error) END AS low,
+           CASE WHEN 1 + low_error > 0 THEN predicted / (1 + low_error) END AS high
+    FROM future JOIN best USING (segment, method) JOIN ends USING (segment) LEFT JOIN bd USING (segment, method, step))"""
+
+KEYED = "CAST(strftime(period, '%Y%m%d') AS BIGINT) AS date_key"
+
+
+def elementary_projection(spark, sf):
+    return ts.Projection(priority_series(spark, sf), methods={m: forecasters.METHODS[m] for m in ELEMENTARY})
+
+
+@q("TS-25", f"WITH {PROJECTED} SELECT segment, method, step, {r('predicted')} AS predicted, period, days, {r('low')} AS low, {r('high')} AS high FROM told")
+def projected_elementary(spark, sf):
+    return elementary_projection(spark, sf).forecast()
+
+
+@q("TS-27", f"""
+  WITH {PROJECTED} SELECT segment, period, {r('value')} AS value, 'history' AS kind, '' AS method, NULL::BIGINT AS step, NULL::BIGINT AS days, NULL::DOUBLE AS low, NULL::DOUBLE AS high, {KEYED} FROM ser
+  UNION ALL SELECT segment, period, {r('predicted')}, 'projection', method, step, days, {r('low')}, {r('high')}, {KEYED} FROM told""")
+def forecast_table_elementary(spark, sf):
+    return elementary_projection(spark, sf).table()
+
+
+@q("TS-28", f"""
+  WITH {PROJECTED} SELECT segment, method, cut, step::BIGINT AS step, period, {r('actual')} AS actual, {r('predicted')} AS predicted,
+         {r('predicted - actual')} AS deviation, {r('(predicted - actual) / nullif(actual, 0) * 100')} AS deviation_pct FROM every JOIN best USING (segment, method)""")
+def actual_vs_projected_elementary(spark, sf):
+    return elementary_projection(spark, sf).actual_vs_projected()
+
+
+@q("TS-29", f"""
+  WITH {PROJECTED}, line AS (
+    SELECT segment, period, value AS historical, NULL::DOUBLE AS projected, NULL::DOUBLE AS low, NULL::DOUBLE AS high FROM ser
+    UNION ALL SELECT segment, period, NULL, predicted, low, high FROM told)
+  SELECT segment, period, {r('historical')} AS historical, {r('projected')} AS projected, {r('low')} AS low, {r('high')} AS high,
+         {r('coalesce(historical, projected)')} AS line, {r('(high - low) / projected * 100')} AS band_width_pct FROM line""")
+def projection_measures_elementary(spark, sf):
+    return ts.projection_measures(elementary_projection(spark, sf).table())
+
+
 @q("TS-29")
 def projection_measures(spark, sf):
     return ts.projection_measures(projection(spark, sf).table())

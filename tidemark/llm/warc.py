@@ -6,9 +6,16 @@ length, as archive tools write it, so a reader steps over a record without
 inflating it.
 
 Reading: the planner lists the archives and deals them, largest first, into
-partitions by size.  A task inflates only as much of a member as its headers
-need, applies the pushed record-type and header predicates, and inflates the
-payload of matching records alone; the rest is skipped by length.
+partitions by size; an archive larger than a partition is read in byte ranges, each
+beginning at the first member header after its start.  A task inflates only as much
+of a member as its headers need, applies the pushed record-type and header
+predicates, and inflates the payload of matching records alone; the rest is skipped
+by length.  Archives that others wrote are read as well: gzip members without
+stated lengths (inflated in one run, which one task does), plain ``.warc`` files, and
+records whose block is no HTTP message, whose payload is then the whole block.
+
+A path is a folder that this source wrote (its committed files), any other folder
+(its ``.warc`` and ``.warc.gz`` files) or one archive.
 
 Options: ``payload`` = ``full`` (default), ``verify`` (payload checked against
 its digest, then dropped) or ``none``; ``partition_bytes`` is the target size.
@@ -17,13 +24,21 @@ Rows: record_id, record_type, uri, refers_to, payload_digest, payload_bytes,
 payload (null for revisits, which carry headers alone).  All but the payload
 may be null.  Text that a header line cannot carry is percent-encoded under a
 starred header name.
+
+Edge cases: a null html is an empty payload; null ids and urls leave their headers
+out; repeated rows are records each; a payload of any length is held whole while
+its record is read or written, never more than one; other columns of the pages are
+ignored; an empty table gives a folder without archives and reads as no rows;
+a record that ends early or does not begin like one is an error that names the file.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
+import re
 import struct
 import urllib.parse
 import uuid
@@ -56,6 +71,9 @@ HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "uri": "WA
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "1970-01-01T00:00:00Z"  # no clock is read, so a repeated task writes the same bytes
 HEAD_BYTES = 4096
+FIXED = b"\x1f\x8b\x08\x04\0\0\0\0\x04\xff" + struct.pack("<H", 20) + b"sl" + struct.pack("<H", 16)  # begins a member
+BLANK = re.compile(rb"\r?\n\r?\n")
+SHA1 = re.compile("[A-Z2-7]{32}")
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -86,11 +104,8 @@ def record(row: dict) -> bytes:
     plain = head.encode() + block + b"\r\n\r\n"
     packer = zlib.compressobj(1, zlib.DEFLATED, -15)
     body = packer.compress(plain) + packer.flush()
-    extra = b"sl" + struct.pack("<HQQ", 16, len(body), len(plain))
-    return (
-        b"\x1f\x8b\x08\x04\0\0\0\0\x04\xff" + struct.pack("<H", len(extra)) + extra + body
-        + struct.pack("<II", zlib.crc32(plain), len(plain) & 0xFFFFFFFF)
-    )
+    lengths = struct.pack("<QQ", len(body), len(plain))
+    return FIXED + lengths + body + struct.pack("<II", zlib.crc32(plain), len(plain) & 0xFFFFFFFF)
 
 
 class Written(WriterCommitMessage):
@@ -135,57 +150,159 @@ class Writer(DataSourceArrowWriter):
 
 
 class Archives(InputPartition):
-    def __init__(self, names: list[str]):
-        self.names = names
+    """(name, first byte, byte after the last) of the pieces of archives that one task reads."""
+
+    def __init__(self, pieces: list[tuple[str, int, int]]):
+        self.pieces = pieces
 
 
-class Member:
-    """One gzip member: its headers, and its payload only when asked for."""
+class Record:
+    """A record's fields, and its block only as far as it is asked for."""
+
+    def __init__(self, head: bytes, rest: bytes):
+        lines = re.sub(rb"\r?\n[ \t]+", b" ", head).decode("utf-8", "replace").splitlines()
+        if not lines or not lines[0].startswith("WARC/"):
+            raise ValueError("not a WARC record")
+        self.rest, self.fields = rest, {}
+        for x in lines[1:]:
+            name, _, value = x.partition(":")
+            name, value = name.strip().lower(), value.strip()
+            if name.endswith("-star"):
+                name, value = name.removesuffix("-star"), urllib.parse.unquote(value[:-1])
+            self.fields[name] = value
+        self.length = int(self.fields.get("content-length", 0))
+
+    def _more(self) -> bool:
+        """Puts more of the block, and maybe what follows it, behind `rest`; False at its end."""
+        raise NotImplementedError
+
+    def http(self) -> tuple[int, int | None]:
+        """(where the payload begins in the block, its length; of a revisit the stated one)."""
+        if "application/http" not in self.fields.get("content-type", "").lower():
+            return 0, self.length
+        while not (end := BLANK.search(self.rest)) and len(self.rest) < self.length and self._more():
+            pass
+        begin = min(end.end(), self.length) if end else self.length
+        if self.fields.get("warc-type") != "revisit":
+            return begin, self.length - begin
+        stated = re.search(rb"(?mi)^content-length:\s*(\d+)", self.rest[:begin])
+        return begin, int(stated[1]) if stated else None
+
+    def payload(self) -> bytes:
+        begin, _ = self.http()
+        while len(self.rest) < self.length and self._more():
+            pass
+        if len(self.rest) < self.length:
+            raise EOFError("archive ends inside a record")
+        return self.rest[begin : self.length]
+
+
+class Member(Record):
+    """A gzip member that states its lengths."""
 
     def __init__(self, stream, fixed: bytes):
-        if fixed[:3] != b"\x1f\x8b\x08" or not fixed[3] & 4 or fixed[12:14] != b"sl":
+        if fixed[:16] != FIXED:
             raise ValueError("not a record member with its lengths in the extra field")
         self.packed, self.plain = struct.unpack("<QQ", fixed[16:32])
-        self.stream, self.read = stream, 0
-        self.inflater, self.text = zlib.decompressobj(-15), b""
-        while b"\r\n\r\n" not in self.text and self.read < self.packed:
-            self._more(HEAD_BYTES)
-        head, _, self.rest = self.text.partition(b"\r\n\r\n")
-        self.fields = {}
-        for x in head.decode().split("\r\n")[1:]:
-            name, _, value = x.partition(": ")
-            if name.endswith("-Star"):
-                name, value = name.removesuffix("-Star"), urllib.parse.unquote(value[:-1])
-            self.fields[name] = value
-
-    def _more(self, size: int) -> None:
-        chunk = self.stream.read(min(size, self.packed - self.read))
+        self.stream, self.read, self.inflater = stream, 0, zlib.decompressobj(-15)
+        self.rest = b""
+        while b"\r\n\r\n" not in self.rest and self._more():
+            pass
+        head, _, rest = self.rest.partition(b"\r\n\r\n")
+        super().__init__(head, rest)
+
+    def _more(self) -> bool:
+        if self.read == self.packed:
+            return False
+        chunk = self.stream.read(min(max(HEAD_BYTES, len(self.rest)), self.packed - self.read))
         if not chunk:
             raise EOFError("archive ends inside a record")
         self.read += len(chunk)
-        self.text += self.inflater.decompress(chunk)
-
-    def http(self) -> tuple[int, int]:
-        """(where the payload begins in the block, its stated length)."""
-        while b"\r\n\r\n" not in self.rest and self.read < self.packed:
-            before = len(self.text)
-            self._more(HEAD_BYTES)
-            self.rest += self.text[before:]
-        head = self.rest.partition(b"\r\n\r\n")[0]
-        size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-        return len(head) + 4, size
-
-    def payload(self) -> bytes:
-        begin, _ = self.http()
-        tail = self.stream.read(self.packed - self.read)
-        self.read = self.packed
-        block = self.rest + self.inflater.decompress(tail)
-        return block[begin : int(self.fields["Content-Length"])]
+        self.rest += self.inflater.decompress(chunk)
+        return True
 
     def skip(self) -> None:
         self.stream.seek(self.packed - self.read + 8, 1)
 
 
+class Loose(Record):
+    """A record of a plain stream of records."""
+
+    def __init__(self, stream, first: bytes):
+        self.stream, head = stream, first
+        while (x := stream.readline()) not in (b"\r\n", b"\n", b""):
+            head += x
+        super().__init__(head, b"")
+
+    def _more(self) -> bool:
+        chunk = self.stream.read(min(max(HEAD_BYTES, len(self.rest)), self.length - len(self.rest)))
+        self.rest += chunk
+        return bool(chunk)
+
+    def skip(self) -> None:
+        left = self.length - len(self.rest)
+        while left > 0 and (chunk := self.stream.read(min(left, 1 << 20))):
+            left -= len(chunk)
+
+
+def members(source, start: int, end: int) -> Iterator[Record]:
+    """The records that begin in [start, end) of an open archive."""
+    head = source.read(16)
+    if head[:16] == FIXED:
+        stream = io.BufferedReader(source, 1 << 20)
+        at = _next_member(stream, start)
+        while at is not None and at < end:
+            stream.seek(at)
+            fixed = stream.read(32)
+            if not fixed:
+                return
+            if fixed[:16] != FIXED:  # from here on somebody else's
+                stream.seek(at)
+                yield from _loose(gzip.GzipFile(fileobj=stream))
+                return
+            member = Member(stream, fixed)
+            yield member
+            at += 32 + member.packed + 8
+    elif start == 0:
+        source.seek(0)
+        stream = io.BufferedReader(source, 1 << 20)
+        yield from _loose(gzip.GzipFile(fileobj=stream) if head[:2] == b"\x1f\x8b" else stream)
+
+
+def _loose(stream) -> Iterator[Record]:
+    while first := stream.readline():
+        if first.strip():
+            found = Loose(stream, first)
+            yield found
+            found.skip()
+
+
+def _next_member(stream, start: int) -> int | None:
+    """Where the first member at or after `start` begins: its fixed bytes, and a member or the end behind it."""
+    if start == 0:
+        return 0
+    stream.seek(start)
+    held, base = b"", start
+    while True:
+        chunk = stream.read(1 << 20)
+        held += chunk
+        at = held.find(FIXED)
+        while at >= 0:
+            place = base + at
+            stream.seek(place + 16)
+            lengths = stream.read(16)
+            if len(lengths) == 16:
+                stream.seek(place + 32 + struct.unpack("<Q", lengths[:8])[0] + 8)
+                behind = stream.read(16)
+                if not behind or behind[:3] == b"\x1f\x8b\x08":
+                    return place
+            at = held.find(FIXED, at + 1)
+        if not chunk:
+            return None
+        base, held = base + len(held) - min(len(held), 15), held[-15:]
+        stream.seek(base + len(held))
+
+
 class Reader(DataSourceReader):
     def __init__(self, path: str, payload: str, partition_bytes: int):
         self.path, self.mode, self.partition_bytes = path, payload, partition_bytes
@@ -206,21 +323,25 @@ class Reader(DataSourceReader):
 
     def partitions(self):
         files, root = filesystem(self.path)
-        names = files.open_input_stream(f"{root}/_files", compression=None).read().decode().split()
-        sized = sorted(((files.get_file_info(f"{root}/{n}").size, n) for n in names), reverse=True)
-        dealt: list[list[str]] = []
+        sized = sorted(archives(files, root), reverse=True)
+        dealt: list[list[tuple[str, int, int]]] = []
         weight = 0
         for size, name in sized:
+            if size > 2 * self.partition_bytes:
+                pieces = -(-size // self.partition_bytes)
+                edge = [size * i // pieces for i in range(pieces + 1)]
+                dealt += [[(name, a, b)] for a, b in zip(edge, edge[1:])]
+                weight = self.partition_bytes
+                continue
             if not dealt or weight + size > self.partition_bytes:
                 dealt.append([])
                 weight = 0
-            dealt[-1].append(name)
+            dealt[-1].append((name, 0, size))
             weight += size
         return [Archives(x) for x in dealt] or [Archives([])]
 
-    def _values(self, member: Member) -> dict | None:
-        fields = member.fields
-        row = {c: fields.get(h) for c, h in HEADERS.items()}
+    def _values(self, member: Record) -> dict | None:
+        row = {c: member.fields.get(h.lower()) for c, h in HEADERS.items()}
         if row["payload_digest"]:
             row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
         for column, values in self.wanted:
@@ -232,32 +353,48 @@ class Reader(DataSourceReader):
             payload = member.payload()
             if self.mode == "full":
                 row["payload"] = payload
-            elif len(payload) != row["payload_bytes"] or sha1_base32(payload) != row["payload_digest"]:
+            elif SHA1.fullmatch(row["payload_digest"] or "") and sha1_base32(payload) != row["payload_digest"]:
                 raise ValueError(f"payload of {row['record_id']} does not match its digest")
         return row
 
     def read(self, partition: Archives):
-        files, root = filesystem(self.path)
+        files, _ = filesystem(self.path)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         schema = pa.schema([(n, pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string()) for n in names])
         held, weight = [], 0
-        for name in partition.names:
-            with files.open_input_file(f"{root}/{name}") as source, io.BufferedReader(source, 1 << 20) as stream:
-                while fixed := stream.read(32):
-                    member = Member(stream, fixed)
-                    row = self._values(member)
-                    member.skip()
-                    if row is None:
-                        continue
-                    held.append(row)
-                    weight += 200 + len(row["payload"] or b"")
-                    if weight > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(held, schema)
-                        held, weight = [], 0
+        for name, start, end in partition.pieces:
+            with files.open_input_file(name) as source:
+                try:
+                    for member in members(source, start, end):
+                        if (row := self._values(member)) is None:
+                            continue
+                        held.append(row)
+                        weight += 200 + len(row["payload"] or b"")
+                        if weight > 8 << 20:
+                            yield pa.RecordBatch.from_pylist(held, schema)
+                            held, weight = [], 0
+                except (EOFError, ValueError, zlib.error) as error:
+                    raise ValueError(f"{name}: {error}") from error
         if held:
             yield pa.RecordBatch.from_pylist(held, schema)
 
 
+def archives(files, root: str) -> list[tuple[int, str]]:
+    """(size, path) of every archive of a path."""
+    from pyarrow import fs
+
+    kind = files.get_file_info(root)
+    if kind.type == fs.FileType.File:
+        return [(kind.size, root)]
+    if kind.type != fs.FileType.Directory:
+        raise FileNotFoundError(root)
+    if files.get_file_info(f"{root}/_files").type == fs.FileType.File:
+        listed = files.open_input_stream(f"{root}/_files", compression=None).read().decode().split()
+        return [(files.get_file_info(f"{root}/{n}").size, f"{root}/{n}") for n in listed]
+    found = files.get_file_info(fs.FileSelector(root))
+    return [(f.size, f.path) for f in found if f.type == fs.FileType.File and f.base_name.endswith((".warc", ".warc.gz"))]
+
+
 class WarcSource(DataSource):
     @classmethod
     def name(cls):

@@ -161,6 +161,18 @@ def test_decontamination(spark, short):
     assert clean.count() == sum(not r.contaminated for r in got)
 
 
+def test_a_short_item_moves_no_clean_document(spark, monkeypatch):
+    kept = []
+    real = store.written
+    monkeypatch.setattr(store, "written", lambda df, name="part": kept.append((name, out := real(df, name))) or out)
+    items = [(1, " ".join(f"q{i}" for i in range(20))), (2, "needle"), (3, "two words")]
+    rows = [(i, f"doc{i} " + " ".join(f"x{i}y{j}" for j in range(30))) for i in range(300)]
+    rows += [(900, "a Needle here"), (901, "words two two words"), (902, " ".join(f"q{i}" for i in range(9)))]
+    got = {r.doc_id: r for r in decontam.report(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sorted(map(tuple, got.values())) == sorted(contaminated(rows, items))
+    assert {r.doc_id for r in dict(kept)["suspects"].collect()} <= {900, 901, 902} | {i for i in got if i < 10}
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontam.report(frame(spark, []), bench).collect() == []

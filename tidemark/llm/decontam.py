@@ -5,12 +5,16 @@ lower-cased over A-Z.  A window is `span` consecutive item words; an item of
 fewer words is one window.
 
 1. *Winnowing.*  Every k-word gram is hashed and of every w consecutive hashes
-   the least is kept; with w + k - 1 equal to the shortest window any shared
-   window leaves a shared fingerprint, so nothing is missed.
-2. *Join.*  Fingerprints of documents meet those of the benchmark.  The
-   benchmark side is a written table of known size, so Spark broadcasts it below
-   its own threshold and joins by shuffle beyond.
-3. *Extension.*  Documents meet the items that share a fingerprint, and all
+   the least is kept; with w + k - 1 equal to `span` any shared window leaves a
+   shared fingerprint, so nothing is missed.  An item of fewer words is its own
+   fingerprint, sought among the grams of just its length; it thickens nobody else's.
+2. *Screen.*  The benchmark's fingerprints set bits in a filter of fixed size.  A
+   document none of whose fingerprints has its bit set is clean on the spot and
+   never moves.  The others are written with the fingerprints that passed.
+3. *Join.*  Those fingerprints meet the benchmark's.  The benchmark side is a
+   written table of known size, so Spark broadcasts it below its own threshold and
+   joins by shuffle beyond.
+4. *Extension.*  Documents meet the items that share a fingerprint, and all
    windows of those items are laid on the whole document: every covered word is
    a hit.
 
@@ -31,6 +35,9 @@ from pyspark.sql import types as T
 from tidemark.llm import store
 from tidemark.llm import tokens as tk
 
+U64 = tk.U64
+FILTER_BITS = 1 << 24
+
 
 def row_hash() -> Column:
     """What joins a document to its hits: equal for equal rows, safe for null and repeated ids."""
@@ -66,33 +73,51 @@ def item_words(items: DataFrame) -> DataFrame:
     return kept.distinct().mapInArrow(run, "item_id long, words array<long>").where("size(words) > 0")
 
 
-def item_fingerprints(items: DataFrame, span: int, k: int, w: int) -> DataFrame:
-    """(print, item_id, item): every distinct fingerprint of every item's windows."""
-
-    def run(batches):
-        for batch in batches:
-            first = np.concatenate([[0], np.cumsum(np.diff(batch.column("words").offsets.to_numpy()))])
-            hashes = batch.column("words").flatten().to_numpy(zero_copy_only=False).view(tk.U64)
-            owner, value = fingerprints(hashes, first, k, w)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(value), batch.column("item_id").take(pa.array(owner)), batch.column("item").take(pa.array(owner))],
-                names=["print", "item_id", "item"],
-            )
-
-    return items.mapInArrow(run, "print long, item_id long, item long").distinct()
+def whole_grams(hashes: np.ndarray, first: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every m-word gram, told apart from those of other lengths."""
+    counts = np.maximum(np.diff(first) - m + 1, 0)
+    value = tk.grams(hashes, m)[tk.ranges(first[:-1], counts)]
+    return np.repeat(np.arange(len(counts)), counts), tk.mix(value + U64(m)).view(np.int64)
 
 
-def document_fingerprints(docs: DataFrame, k: int, w: int) -> DataFrame:
-    """(row, print) of every document, once for each slice."""
+def item_fingerprints(items: DataFrame, span: int, k: int) -> DataFrame:
+    """(print, item): every distinct fingerprint of every item's windows."""
 
     def run(batches):
         for batch in batches:
-            for rows in tk.slices(batch):
-                found = tk.words(rows.column("text"), tk.NOT_ALNUM, fold=True)
-                owner, value = fingerprints(found.hashes, found.first, k, w)
-                yield pa.RecordBatch.from_arrays([rows.column("row").take(pa.array(owner)), pa.array(value)], names=["row", "print"])
-
-    return docs.select(row_hash().alias("row"), "text").mapInArrow(run, "row long, print long")
+            first = np.concatenate([[0], np.cumsum(np.diff(batch.column("words").offsets.to_numpy()))])
+            hashes = batch.column("words").flatten().to_numpy(zero_copy_only=False).view(tk.U64)
+            found = [fingerprints(hashes, first, k, span - k + 1)]
+            size = np.diff(first)
+            for m in np.unique(size[size < span]).tolist():
+                owner, value = whole_grams(hashes, first, m)
+                own = size[owner] == m
+                found.append((owner[own], value[own]))
+            owner, value = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(value), batch.column("item").take(pa.array(owner))], names=["print", "item"])
+
+    return items.mapInArrow(run, "print long, item long").distinct()
+
+
+def filter_bits(prints: DataFrame) -> np.ndarray:
+    """A filter of `FILTER_BITS` bits in which every fingerprint's low bits are set."""
+    rows = prints.groupBy(F.shiftright(F.col("print").bitwiseAND(FILTER_BITS - 1), 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(print & 63 as int))")).alias("bits")
+    ).toArrow()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[rows.column("w").to_numpy()] = rows.column("bits").to_numpy()
+    return bits.view(U64)
+
+
+def passing(found: tk.Words, span: int, k: int, lengths: list[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, fingerprint) of the documents' fingerprints whose bit is set."""
+    every = [fingerprints(found.hashes, found.first, k, span - k + 1), *[whole_grams(found.hashes, found.first, m) for m in lengths]]
+    out = []
+    for owner, value in every:
+        low = value.view(U64) & U64(FILTER_BITS - 1)
+        there = (bits[low >> U64(6)] >> (low & U64(63))) & U64(1) == 1
+        out.append((owner[there], value[there]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def lay_on(doc: np.ndarray, items: list[np.ndarray], span: int) -> tuple[np.ndarray, list[int]]:
@@ -121,17 +146,45 @@ def marked(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 4) -> Dat
     """
     known = store.written(
         item_words(items).withColumn("item", F.xxhash64("item_id", "words")), "items")
-    least = known.agg(F.min(F.least(F.size("words"), F.lit(span))).alias("m")).first().m or span
-    k = min(k, least)
-    w = least - k + 1
-    prints = store.written(item_fingerprints(known, span, k, w), "prints")
-    near = document_fingerprints(docs, k, w).join(prints, "print").select("row", "item_id", "item").distinct()
-    near = near.join(known.select("item", "words"), "item").groupBy("row").agg(
+    k = min(k, span)
+    prints = store.written(item_fingerprints(known, span, k), "prints")
+    lengths = sorted(r.m for r in known.select(F.size("words").alias("m")).where(F.col("m") < span).distinct().collect())  # under `span`
+    bits = filter_bits(prints)
+    names = docs.columns
+    told = T.StructType.fromDDL("__hits struct<n_words: bigint, n_hit: bigint, items: array<bigint>, spans: array<array<bigint>>>")
+
+    def suspects(batches):
+        for batch in batches:
+            for rows in tk.slices(batch):
+                found = tk.words(rows.column("text"), tk.NOT_ALNUM, fold=True)
+                owner, value = passing(found, span, k, lengths, bits)
+                order = np.argsort(owner, kind="stable")
+                at, begin = np.unique(owner[order], return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(owner)).astype(np.int32)), pa.array(value[order]))
+                yield pa.RecordBatch.from_arrays([*rows.take(pa.array(at)).columns, lists], names=[*names, "__row", "__prints"])
+
+    def others(batches):
+        for batch in batches:
+            for rows in tk.slices(batch):
+                found = tk.words(rows.column("text"), tk.NOT_ALNUM, fold=True)
+                clean = np.ones(len(found), bool)
+                clean[passing(found, span, k, lengths, bits)[0]] = False
+                at = pa.array(np.flatnonzero(clean))
+                n = pa.array(found.counts[clean])
+                none = pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1, np.int32)), pa.array([], pa.int64()))
+                nowhere = pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1, np.int32)), pa.array([], pa.list_(pa.int64())))
+                zero = pa.array(np.zeros(len(at), np.int64))
+                hits = pa.StructArray.from_arrays([n, zero, none, nowhere], fields=list(HITS))
+                yield pa.RecordBatch.from_arrays([*rows.take(at).columns, hits], names=[*names, "__hits"])
+
+    fields = [*docs.schema.fields, T.StructField("__row", T.LongType()), T.StructField("__prints", T.ArrayType(T.LongType()))]
+    suspected = store.written(docs.withColumn("__row", row_hash()).mapInArrow(suspects, T.StructType(fields)), "suspects")
+    near = suspected.select(F.col("__row").alias("row"), F.explode("__prints").alias("print")).distinct().join(prints, "print")
+    near = near.select("row", "item").distinct().join(known.select("item", "item_id", "words"), "item").groupBy("row").agg(
         F.collect_list(F.struct("item_id", "words")).alias("__near"))
-    near = store.written(near, "near")
     # hits grow with the corpus, so they are never sent whole to every task
-    near = near.withColumnRenamed("row", "__row").hint("merge")
-    named = docs.withColumn("__row", row_hash()).join(near, "__row", "left").drop("__row")
+    near = store.written(near, "near").withColumnRenamed("row", "__row").hint("merge")
+    asked = suspected.join(near, "__row", "left")
 
     def run(batches):
         for batch in batches:
@@ -160,9 +213,9 @@ def marked(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 4) -> Dat
                 kept = [rows.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*kept, hits], names=[*names, "__hits"])
 
-    names = docs.columns
-    told = T.StructType.fromDDL("__hits struct<n_words: bigint, n_hit: bigint, items: array<bigint>, spans: array<array<bigint>>>")
-    return named.select(*[F.col(f"`{c}`") for c in names], "__near").mapInArrow(run, T.StructType(docs.schema.fields + told.fields))
+    shown = T.StructType(docs.schema.fields + told.fields)
+    laid = asked.select(*[F.col(f"`{c}`") for c in names], "__near").mapInArrow(run, shown)
+    return docs.mapInArrow(others, shown).unionAll(laid)
 
 
 HITS = pa.struct(

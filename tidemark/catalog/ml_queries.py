@@ -36,7 +36,10 @@ def prepared_features(spark, sf):
     return ready.drop("l_shipdate")
 
 
-@q("ML-01 ML-04")
+@q("ML-01 ML-04", """
+  WITH j AS (SELECT l.doc_id, lang, source FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+  w AS (SELECT 1 + (count(DISTINCT lang) + 2) + (count(DISTINCT source) + 2) AS width FROM j)
+  SELECT doc_id, width FROM j, w""")
 def encoded_features(spark, sf):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array

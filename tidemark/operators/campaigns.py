@@ -180,8 +180,9 @@ def campaign_panel(sales: DataFrame, windows: DataFrame, scope: DataFrame | None
         grouped = (F.col("__level").bitwiseAND(F.lit(mask))) == 0
         dimension = F.when(grouped, F.lit(s)).otherwise(dimension)
         member = F.when(grouped, F.col(s).cast("string")).otherwise(member)
-    sums = sums.select(*base, dimension.alias("dimension"), member.alias("member"),
-                       "rows", "units", "amount", "cost", "clients")
+    # read twice, for the grid and for its cells; a row a member, small beside the sales
+    sums = landed(sums.select(*base, dimension.alias("dimension"), member.alias("member"),
+                              "rows", "units", "amount", "cost", "clients"))
 
     # every window for each member that any window saw, and for the total; members are never collected
     dimensions = F.array(*[F.lit(d) for d in ("TOTAL", *segments)])

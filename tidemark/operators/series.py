@@ -121,6 +121,9 @@ def run_methods(s: DataFrame, horizon: int = 3, cycle: int = 12, origins: int =
     usable = F.least(F.lit(origins), n - horizon - least + 1)
     cuts = F.concat(F.transform(F.sequence(F.lit(1), usable), lambda k: n - horizon - usable + k), F.array(n))
     rows = rows.where(usable > 0).select("segment", "__h", F.explode(cuts).alias("__cut"))
+    # a cut is much work on few bytes, which adaptive execution would put into one task
+    tasks = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "segment", "__cut")
     rows = rows.withColumn("__y", F.transform(F.slice("__h", F.lit(1), F.col("__cut")), lambda x: x["value"]))
     outcomes = F.array(*[F.struct(F.lit(name).alias("method"), fn(F.col("__y"), horizon, cycle).alias("out"))
                          for name, fn in table.items()])

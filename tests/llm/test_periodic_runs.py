@@ -18,16 +18,12 @@ SF = "/root/testdata/sf0.001"
 def plain(x):
     """(start, period, length) of every run, ascending."""
     found = {}
+    x = np.unique(x, return_inverse=True)[1] if len(x) else np.zeros(0, int)
     for q in range(1, len(x) // 4 + 1):
-        i = q
-        while i < len(x):
-            j = i
-            while j < len(x) and x[j] == x[j - q]:
-                j += 1
-            start, length = i - q, j - i + q
-            if j > i and length >= max(6, 4 * q):
-                found[start, length] = min(q, found.get((start, length), q))
-            i = max(j, i + 1)
+        same = np.concatenate([[0], x[q:] == x[:-q], [0]]).astype(int)
+        for start, end in zip(np.flatnonzero(np.diff(same) == 1).tolist(), np.flatnonzero(np.diff(same) == -1).tolist()):
+            if end + q - start >= max(6, 4 * q):
+                found[start, end + q - start] = min(q, found.get((start, end + q - start), q))
     return sorted((s, q, m) for (s, m), q in found.items())
 
 
@@ -70,9 +66,19 @@ def test_runs_of_many_short_texts():
 def test_runs_longer_than_a_block(block):
     rng = random.Random(block)
     texts = [looping(rng, 7000, [1, 3, 20, 250, 300, 400, 700]) for _ in range(6)] + [[7] * 9000, [1, 2, 1, 3, 1] * 2500]
+    fibonacci = [0], [0, 1]
+    while len(fibonacci[1]) < 900:
+        fibonacci = fibonacci[1], fibonacci[1] + fibonacci[0]
+    noise = [rng.randrange(10**6) for _ in range(900)]
+    texts += [([7] * 900 + [8]) * 5, ([7] * 450 + [1, 2] * 300 + noise[:9]) * 5, [9] * 50 + (fibonacci[1][:900] + [5]) * 5 + [1, 2],
+              (noise + [3] * 800) * 4 + noise[:50], [1, 2] * 5000 + noise * 5, fibonacci[1] * 6]
     assert got(texts, block) == [plain(x) for x in texts]
 
 
+def test_a_single_word_a_million_times():
+    assert got([[4] * 1_000_000 + [5]]) == [[(0, 1, 1_000_000)]]
+
+
 def test_link_cut_access_finds_every_last_occurrence():
     rng = random.Random(4)
     for _ in range(300):

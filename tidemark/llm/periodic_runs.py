@@ -18,7 +18,10 @@ A run is a stretch of words with smallest period q and length of `LEAST` words a
 A zone of more than `BLOCK` words is read in overlapping blocks, which hold every run of
 a period up to an eighth of a block.  Longer periods are sought in the zone's content-cut
 chunks, a shorter word sequence that repeats where the words do, by the same search,
-and verified in the words.  So memory follows a block or a text, not a run.
+and verified in the words.  Chunks begin at the least of the grams that are new within
+`CHUNK` words, and at the edges of long runs of short periods, which have no new
+grams.  So memory follows a block or a text.  Only a zone with long stretches that have
+no new gram and yet no period goes through one automaton whole.
 
 Edge cases: null and empty texts have no words and no runs; repeated ids and rows are
 rows like others; with a null id nothing is rewritten in `digests`; extra columns are
@@ -141,11 +144,18 @@ def numbered(hashes: np.ndarray) -> list[int]:
     return np.unique(hashes, return_inverse=True)[1].tolist()
 
 
-def chunks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts of content-cut chunks, hash of each but the last): the leftmost least gram of a window begins one."""
+def chunks(hashes: np.ndarray, edges: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of content-cut chunks, hash of each but the last): the least new gram of `CHUNK` on either side, and `edges`."""
     g = tk.grams(hashes, GRAM)
-    least = tk.sliding_min((g & ~U64(PLACES - 1)) | np.arange(len(g), dtype=U64), CHUNK)
-    at = np.unique((least & U64(PLACES - 1)).astype(np.int64))
+    order = np.argsort(g, kind="stable")
+    fresh = np.ones(len(g), bool)
+    near = (g[order[1:]] == g[order[:-1]]) & (order[1:] - order[:-1] <= CHUNK)
+    fresh[order[1:][near]] = False
+    most = U64(0xFFFFFFFFFFFFFFFF)
+    value = np.where(fresh, g, most)
+    least = tk.sliding_min(np.concatenate([np.full(CHUNK, most), value, np.full(CHUNK, most)]), CHUNK)
+    first = fresh & (value < least[: len(g)]) & (value <= least[CHUNK + 1 : CHUNK + 1 + len(g)])
+    at = np.unique(np.concatenate([np.flatnonzero(first), np.array(edges, np.int64)]))
     powers, inverses = tk._powers(len(hashes) + 1)
     sums = np.zeros(len(hashes) + 1, U64)
     np.cumsum(tk.mix(hashes) * powers[: len(hashes)], out=sums[1:])
@@ -157,10 +167,21 @@ def sought(hashes: np.ndarray, block: int, times: int = TIMES, least: int = LEAS
     n = len(hashes)
     if n <= block:
         return repeats(numbered(hashes), times, least)
-    out = []
-    for at in range(0, n - block // 2, block // 2):
-        out += [(at + i, p) for i, p in repeats(numbered(hashes[at : at + block]), times, least)]
-    at, symbols = chunks(hashes)
+    out, long_ = [], {}
+    for begin in range(0, n - block // 2, block // 2):
+        for i, p in repeats(numbered(hashes[begin : begin + block]), times, least):
+            place = begin + i
+            out.append((place, p))
+            if not any(s + p <= place < e for s, e in long_.get(p, ())):
+                s, e = extended(hashes, place, p)
+                if e - s >= block // 8:
+                    long_.setdefault(p, []).append((s, e))
+    covered = sorted(span for spans in long_.values() for span in spans)
+    at, symbols = chunks(hashes, [min(x, n) for span in covered for x in span])
+    ends = np.concatenate([[0], at, [n]])
+    for a, b in zip(ends[:-1], ends[1:]):
+        if b - a > block // 4 and not any(s <= a and b <= e for s, e in covered):
+            return out + repeats(numbered(hashes), times, least)
     for i, p in sought(symbols, block, 3, 3):  # chunks at a run's edges may differ, so a run has almost its periods
         out.append((int(at[i]), int(at[i + 1] - at[i + 1 - p])))
     return out

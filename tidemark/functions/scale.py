@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = "spark.checkpoint.dir"
+# Types of which Spark's frequent-items sketch counts values; keys of others join plainly.
+COUNTED = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean", "string", "date", "timestamp")
 _LOCAL: dict[str, str] = {}  # application -> its folder, where none is declared
 
 
@@ -137,7 +139,7 @@ def spread_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     usual.  Both columns stay; the result is that of a plain left join.
     """
     kinds = dict(left.dtypes)
-    if kinds[left_key].startswith(("array", "map", "struct", "binary", "variant")):
+    if not kinds[left_key].startswith(COUNTED):
         return left.join(right, F.col(left_key) == F.col(right_key), "left")
     hot = frequent(left, left_key)
     hashed = [F.col(c) for c, k in left.dtypes if "map<" not in k and k != "variant"]

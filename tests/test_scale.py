@@ -150,3 +150,14 @@ def test_stored_history_writes_only_what_changed(spark, tmp_path):
     shown = ["k", "name", "valid_from", "valid_to", "is_current", "version"]
     a, b = plain.where("k is not null").select(shown), spark.read.parquet(path).where("k is not null").select(shown)
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_sums_do_not_depend_on_the_order_of_rows(spark):
+    from tidemark.functions.scale import exact_sum
+
+    values = [0.1, 1e9, 0.2, 0.3, -1e9, 0.7]
+    got = {
+        spark.createDataFrame([(v,) for v in some], "v double").coalesce(1).agg(exact_sum("v").alias("s")).first().s
+        for some in (values, values[::-1], sorted(values))
+    }
+    assert got == {1.3}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scale import ordered_rank
+from ..functions.scale import exact_sum, ordered_rank
 from ..operators import kpis
 from ..operators import learning as ml
 from .base import Book, r, table
@@ -190,7 +190,7 @@ PORTFOLIO = """pf AS (SELECT c_custkey AS client, least(1.0::DOUBLE, greatest(0.
 
 
 def portfolio(spark, sf):
-    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("a"), F.max(F.col("o_orderdate").cast("date")).alias("d"))
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(exact_sum("o_totalprice").alias("a"), F.max(F.col("o_orderdate").cast("date")).alias("d"))
     c = table(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
     frame = c.select(
         F.col("c_custkey").alias("client"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(F.col("c_acctbal") / 10000, 3))).alias("p"),

@@ -108,6 +108,15 @@ def running_sums(df: DataFrame, sums: Mapping[str, str], order: Sequence[Column]
     return joined.select(*df.columns, *[(F.col(f"__i{i}") + F.col(f"__b{i}")).alias(c) for i, c in enumerate(sums)])
 
 
+def exact_sum(column: str) -> Column:
+    """Sum of a column of doubles that does not depend on the order of the rows.
+
+    Values are added as decimals of ten places, so equal rows give equal sums however they were dealt;
+    sums of doubles differ in their last bits, which decides between ranks that are tied in truth.
+    """
+    return F.sum(F.col(column).cast("decimal(28,10)")).cast("double")
+
+
 def hot_counted(counted: DataFrame, column: str, rows: str, share: float = 0.001) -> DataFrame:
     """Of counted values, the non-null ones that hold over `share` of all rows.
 

@@ -84,6 +84,17 @@ def test_near_keys_are_told_from_keys(spark):
     assert profiling.candidate_key(df.drop("k")) == ["almost", "z"]
 
 
+def test_near_keys_move_a_share_of_their_values(spark, monkeypatch):
+    """One repeat in many rows is found whichever share holds it, and the copies of a key are not all counted."""
+    df = spark.range(3000).select(F.when(F.col("id") == 2999, 7).otherwise(F.col("id")).alias("a"), *[F.col("id").alias(f"k{i}") for i in range(3)])
+    asked, unique = [], profiling.unique
+    monkeypatch.setattr(profiling, "unique", lambda d, combo, rows=None: asked.append(list(combo)) or unique(d, combo, rows))
+    assert profiling.first_unique(df, [["a"], ["k0"], ["k1"], ["k2"]], 3000) == ["k0"]
+    assert asked in ([["k0"]], [["a"], ["k0"]])
+    assert profiling.repeating(df.union(df), [["a"], ["k0"]]) == [True, True]
+    assert not unique(df, ["a"]) and unique(df, ["a", "k0"])
+
+
 def test_no_rule_is_cut(spark):
     df = spark.range(30).select("id", *[(F.col("id") + i).alias(f"amount_{i}") for i in range(12)])
     rules = profiling.suggest_rules({"t": df}).where("rule = 'non_negative'")

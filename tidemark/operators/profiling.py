@@ -17,7 +17,9 @@ KEY_TYPES = (*INTEGERS, "string", *DATES)
 NESTED = ("array", "map", "struct", "binary", "variant")
 EXHAUSTIVE = 4  # widest key that is searched among all combinations
 SKETCHES = 256  # in one aggregation
-EXACT = 16  # combinations that one exact aggregation decides
+EXACT = 16  # combinations whose first share of values one aggregation counts
+SHARE = 64  # that share: one in so many hashes
+PIECE = 2_000_000  # hashes a task counts
 SKETCH_ERROR = 0.08  # five standard errors of a sketch
 
 # Names that announce a magnitude, and names that announce a key.
@@ -73,17 +75,56 @@ def estimates(df: DataFrame, combos: Sequence[tuple[str, ...]]) -> dict[tuple[st
     return out
 
 
+def digest(combo: Sequence[str]) -> Column:
+    """The values of some columns as one digest, nulls and borders told apart."""
+    return F.md5(F.to_json(F.struct(*[F.col(c).cast("string") for c in combo]), {"ignoreNullFields": "false"}))
+
+
+def repeating(df: DataFrame, combos: Sequence[Sequence[str]]) -> list[bool]:
+    """Which combinations repeat a value among those whose hash falls into one share of `SHARE`.
+
+    All rows of such a value are seen, so a repeat is proof; the lack of one is not.
+    """
+    first = [F.pmod(F.xxhash64(*combo), F.lit(SHARE)) == 0 for combo in combos]
+    tuples = [F.when(there, F.struct(F.lit(i).alias("i"), digest(combo).alias("h"))) for i, (combo, there) in enumerate(zip(combos, first))]
+    counted = df.select(F.inline(F.array_compact(F.array(*tuples)))).groupBy("i", "h").agg(F.count(F.lit(1)).alias("n"))
+    found = {r.i for r in counted.where("n > 1").select("i").distinct().collect()}
+    return [i in found for i in range(len(combos))]
+
+
+def unique(df: DataFrame, combo: Sequence[str], rows: int | None = None) -> bool:
+    """Whether a combination repeats no value, from its 64-bit hashes; those that repeat are compared by their values.
+
+    Hashes are dealt out before they are counted, in pieces of bounded size: nearly all differ, so counting them first would only spill.
+    """
+    hashed = F.xxhash64(*combo)
+    hashes = df.select(hashed.alias("h"))
+    dealt = hashes.repartition("h") if rows is None else hashes.repartition(max(1, -(-rows // PIECE)), "h")
+    twice = dealt.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    if twice.isEmpty():
+        return True
+    same = df.withColumn("__h", hashed).join(twice, F.col("__h") == F.col("h"), "left_semi")
+    return same.groupBy(digest(combo).alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
 def unique_among(df: DataFrame, combos: Sequence[Sequence[str]]) -> list[bool]:
-    """Which combinations repeat no value, from one aggregation over digests of all of them."""
-    if not combos:
-        return []
-    tuples = [
-        F.struct(F.lit(i).alias("i"), F.md5(F.to_json(F.struct(*[F.col(c).cast("string") for c in combo]), {"ignoreNullFields": "false"})).alias("h"))
-        for i, combo in enumerate(combos)
-    ]
-    counted = df.select(F.inline(F.array(*tuples))).groupBy("i", "h").agg(F.count(F.lit(1)).alias("n"))
-    repeated = {r.i for r in counted.where("n > 1").select("i").distinct().collect()}
-    return [i not in repeated for i in range(len(combos))]
+    """Which combinations repeat no value."""
+    return [unique(df, combo) for combo in combos]
+
+
+def first_unique(df: DataFrame, combos: Sequence[Sequence[str]], rows: int) -> Sequence[str] | None:
+    """The first combination that repeats no value, if any.
+
+    A share of the values of all of them rules most out in one aggregation; what is
+    left is decided over all rows one by one, up to the first that is unique.
+    """
+    for at in range(0, len(combos), EXACT):
+        some = combos[at : at + EXACT]
+        ruled_out = repeating(df, some) if len(some) > 1 else [False]
+        for combo, out in zip(some, ruled_out):
+            if not out and unique(df, combo, rows):
+                return combo
+    return None
 
 
 def candidate_key(df: DataFrame, declared: Sequence[str] | None = None, stats: Mapping[str, dict] | None = None,
@@ -92,8 +133,7 @@ def candidate_key(df: DataFrame, declared: Sequence[str] | None = None, stats: M
 
     Combinations are searched level by level.  A level's candidates are those
     whose parts could reach the row count; one mergeable sketch each, in shared
-    aggregations, leaves a few, and one exact aggregation over digests decides
-    among these.  Past `exhaustive` columns the key is a minimal one: columns are
+    aggregations, leaves a few, and exact counts of their hashes decide among these.  Past `exhaustive` columns the key is a minimal one: columns are
     given up from the last to the first while the rest stays unique.  A table
     whose whole rows repeat has no key, which one check of all columns tells.
     """
@@ -105,7 +145,7 @@ def candidate_key(df: DataFrame, declared: Sequence[str] | None = None, stats: M
             if s["filled"] == rows and s["type"] in KEY_TYPES and not c.endswith("_hash")]
     if declared:
         usable = [c for c in declared if c in stats and stats[c]["filled"] == rows]
-        if usable and unique_among(df, [usable])[0]:
+        if usable and unique(df, usable, rows):
             return usable
     if not full:
         return None
@@ -122,17 +162,15 @@ def candidate_key(df: DataFrame, declared: Sequence[str] | None = None, stats: M
             known.update({c: r for c, r in reach.items() if r * (1 + SKETCH_ERROR) ** 2 < rows})
             known.update(estimates(df, [c for c in combos if c not in known]))
         likely = [c for c in combos if known[c] >= enough]
-        for at in range(0, len(likely), EXACT):
-            some = likely[at : at + EXACT]
-            found = [c for c, unique in zip(some, unique_among(df, some)) if unique]
-            if found:
-                return list(found[0])
-    if len(full) <= exhaustive or not unique_among(df, [full])[0]:
+        found = first_unique(df, likely, rows)
+        if found:
+            return list(found)
+    if len(full) <= exhaustive or not unique(df, full, rows):
         return None
     kept = list(full)
     for column in reversed(full):
         fewer = [c for c in kept if c != column]
-        if estimates(df, [tuple(fewer)])[tuple(fewer)] >= enough and unique_among(df, [fewer])[0]:
+        if estimates(df, [tuple(fewer)])[tuple(fewer)] >= enough and unique(df, fewer, rows):
             kept = fewer
     return kept
 
@@ -315,7 +353,7 @@ def starter_rules(df: DataFrame, name: str, kpis: int | None = None) -> DataFram
         c for c, s in stats.items()
         if s["filled"] == rows and s["type"] in (*INTEGERS, "string") and s["distinct"] >= rows * (1 - SKETCH_ERROR)
     ]
-    key = next((c for c, unique in zip(likely, unique_among(df, [[c] for c in likely])) if unique), None)
+    key = next(iter(first_unique(df, [[c] for c in likely], rows) or []), None)
     out = [("rule", "rows_min", None, float(max(1, rows // 2)))]
     found = [("kpi", "count", None, None)]
     for column, s in stats.items():
@@ -430,19 +468,19 @@ def infer_relations(tables: Mapping[str, DataFrame], threshold: float = 0.9) ->
     kept, ambiguous, used = [], [], set()
     kinds = {(t, c): k for t, df in tables.items() for c, k in df.dtypes}
 
-    def unique(end):
+    def one_side(end):
         r = own.get(end)
         return bool(r) and r.rows == r.filled == r.values and kinds[end] in KEY_TYPES
 
     for a, b in named:
         if a not in own or b not in own:  # an empty table
             continue
-        if unique(a) and unique(b) and own[a].rows == own[b].rows:
+        if one_side(a) and one_side(b) and own[a].rows == own[b].rows:
             ambiguous.append((*a, *b, "ambiguous", None))
             continue
-        if unique(b) and (not unique(a) or own[a].rows > own[b].rows):
+        if one_side(b) and (not one_side(a) or own[a].rows > own[b].rows):
             many, one = a, b
-        elif unique(a):
+        elif one_side(a):
             many, one = b, a
         else:
             continue

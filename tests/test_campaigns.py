@@ -130,3 +130,9 @@ def test_cohort_maturity_and_origin(spark, cal):
     got = {(str(r.cohort), r.period_index): (r.retention_pct, r.observable_periods, r.mature) for r in c.cohorts(sales, periods=2).collect()}
     assert got == {("2025-03-01", 0): (100.0, 1, False), ("2025-03-01", 1): (100.0, 1, False), ("2025-01-01", 0): (100.0, 3, True)}
     assert {r.origin for r in c.cohorts_by_origin(sales, cal).collect()} == {"spring", "outside campaigns"}
+
+
+def test_scope_rows_are_dealt_before_they_are_held(spark):
+    scope = spark.range(1000).selectExpr("'a' as campaign", "'1' as edition", "id % 900 as product")
+    out = c.campaign_scope(scope)
+    assert out.count() == 900 and len(out.inputFiles()) > 1

@@ -124,7 +124,13 @@ def campaign_windows(calendar: DataFrame, baseline: int = BASELINE_DAYS, carry:
 
 
 def campaign_scope(scope: DataFrame) -> DataFrame:
-    return landed(scope.select(*EDITION, "product").distinct())
+    """Distinct (campaign, edition, product), landed.
+
+    Rows are dealt to all shuffle partitions before any are held: nearly all differ, so distinct rows
+    held where few files are read, or where small bytes are joined to few tasks, would crowd a task.
+    """
+    tasks = int(scope.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return landed(scope.select(*EDITION, "product").repartition(tasks, *EDITION, "product").distinct())
 
 
 def _in_windows(sales: DataFrame, windows: DataFrame, scope: DataFrame | None) -> DataFrame:

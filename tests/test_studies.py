@@ -163,3 +163,12 @@ def test_long_runs_are_cut_in_turn(spark):
     turns = spark.createDataFrame(rows, "doc string, turn bigint, speaker string, start_s double, end_s double, text string")
     assert [(r.turn, r.speaker, len(r.text)) for r in tx.merge_turns(turns).orderBy("turn").collect()] == [
         (0, "A", 902), (3, "A", 902), (6, "A", 601), (8, "B", 300)]
+
+
+def test_growth_reads_its_facts_once(spark, tmp_path):
+    rows = [(date(y, m, 3), who, area, 10.0 * m, 1.0 * m) for y in (2023, 2024) for m in (1, 2) for who in ("us", "them") for area in ("n", None)]
+    spark.createDataFrame(rows, "day date, seller string, area string, amount double, units double").write.parquet(f"{tmp_path}/facts")
+    facts = spark.read.parquet(f"{tmp_path}/facts")
+    members = growth.decompose(facts, "day", "amount", F.col("seller") == "us", ["area"])
+    assert not [f for f in members.inputFiles() if str(tmp_path) in f]
+    assert {(r.member, r.own0, r.own1, r.market1) for r in members.collect()} == {("n", 30.0, 30.0, 60.0), ("—", 30.0, 30.0, 60.0)}

@@ -383,8 +383,9 @@ def growth_explained(spark, sf):
   UNION ALL SELECT 'strength', dimension, member, {r('abs(total) * 100')}, {r('own_growth')}, {r('market_growth')} FROM hi WHERE rn <= 2
   UNION ALL SELECT 'price', '—', '—', {r('abs(price_effect)')}, {r('units_change')}, NULL FROM pv WHERE abs(price_change) > 0.005""")
 def growth_opportunities(spark, sf):
-    members = landed(decomposed(spark, sf))
-    return growth.opportunities(members, growth.explain_members(members), own_prices(spark, sf))
+    facts = growth.monthly_facts(seller_sales(spark, sf), "day", ["amount", "units"], own(), DIMENSIONS)
+    members = landed(growth.decompose(facts, "day", "amount", F.col("own"), DIMENSIONS))
+    return growth.opportunities(members, growth.explain_members(members), growth.price_volume(facts, "day", "amount", "units", F.col("own")))
 
 
 # --- contact paths -----------------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div
+from ..functions.scale import landed
 
 MAX_MEMBERS = 40  # of a breakdown that can be read; see `left_out`
 TOP_DIMENSIONS = 4
@@ -45,12 +46,24 @@ def comparable_years(df: DataFrame, day: str) -> DataFrame:
     )
 
 
-def _both_years(df: DataFrame, day: str, value: str, own: Column, keys: Sequence[Column],
+def monthly_facts(df: DataFrame, day: str, values: Sequence[str], own: Column, dimensions: Sequence[str]) -> DataFrame:
+    """Facts summed per month, `own` and combination of members, landed once.
+
+    `day` becomes the month's first day.  All comparisons of years need only months, so every figure
+    of this module comes out of these rows as out of the facts, without joining or reading them again.
+    """
+    month = F.trunc(day, "month").alias(day)
+    return landed(df.groupBy(month, own.alias("own"), *dimensions).agg(*[F.sum(v).alias(v) for v in values]))
+
+
+def _both_years(df: DataFrame, day: str, value: str, own: Column, keys: Sequence[str],
                 extra: Sequence[str] = ()) -> DataFrame:
     """Sums of own and market, previous and current, per the given keys."""
-    periods = comparable_years(df, day)
+    names = [f"__k{i}" for i in range(len(keys))]
+    facts = monthly_facts(df.withColumns({n: F.col(k) for n, k in zip(names, keys)}), day, [value, *extra], own, names)
+    periods = comparable_years(facts, day)
     marked = (
-        df.withColumns({"__month": F.month(day), "__year": F.year(day), "__own": own})
+        facts.withColumns({"__month": F.month(day), "__year": F.year(day), "__own": F.col("own")})
         .join(F.broadcast(periods), F.col("__month") == F.col("month"))
         .withColumn("__now", F.col("__year") == F.col("current_year"))
         .where(F.col("__now") | (F.col("__year") == F.col("previous_year")))
@@ -62,7 +75,7 @@ def _both_years(df: DataFrame, day: str, value: str, own: Column, keys: Sequence
             for when, rows_when in (("0", ~F.col("__now")), ("1", F.col("__now"))):
                 chosen = F.when(rows & rows_when, F.col(column))
                 sums.append(F.coalesce(F.sum(chosen), F.lit(0.0)).alias(f"{side}{when}{tag}"))
-    return marked.groupBy(*keys).agg(*sums)
+    return marked.groupBy(*[F.col(n).alias(k) for n, k in zip(names, keys)]).agg(*sums)
 
 
 def decompose(df: DataFrame, day: str, value: str, own: Column, dimensions: Sequence[str]) -> DataFrame:
@@ -71,7 +84,7 @@ def decompose(df: DataFrame, day: str, value: str, own: Column, dimensions: Sequ
     Facts shrink first to one row per combination of members; only that table
     is then opened into (dimension, member) rows.
     """
-    combos = _both_years(df, day, value, own, [F.col(d) for d in dimensions])
+    combos = _both_years(df, day, value, own, dimensions)
     pairs = F.array(
         *[
             F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("—")).alias("member"))

@@ -133,6 +133,16 @@ def test_cohort_maturity_and_origin(spark, cal):
 
 
 def test_scope_rows_are_dealt_before_they_are_held(spark):
-    scope = spark.range(1000).selectExpr("'a' as campaign", "'1' as edition", "id % 900 as product")
+    scope = spark.range(1000).selectExpr("cast(id % 3 as string) as campaign", "cast(id % 2 as string) as edition", "id % 900 as product")
     out = c.campaign_scope(scope)
     assert out.count() == 900 and len(out.inputFiles()) > 1
+
+
+def test_sales_carry_windows_as_numbers(spark, cal):
+    sales = shop(spark, "a", {"before": 1}).union(shop(spark, "b", {"before": 2}))
+    scope = spark.createDataFrame([("spring", "e1", "a")], "campaign string, edition string, product string")
+    rows, names = c._in_windows(sales, c.campaign_windows(cal), scope)
+    assert not {"campaign", "edition", "time_window"} & set(rows.columns) and names.count() == 4
+    assert {(r.product, r.arm) for r in rows.collect()} == {("a", "campaign"), ("b", "control")}
+    twice = c.campaign_windows(cal).union(c.campaign_windows(cal))
+    assert c._in_windows(sales, twice, scope)[1].count() == 4

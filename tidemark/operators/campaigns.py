@@ -133,17 +133,23 @@ def campaign_scope(scope: DataFrame) -> DataFrame:
     return landed(scope.select(*EDITION, "product").repartition(tasks, *EDITION, "product").distinct())
 
 
-def _in_windows(sales: DataFrame, windows: DataFrame, scope: DataFrame | None) -> DataFrame:
-    """Sales repeated per window that holds their day, flagged by group."""
-    days = explode_days(windows.select(*EDITION, "time_window", "from_day", "to_day")).drop("from_day", "to_day")
-    rows = sales.join(days, "day")
+def _in_windows(sales: DataFrame, windows: DataFrame, scope: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Sales repeated per window that holds their day, flagged by group, and the names of the windows.
+
+    A sale carries its windows and editions as the numbers __w and __e, never as texts, and
+    meets the scope as one row a product that lists the editions, before it is repeated.
+    """
+    numbers = windows.withColumns({"__w": F.xxhash64(*EDITION, "time_window"), "__e": F.xxhash64(*EDITION)})
+    names = numbers.select("__w", *EDITION, "time_window").distinct()
+    days = explode_days(numbers.select("__w", "__e", "from_day", "to_day")).select("day", "__w", "__e")
     if scope is None:
-        return rows.withColumn("arm", F.lit("campaign"))
-    flagged = scope.select(*EDITION, "product", F.lit(True).alias("__in"))
-    has_scope = scope.select(*EDITION, F.lit(True).alias("__has")).distinct()
-    marked = rows.join(flagged, [*EDITION, "product"], "left").join(has_scope, EDITION, "left")
-    inside = F.coalesce("__in", F.lit(False)) | F.col("__has").isNull()
-    return marked.withColumn("arm", F.when(inside, F.lit("campaign")).otherwise(F.lit("control"))).drop("__in", "__has")
+        return sales.join(days, "day").withColumn("arm", F.lit("campaign")), names
+    editions = scope.select("product", F.xxhash64(*EDITION).alias("__e"))
+    of_product = editions.groupBy("product").agg(F.collect_set("__e").alias("__in"))
+    has_scope = editions.select("__e").distinct().withColumn("__has", F.lit(True))
+    rows = sales.join(of_product, "product", "left").join(days, "day").join(has_scope, "__e", "left")
+    inside = F.coalesce(F.array_contains("__in", F.col("__e")), F.lit(False)) | F.col("__has").isNull()
+    return rows.withColumn("arm", F.when(inside, F.lit("campaign")).otherwise(F.lit("control"))).drop("__in", "__has"), names
 
 
 def _measures(frame: DataFrame) -> DataFrame:
@@ -169,10 +175,11 @@ def campaign_panel(sales: DataFrame, windows: DataFrame, scope: DataFrame | None
     windows and members stands on the left, so a window without sales shows
     zeros instead of vanishing.
     """
-    rows = _in_windows(sales, windows, scope)
+    rows, names = _in_windows(sales, windows, scope)
     base = [*EDITION, "arm", "time_window"]
-    sets = [base, *[[*base, s] for s in segments]]
-    every = [*base, *segments]
+    short = ["__w", "arm"]
+    sets = [short, *[[*short, s] for s in segments]]
+    every = [*short, *segments]
     level = F.grouping_id(*every)
     sums = rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in every]).agg(
         F.count(F.lit(1)).alias("rows"),
@@ -187,7 +194,7 @@ def campaign_panel(sales: DataFrame, windows: DataFrame, scope: DataFrame | None
         dimension = F.when(grouped, F.lit(s)).otherwise(dimension)
         member = F.when(grouped, F.col(s).cast("string")).otherwise(member)
     # read twice, for the grid and for its cells; a row a member, small beside the sales
-    sums = landed(sums.select(*base, dimension.alias("dimension"), member.alias("member"),
+    sums = landed(sums.join(names, "__w").select(*base, dimension.alias("dimension"), member.alias("member"),
                               "rows", "units", "amount", "cost", "clients"))
 
     # every window for each member that any window saw, and for the total; members are never collected
@@ -307,11 +314,11 @@ def campaign_price(sales: DataFrame, windows: DataFrame, scope: DataFrame | None
     Prices are amount over units per product and window.  The gap between both
     discounts is what was made by raising the price first.
     """
-    rows = _in_windows(sales, windows, scope)
-    if scope is not None:
-        inside = scope.select(*EDITION, "product")
-        rows = rows.join(inside, [*EDITION, "product"], "left_semi")
-    sums = rows.groupBy(*EDITION, "product").agg(
+    rows, names = _in_windows(sales, windows, scope)
+    if scope is not None:  # editions without a scope have no prices
+        rows = rows.join(scope.select(F.xxhash64(*EDITION).alias("__e")).distinct(), "__e", "left_semi").where(F.col("arm") == "campaign")
+    each = rows.groupBy("__w", "product").agg(F.sum("amount").alias("amount"), F.sum("units").alias("units"))
+    sums = each.join(names, "__w").groupBy(*EDITION, "product").agg(
         *[
             F.sum(F.when(F.col("time_window") == w, F.col(m))).alias(f"{w}_{m}")
             for w in ("baseline", "blackout", "during")

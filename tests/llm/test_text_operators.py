@@ -230,3 +230,27 @@ def test_packing_round_trip(spark):
 
 def test_packing_of_nothing(spark):
     assert packing.pack(frame(spark, []), registry.byte_tokenizer()).collect() == []
+
+
+def test_memory_of_token_pieces_does_not_grow_with_a_batch():
+    """Texts of a batch are encoded in slices, as two tasks and what earlier stages left share an executor's memory."""
+    import tracemalloc
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tidemark.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = packing.Encoder(path)
+    text = " ".join(f"word{i % 977} and{i % 31}" for i in range(40_000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(12), pa.int64()), "text": [text + str(i) for i in range(12)]})
+    was, packing.Encoder = packing.Encoder, lambda _: encoder
+    try:
+        tracemalloc.start()
+        total = sum(p.num_rows for p in packing.pieces_of(iter([batch]), path, 1024, 0))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        packing.Encoder = was
+    assert total > 12 and peak < 100e6

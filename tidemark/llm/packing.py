@@ -128,7 +128,7 @@ def ranked_encoder(told: dict):
 
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
-TOKEN_SLICE = 4 << 20
+TOKEN_SLICE = 1 << 20  # a slice costs some forty times its bytes while it is encoded
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], tokenizer: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
